@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buildgraph.functions.storage import materialize, materialize_counted
+from buildgraph.functions.storage import materialize_counted
 
 #: At most this many keys are treated as hot.  A key outside the top ``MOST``
 #: by row count holds less than 1/``MOST`` of the rows, so leaving it unsalted
@@ -81,14 +81,15 @@ class StoredTable:
         keys: Sequence[str],
         spread: Sequence[str] | None = None,
         min_rows: int = MIN_ROWS,
-        stored: bool = False,
     ):
         self.keys = list(keys)
         self.spread = spread
-        self.rows = rows if stored else materialize(rows, "stored")
-        self.hot, self.n_hot = materialize_counted(
-            hot_keys(self.rows, self.keys, min_rows), "hot"
-        )
+        self.rows, self.n_rows = materialize_counted(rows, "stored")
+        self.hot, self.n_hot = None, 0
+        if self.n_rows >= min_rows:
+            self.hot, self.n_hot = materialize_counted(
+                hot_keys(self.rows, self.keys, min_rows), "hot"
+            )
 
     def join(self, dim: DataFrame, how: str = "inner") -> DataFrame:
         """Join the table with ``dim`` on the keys."""

@@ -145,6 +145,19 @@ def civil_date(ts: str | Column, zone: str = "America/Los_Angeles") -> Column:
     return F.to_date(F.from_utc_timestamp(_col(ts), zone))
 
 
+def valid_json(text: str | Column) -> Column:
+    """Whether a text is one JSON value and nothing else.
+
+    The JSON functions ignore what follows the first value.  Wrapped once as an
+    array element and once as an object member, a text parses both ways only if
+    nothing follows.
+    """
+    t = _col(text)
+    element = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
+    return element.isNotNull() & member.isNotNull()
+
+
 def last_lines(text: str | Column, n: int) -> Column:
     """Last ``n`` lines of a text; one final newline does not count as a line."""
     t = _col(text)

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from buildgraph.functions.text import valid_json
+
 
 def extract_between(
     df: DataFrame, col: str, open_mark: str, close_mark: str, schema: str | None = None
@@ -35,7 +37,7 @@ def extract_between(
                 "n_bytes": F.when(F.col("_rest").isNull(), F.octet_length(c).cast("bigint")),
             }
         ).drop("_rest")
-    data = F.when(F.try_parse_json("body").isNotNull(), F.from_json("body", schema))
+    data = F.when(valid_json("body"), F.from_json("body", schema))
     out = out.withColumn("data", data)
     return out.withColumns(
         {

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buildgraph.functions.skew import MIN_ROWS, lookup_join
-from buildgraph.functions.text import strip_trailing_slashes
+from buildgraph.functions.text import strip_trailing_slashes, valid_json
 
 
 def lookup_chain(
@@ -37,7 +37,6 @@ def lookup_chain(
         )
         out = lookup_join(out, e, ["commit"], "left", min_rows=hot_rows)
         valid = F.coalesce(F.col("validator") == F.col(f"_{name}_v"), F.lit(False))
-        parsed = F.try_parse_json(f"_{name}_p")
         outcome = (
             F.when(
                 F.col(f"_{name}_e").isNull()
@@ -47,7 +46,7 @@ def lookup_chain(
             )
             .when(~valid, "stale")
             .when(F.col(f"_{name}_p").isNull(), "miss")
-            .when(parsed.isNull(), "corrupt")
+            .when(~valid_json(f"_{name}_p"), "corrupt")
             .otherwise("hit")
         )
         out = out.withColumn(f"{name}_outcome", outcome)

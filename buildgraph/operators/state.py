@@ -208,10 +208,8 @@ def resolve_pending(
         return results.withColumn(
             "status", F.when(pending, "succeeded").otherwise(F.col("status"))
         )
-    open_drvs = results.filter(pending).select("drv_path").distinct()
     missing = (
-        outputs.join(open_drvs, "drv_path", "left_semi")
-        .select("drv_path", "path")
+        outputs.select("drv_path", "path")
         .join(store.select("path"), "path", "left_anti")
         .select("drv_path")
         .distinct()

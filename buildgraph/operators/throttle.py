@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from buildgraph.functions.ordered import range_blocks
-from buildgraph.functions.skew import lookup_join
+from buildgraph.functions.skew import MIN_ROWS, lookup_join
 from buildgraph.functions.storage import materialize, materialize_counted
 
 #: Keys up to this many events are folded inside one row.
@@ -93,7 +93,7 @@ def _chain(events: DataFrame, keys: Sequence[str], micros: str, order: str, gap:
             *keys, F.col("n_t").alias("t"), F.col("n_o").alias("o")
         )
     ).distinct()
-    jumps = materialize(
+    jumps, n_jumps = materialize_counted(
         jumps.filter("n_o IS NOT NULL").join(nodes, [*keys, "t", "o"], "left_semi"), "jump"
     )
     parts = [reached]
@@ -119,10 +119,14 @@ def _chain(events: DataFrame, keys: Sequence[str], micros: str, order: str, gap:
             F.col("n_t").alias("m_t"),
             F.col("n_o").alias("m_o"),
         )
-        jumps = materialize(
-            lookup_join(jumps, ahead, [*keys, "n_t", "n_o"], "inner", spread=["t", "o"]).select(
-                *keys, "t", "o", F.col("m_t").alias("n_t"), F.col("m_o").alias("n_o")
-            ),
+        # Many events may point to one; below MIN_ROWS no target can be hot.
+        on = [*keys, "n_t", "n_o"]
+        if n_jumps < MIN_ROWS:
+            twice = jumps.join(ahead, on)
+        else:
+            twice = lookup_join(jumps, ahead, on, "inner", spread=["t", "o"])
+        jumps, n_jumps = materialize_counted(
+            twice.select(*keys, "t", "o", F.col("m_t").alias("n_t"), F.col("m_o").alias("n_o")),
             "jump",
         )
     raise RuntimeError("throttle did not settle")

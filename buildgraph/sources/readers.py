@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from buildgraph.functions.text import valid_json
 from buildgraph.operators.extract import extract_exactly_one
 from buildgraph.sources import schemas
 
@@ -30,12 +31,12 @@ def _parsed(df: DataFrame, schema: str, mode: str) -> DataFrame:
     """Add ``doc`` parsed from ``text``; malformed documents raise or are kept with a null ``doc``."""
     if mode == "failfast":
         checked = F.when(
-            F.try_parse_json("text").isNull(),
+            ~valid_json("text"),
             F.raise_error(F.concat(F.lit("malformed document: "), F.col("file"))).cast("string"),
         ).otherwise(F.col("text"))
         return df.withColumn("doc", F.from_json(checked, schema))
     return df.withColumn(
-        "doc", F.when(F.try_parse_json("text").isNotNull(), F.from_json("text", schema))
+        "doc", F.when(valid_json("text"), F.from_json("text", schema))
     )
 
 
@@ -139,7 +140,7 @@ def parse_log_lines(lines: DataFrame, mode: str = "failfast", text_col: str = "v
     marked = lines.filter(F.startswith(F.col(text_col), F.lit(LOG_PREFIX))).select(
         *keep, body.alias("_json")
     )
-    bad = F.try_parse_json("_json").isNull()
+    bad = ~valid_json("_json")
     if mode == "failfast":
         checked = F.when(
             bad, F.raise_error(F.concat(F.lit("malformed log line: "), F.col("_json")))
@@ -166,7 +167,7 @@ def malformed_log_lines(lines: DataFrame, text_col: str = "value") -> DataFrame:
     """Prefixed lines whose JSON does not parse."""
     body = F.substring(F.col(text_col), len(LOG_PREFIX) + 1, 1 << 30)
     return lines.filter(
-        F.startswith(F.col(text_col), F.lit(LOG_PREFIX)) & F.try_parse_json(body).isNull()
+        F.startswith(F.col(text_col), F.lit(LOG_PREFIX)) & ~valid_json(body)
     )
 
 
