@@ -55,3 +55,40 @@ def materialize_counted(df: DataFrame, label: str = "table") -> tuple[DataFrame,
     seen = Observation()
     stored = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
     return stored, seen.get["n"]
+
+
+class Rounds:
+    """Rows found so far by a loop, kept as a small number of stored tables.
+
+    Eight tables of one level are merged into one of the next, so a loop of
+    many rounds neither scans one table per round nor rewrites everything
+    each time.
+    """
+
+    FAN = 8
+
+    def __init__(self, first: DataFrame):
+        self._levels: list[list[DataFrame]] = [[first]]
+
+    def add(self, rows: DataFrame) -> None:
+        """Add the rows of one round."""
+        self._levels[0].append(rows)
+        level = 0
+        while len(self._levels[level]) >= self.FAN:
+            merged = materialize(self._union(self._levels[level]), "merged")
+            self._levels[level] = []
+            level += 1
+            if level == len(self._levels):
+                self._levels.append([])
+            self._levels[level].append(merged)
+
+    @staticmethod
+    def _union(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def all(self) -> DataFrame:
+        """Everything found so far."""
+        return self._union([p for level in self._levels for p in level])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buildgraph.functions.skew import MIN_ROWS, StoredTable, lookup_join
-from buildgraph.functions.storage import materialize, materialize_counted
+from buildgraph.functions.storage import Rounds, materialize_counted
 
 MAX_ROUNDS = 10_000
 #: Marks a selected package in the state; it is no feature.
@@ -20,10 +20,84 @@ def dep_name() -> Column:
 
 def _enabling_name(feature: Column) -> Column:
     """Dependency a feature enables: ``x``, ``dep:x`` and ``x/y`` all enable ``x``."""
-    bare = F.when(F.startswith(feature, F.lit("dep:")), F.substring(feature, 5, 1 << 30)).otherwise(
-        F.substring_index(feature, "/", 1)
+    return F.when(
+        F.startswith(feature, F.lit("dep:")), F.substring(feature, 5, 1 << 30)
+    ).otherwise(F.substring_index(feature, "/", 1))
+
+
+def _handed_on() -> Column:
+    """What an enabled edge gives its dependency, whatever features enabled it."""
+    none = F.array().cast("array<string>")
+    return F.concat(
+        F.array(F.lit(SELECTED)),
+        F.when(F.coalesce("uses_default", F.lit(True)), F.array(F.lit("default"))).otherwise(none),
+        F.coalesce("features", none),
     )
-    return bare
+
+
+def _rules(deps: DataFrame, feature_map: DataFrame) -> DataFrame:
+    """All one-premise rules: (package_id, kind, name) gives (to_id, gives).
+
+    ``feature``: the package has the feature.  ``enable``: a feature enables
+    the named optional dependency.  ``pass``: the rest of ``name/f`` goes to
+    the dependency (``gives`` is null).  ``weak`` / ``weak_optional``: the rest
+    of ``name?/f`` does, at once or once the edge is on.
+    """
+    edges = deps.select(
+        "package_id",
+        dep_name().alias("name"),
+        "dep_id",
+        F.coalesce("optional", F.lit(False)).alias("optional"),
+        F.coalesce("target_ok", F.lit(True)).alias("target_ok"),
+        _handed_on().alias("gives"),
+    )
+    here = edges.filter("target_ok")
+
+    def rule(df: DataFrame, kind: str, name: Column, to: str, gives: Column) -> DataFrame:
+        return df.select(
+            "package_id", F.lit(kind).alias("kind"), name.alias("name"),
+            F.col(to).alias("to_id"), gives.alias("gives"),
+        )
+
+    name, given = F.col("name"), F.explode("gives")
+    nothing = F.lit(None).cast("string")
+    parts = [
+        rule(feature_map, "feature", F.col("feature"), "package_id", F.explode("enables")),
+        rule(here.filter("NOT optional"), "feature", F.lit(SELECTED), "dep_id", given),
+        rule(edges.filter("optional"), "enable", name, "package_id", name),
+        rule(here.filter("optional"), "enable", name, "dep_id", given),
+        rule(here, "pass", name, "dep_id", nothing),
+        rule(here.filter("NOT optional"), "weak", name, "dep_id", nothing),
+        rule(here.filter("optional"), "weak_optional", name, "dep_id", nothing),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def _probes(state: DataFrame) -> DataFrame:
+    """State rows as rule premises (package_id, kind, name, rest)."""
+    f = F.col("feature")
+    slash, weak = F.instr(f, "/"), F.instr(f, "?/")
+    rest = F.substring(f, slash + 1, F.length(f))
+
+    def probe(when: Column, kind: str, name: Column, rest: Column) -> Column:
+        return F.when(
+            when,
+            F.struct(F.lit(kind).alias("kind"), name.alias("name"), rest.alias("rest")),
+        )
+
+    nothing = F.lit(None).cast("string")
+    found = F.array(
+        probe(F.lit(True), "feature", f, nothing),
+        probe((f != SELECTED) & (weak == 0), "enable", _enabling_name(f), nothing),
+        probe((slash > 0) & (weak == 0), "pass", F.substring_index(f, "/", 1), rest),
+        probe(weak > 0, "weak", F.substring(f, F.lit(1), weak - 1), rest),
+    )
+    return state.select(
+        "package_id", F.explode(F.filter(found, lambda p: p.isNotNull())).alias("p")
+    ).select("package_id", "p.*")
 
 
 def resolve_features(
@@ -45,118 +119,53 @@ def resolve_features(
     switched off), its listed features, and the rest of ``name/f`` and
     ``name?/f``.  Features add up over all paths.  A selected package without
     features appears once with a null feature.
+
+    All rules but one have a single premise, so a round is one join of the
+    newest rows with the rule table; ``name?/f`` on an optional edge also needs
+    the edge to be on, which its name among the features tells.
     """
-    known = packages.select("package_id").distinct()
-    edges = materialize(
-        deps.join(known.select(F.col("package_id").alias("dep_id")), "dep_id", "left_semi").select(
-            "package_id",
-            "dep_id",
-            dep_name().alias("dep_name"),
-            F.coalesce("optional", F.lit(False)).alias("optional"),
-            F.coalesce("uses_default", F.lit(True)).alias("uses_default"),
-            F.coalesce("features", F.array().cast("array<string>")).alias("features"),
-            F.coalesce("target_ok", F.lit(True)).alias("target_ok"),
-        ),
-        "deps",
-    )
-    by_name = ["package_id", "dep_name"]
-    optional = StoredTable(edges.filter("optional"), by_name, ["dep_id"], hot_rows)
-    required_edges = StoredTable(edges.filter("NOT optional"), ["package_id"], ["dep_id"], hot_rows)
-    named = StoredTable(edges.filter("target_ok"), by_name, ["dep_id"], hot_rows)
-    expands = StoredTable(
-        feature_map.select("package_id", "feature", F.explode("enables").alias("enables")),
-        ["package_id", "feature"],
-        ["enables"],
-        hot_rows,
-    )
-    selected = roots.select("package_id", F.lit(SELECTED).alias("feature"))
-    start = selected.unionByName(
+    known = packages.select(F.col("package_id").alias("dep_id")).distinct()
+    usable = deps.join(known, "dep_id", "left_semi")
+    keys = ["package_id", "kind", "name"]
+    rules = StoredTable(_rules(usable, feature_map), keys, ["to_id", "gives"], hot_rows)
+    start = roots.select("package_id", F.lit(SELECTED).alias("feature")).unionByName(
         roots.filter(F.col("feature").isNotNull()).select("package_id", "feature")
     )
     new, n = materialize_counted(start.distinct(), "features")
-    parts = [new]
-
-    def passed(enabled: DataFrame) -> DataFrame:
-        """What enabled edges hand to their dependency, whatever the features in between."""
-        given = F.concat(
-            F.array(F.lit(SELECTED)),
-            F.when(F.col("uses_default"), F.array(F.lit("default"))).otherwise(
-                F.array().cast("array<string>")
-            ),
-            F.col("features"),
-        )
-        return enabled.filter("target_ok").select(
-            F.col("dep_id").alias("package_id"), F.explode(given).alias("feature")
-        )
-
+    rounds = Rounds(new)
     for _ in range(max_rounds):
         if n == 0:
             break
-        delta = parts[-1]
-        state = parts[0]
-        for p in parts[1:]:
-            state = state.unionByName(p)
-        expanded = expands.join(delta).select(
-            "package_id", F.col("enables").alias("feature")
-        )
-        required = required_edges.join(
-            delta.filter(F.col("feature") == SELECTED).select("package_id")
-        )
-        enabling = (
-            delta.filter(F.col("feature") != SELECTED)
-            .filter(~F.contains("feature", F.lit("?/")))
-            .select("package_id", _enabling_name(F.col("feature")).alias("dep_name"))
-            .distinct()
-        )
-        chosen = optional.join(enabling)
-        as_feature = chosen.select("package_id", F.col("dep_name").alias("feature"))
-        # `name/f` enables and passes at once; `name?/f` waits until the edge is on.
-        slash = F.instr("feature", "/")
-        head = F.substring_index("feature", "/", 1)
-        rest = F.substring(F.col("feature"), slash + 1, F.length("feature"))
-        strong = (
-            delta.filter((slash > 0) & ~F.endswith(head, F.lit("?")))
-            .select("package_id", head.alias("dep_name"), rest.alias("f"))
-        )
-        strong = named.join(strong).select(
-            F.col("dep_id").alias("package_id"), F.col("f").alias("feature")
-        )
+        state = rounds.all()
 
-        def weak_of(df: DataFrame) -> DataFrame:
-            at = F.instr("feature", "?/")
-            return df.filter(at > 0).select(
-                "package_id",
-                F.substring(F.col("feature"), F.lit(1), at - 1).alias("dep_name"),
-                F.substring(F.col("feature"), at + 2, F.length("feature")).alias("f"),
+        def waiting(rows: DataFrame) -> DataFrame:
+            return _probes(rows.filter(F.contains("feature", F.lit("?/")))).filter(
+                F.col("kind") == "weak"
             )
 
-        def on(df: DataFrame) -> DataFrame:
-            return df.select("package_id", F.col("feature").alias("dep_name"))
+        def named(rows: DataFrame) -> DataFrame:
+            return rows.select("package_id", F.col("feature").alias("name"))
 
-        # An optional edge is on once its name is a feature; a required one always is.
-        weak_edges = weak_of(delta).join(on(state), ["package_id", "dep_name"], "left_semi")
-        weak_late = weak_of(state).join(on(delta), ["package_id", "dep_name"], "left_semi")
-        weak = named.join(weak_edges.unionByName(weak_late)).filter("optional")
-        weak_required = named.join(weak_of(delta)).filter("NOT optional")
-        weak_all = weak.select("dep_id", "f").unionByName(weak_required.select("dep_id", "f"))
+        pair = ["package_id", "name"]
+        weak = (
+            waiting(new)
+            .join(named(state), pair, "left_semi")
+            .unionByName(waiting(state).join(named(new), pair, "left_semi"))
+            .withColumn("kind", F.lit("weak_optional"))
+        )
         found = (
-            expanded.unionByName(as_feature)
-            .unionByName(passed(required))
-            .unionByName(passed(chosen))
-            .unionByName(strong)
-            .unionByName(weak_all.select(F.col("dep_id").alias("package_id"), F.col("f").alias("feature")))
+            rules.join(_probes(new).unionByName(weak))
+            .select(F.col("to_id").alias("package_id"), F.coalesce("gives", "rest").alias("feature"))
             .distinct()
         )
         new, n = materialize_counted(
             found.join(state, ["package_id", "feature"], "left_anti"), "features"
         )
         if n:
-            parts.append(new)
+            rounds.add(new)
     else:
         raise RuntimeError(f"feature resolution did not end within {max_rounds} rounds")
-    state = parts[0]
-    for p in parts[1:]:
-        state = state.unionByName(p)
+    state = rounds.all()
     features = state.filter(F.col("feature") != SELECTED)
     bare = (
         state.filter(F.col("feature") == SELECTED)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from buildgraph.functions.ordered import range_blocks
 from buildgraph.functions.skew import MIN_ROWS, lookup_join
-from buildgraph.functions.storage import materialize, materialize_counted
+from buildgraph.functions.storage import Rounds, materialize, materialize_counted
 
 #: Keys up to this many events are folded inside one row.
 FOLD_ROWS = 4096
@@ -96,11 +96,9 @@ def _chain(events: DataFrame, keys: Sequence[str], micros: str, order: str, gap:
     jumps, n_jumps = materialize_counted(
         jumps.filter("n_o IS NOT NULL").join(nodes, [*keys, "t", "o"], "left_semi"), "jump"
     )
-    parts = [reached]
+    rounds = Rounds(reached)
     for _ in range(MAX_ROUNDS):
-        everything = parts[0]
-        for p in parts[1:]:
-            everything = everything.unionByName(p)
+        everything = rounds.all()
         new, n = materialize_counted(
             everything.join(jumps, [*keys, "t", "o"]).select(
                 *keys, F.col("n_t").alias("t"), F.col("n_o").alias("o")
@@ -111,7 +109,7 @@ def _chain(events: DataFrame, keys: Sequence[str], micros: str, order: str, gap:
             return everything.select(
                 *keys, F.col("t").alias(micros), F.col("o").alias(order)
             )
-        parts.append(new)
+        rounds.add(new)
         ahead = jumps.select(
             *keys,
             F.col("t").alias("n_t"),
