@@ -67,7 +67,7 @@ def bind_records(
     bound = bound.withColumn("bound", F.coalesce("_bind", "bound"))
     if carried is not None:
         bound = (
-            lookup_join(bound, carried, ["run", "id"], "left", spread=["seq"], min_rows=hot_rows)
+            bound.join(carried, ["run", "id"], "left")
             .withColumn("bound", F.coalesce("bound", "carried"))
             .drop("carried")
         )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buildgraph.functions.skew import MIN_ROWS, StoredTable, lookup_join
+from buildgraph.functions.skew import MIN_ROWS, StoredTable
 from buildgraph.functions.storage import Rounds, materialize_counted
 
 MAX_ROUNDS = 10_000
@@ -76,28 +76,23 @@ def _rules(deps: DataFrame, feature_map: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+# A state row as rule premises: the feature itself, the dependency it enables,
+# and the rest of `name/f` and `name?/f`.
+_PREMISES = """inline(filter(array(
+    struct('feature' AS kind, feature AS name, CAST(NULL AS STRING) AS rest),
+    if(feature <> '' AND NOT contains(feature, '?/'), struct('enable' AS kind,
+        if(startswith(feature, 'dep:'), substring(feature, 5), substring_index(feature, '/', 1)) AS name,
+        CAST(NULL AS STRING) AS rest), NULL),
+    if(contains(feature, '/') AND NOT contains(feature, '?/'), struct('pass' AS kind,
+        substring_index(feature, '/', 1) AS name, substring(feature, instr(feature, '/') + 1) AS rest), NULL),
+    if(contains(feature, '?/'), struct('weak' AS kind,
+        substring_index(feature, '?/', 1) AS name, substring(feature, instr(feature, '?/') + 2) AS rest), NULL)
+), p -> p IS NOT NULL))"""
+
+
 def _probes(state: DataFrame) -> DataFrame:
     """State rows as rule premises (package_id, kind, name, rest)."""
-    f = F.col("feature")
-    slash, weak = F.instr(f, "/"), F.instr(f, "?/")
-    rest = F.substring(f, slash + 1, F.length(f))
-
-    def probe(when: Column, kind: str, name: Column, rest: Column) -> Column:
-        return F.when(
-            when,
-            F.struct(F.lit(kind).alias("kind"), name.alias("name"), rest.alias("rest")),
-        )
-
-    nothing = F.lit(None).cast("string")
-    found = F.array(
-        probe(F.lit(True), "feature", f, nothing),
-        probe((f != SELECTED) & (weak == 0), "enable", _enabling_name(f), nothing),
-        probe((slash > 0) & (weak == 0), "pass", F.substring_index(f, "/", 1), rest),
-        probe(weak > 0, "weak", F.substring(f, F.lit(1), weak - 1), rest),
-    )
-    return state.select(
-        "package_id", F.explode(F.filter(found, lambda p: p.isNotNull())).alias("p")
-    ).select("package_id", "p.*")
+    return state.selectExpr("package_id", _PREMISES)
 
 
 def resolve_features(
@@ -139,23 +134,25 @@ def resolve_features(
         state = rounds.all()
 
         def waiting(rows: DataFrame) -> DataFrame:
-            return _probes(rows.filter(F.contains("feature", F.lit("?/")))).filter(
-                F.col("kind") == "weak"
+            return rows.filter("contains(feature, '?/')").selectExpr(
+                "package_id",
+                "'weak_optional' AS kind",
+                "substring_index(feature, '?/', 1) AS name",
+                "substring(feature, instr(feature, '?/') + 2) AS rest",
             )
 
         def named(rows: DataFrame) -> DataFrame:
-            return rows.select("package_id", F.col("feature").alias("name"))
+            return rows.selectExpr("package_id", "feature AS name")
 
         pair = ["package_id", "name"]
         weak = (
             waiting(new)
             .join(named(state), pair, "left_semi")
             .unionByName(waiting(state).join(named(new), pair, "left_semi"))
-            .withColumn("kind", F.lit("weak_optional"))
         )
         found = (
             rules.join(_probes(new).unionByName(weak))
-            .select(F.col("to_id").alias("package_id"), F.coalesce("gives", "rest").alias("feature"))
+            .selectExpr("to_id AS package_id", "coalesce(gives, rest) AS feature")
             .distinct()
         )
         new, n = materialize_counted(
@@ -176,7 +173,7 @@ def resolve_features(
     return features.unionByName(bare)
 
 
-def enabled_edges(deps: DataFrame, features: DataFrame, hot_rows: int = MIN_ROWS) -> DataFrame:
+def enabled_edges(deps: DataFrame, features: DataFrame) -> DataFrame:
     """Dependencies that are on: the target matches and the edge is required or enabled.
 
     ``features`` is the output of :func:`resolve_features`; packages missing
@@ -190,28 +187,23 @@ def enabled_edges(deps: DataFrame, features: DataFrame, hot_rows: int = MIN_ROWS
         .withColumn("_on", F.lit(True))
     )
     candidates = deps.filter(F.coalesce("target_ok", F.lit(True))).withColumn("_dep", dep_name())
-    kept = lookup_join(candidates, present, ["package_id"], "inner", min_rows=hot_rows)
-    flagged = lookup_join(
-        kept, enabling, ["package_id", "_dep"], "left", min_rows=hot_rows
+    flagged = candidates.join(present, "package_id", "left_semi").join(
+        enabling, ["package_id", "_dep"], "left"
     )
     required = ~F.coalesce("optional", F.lit(False))
     return flagged.filter(required | F.coalesce("_on", F.lit(False))).select(*deps.columns)
 
 
-def rename_groups(deps: DataFrame, packages: DataFrame, hot_rows: int = MIN_ROWS) -> DataFrame:
+def rename_groups(deps: DataFrame, packages: DataFrame) -> DataFrame:
     """Renames of enabled dependencies: rows (package_id, name, version, rename).
 
-    Rows of one (package_id, name) are the group; ``n`` is its size.
+    The rows of one (package_id, name) are the group.
     """
     versions = packages.select(F.col("package_id").alias("dep_id"), "version")
     renamed = deps.filter(F.col("rename").isNotNull()).select(
         "package_id", "name", "dep_id", "rename"
     )
-    rows = lookup_join(renamed, versions, ["dep_id"], "inner", min_rows=hot_rows).drop("dep_id")
-    sizes = rows.groupBy("package_id", "name").agg(F.count(F.lit(1)).alias("n"))
-    return lookup_join(rows, sizes, ["package_id", "name"], "inner", min_rows=hot_rows).select(
-        "package_id", "name", "version", "rename", "n"
-    )
+    return renamed.join(versions, "dep_id").select("package_id", "name", "version", "rename")
 
 
 def compare_sets(left: DataFrame, right: DataFrame, key: str = "package_id", item: str = "feature") -> DataFrame:

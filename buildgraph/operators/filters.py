@@ -104,7 +104,7 @@ def visible_targets(files: DataFrame) -> DataFrame:
         ).alias("above"),
     )
     dropped = (
-        lookup_join(lineage, marked, ["above"], "inner")
+        lineage.join(marked, "above")
         .filter(F.col("above_tree") | (F.col("above") != F.col("dir")))
         .select("dir")
         .distinct()

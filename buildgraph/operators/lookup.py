@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildgraph.functions.skew import MIN_ROWS, lookup_join
+from buildgraph.functions.skew import MIN_ROWS, hot_keys, lookup_join
 from buildgraph.functions.text import strip_trailing_slashes, valid_json
 
 
@@ -28,6 +28,7 @@ def lookup_chain(
     ``payload``.
     """
     out = requests
+    hot = hot_keys(requests, ["commit"], hot_rows)
     for name, entries in sources:
         e = entries.select(
             "commit",
@@ -35,7 +36,7 @@ def lookup_chain(
             F.col("payload").alias(f"_{name}_p"),
             F.lit(True).alias(f"_{name}_e"),
         )
-        out = lookup_join(out, e, ["commit"], "left", min_rows=hot_rows)
+        out = lookup_join(out, e, ["commit"], "left", hot=hot)
         valid = F.coalesce(F.col("validator") == F.col(f"_{name}_v"), F.lit(False))
         outcome = (
             F.when(
@@ -58,7 +59,7 @@ def lookup_chain(
         payload = F.when(hit, p) if payload is None else payload.when(hit, p)
     if recomputed is not None:
         r = recomputed.select("commit", F.col("payload").alias("_again"))
-        out = lookup_join(out, r, ["commit"], "left", min_rows=hot_rows)
+        out = lookup_join(out, r, ["commit"], "left", hot=hot)
         again = F.col("_again").isNotNull()
         origin, payload = origin.when(again, "recomputed"), payload.when(again, F.col("_again"))
     out = out.withColumns({"origin": origin.otherwise("empty"), "payload": payload.otherwise("{}")})

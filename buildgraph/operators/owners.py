@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildgraph.functions.skew import MIN_ROWS, lookup_join
+from buildgraph.functions.skew import MIN_ROWS, MOST, lookup_join
 from buildgraph.functions.text import decode_id
 
 
@@ -55,11 +55,13 @@ def owner_failures(
     """
     rows = _failed_owners(results, empty_as_null)
     totals = rows.groupBy("owner").agg(F.count(F.lit(1)).alias("n_failed"))
+    heavy = totals.filter(F.col("n_failed") >= hot_rows)
+    hot = heavy.orderBy(F.col("n_failed").desc()).limit(MOST).select("owner")
     exit_text = F.when(
         F.col("exit_code").isNotNull(), F.concat(F.lit("(exit "), "exit_code", F.lit(")"))
     ).otherwise("")
     return lookup_join(
-        rows, totals, ["owner"], "inner", spread=["tree_path"], min_rows=hot_rows
+        rows, totals, ["owner"], "inner", spread=["tree_path"], hot=hot
     ).select("owner", "n_failed", "tree_path", "system", "exit_code", exit_text.alias("exit_text"))
 
 

@@ -17,6 +17,8 @@ def session(app: str = "buildgraph", master: str | None = None, **extra: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Split skewed joins even when that costs another shuffle.
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.session.timeZone", "UTC")
     )
     if master:

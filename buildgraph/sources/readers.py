@@ -108,6 +108,16 @@ def read_results(spark: SparkSession, path: str, pattern: str = "results-*.json"
     )
 
 
+def read_result_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Target rows written by ``write_results``; partition folders give the system."""
+    return (
+        spark.read.schema(schemas.RESULT_ROW)
+        .option("mode", "FAILFAST")
+        .json(f"{path}/targets")
+        .withColumn("status", status_or_unknown(F.col("status")))
+    )
+
+
 def first_text(fields: str | Column) -> Column:
     """First log field when it is a string, else null."""
     f = F.col(fields) if isinstance(fields, str) else fields
