@@ -46,17 +46,13 @@ def final_state(events: DataFrame, targets: DataFrame, order: str = "seq") -> Da
     )
 
 
-def durations(
-    events: DataFrame,
-    order: str = "seq",
-    micros: str = "ts_us",
-    block_rows: int = BLOCK_ROWS,
+def build_spans(
+    events: DataFrame, order: str = "seq", micros: str = "ts_us", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Build time per target in milliseconds, by both definitions.
+    """Stretches of starts up to the result that ends them, per target.
 
-    ``duration_latest_ms``: from the latest start before the last result to
-    that result.  ``duration_total_ms``: sum over closed spans, each from the
-    first start not yet closed to the result closing it.
+    Rows (tree_path, _span, first_seq, first_start, last_start, end); the last
+    stretch of a target has no ``end`` while it is building.
     """
     live = events.filter(F.col("status").isin("started", "succeeded", "failed", "substitution"))
     live = live.select(
@@ -65,17 +61,33 @@ def durations(
         F.col(micros).alias("_t"),
         (F.col("status") != "started").alias("_r"),
     ).withColumn("_block", block_of("_o", block_rows))
+    start = F.when(~F.col("_r"), F.col("_o"))
     # Rows between two results share a span number, so a span is a plain group.
-    spans = (
+    return (
         running_count(live, ["tree_path"], "_block", ["_o"], F.col("_r"), "_span")
         .groupBy("tree_path", "_span")
         .agg(
-            F.min_by("_t", F.when(~F.col("_r"), F.col("_o"))).alias("first_start"),
-            F.max_by("_t", F.when(~F.col("_r"), F.col("_o"))).alias("last_start"),
+            F.min(start).alias("first_seq"),
+            F.min_by("_t", start).alias("first_start"),
+            F.max_by("_t", start).alias("last_start"),
             F.max_by("_t", F.when(F.col("_r"), F.col("_o"))).alias("end"),
         )
-        .filter(F.col("end").isNotNull())
     )
+
+
+def durations(
+    events: DataFrame,
+    order: str = "seq",
+    micros: str = "ts_us",
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Build time per target in milliseconds, by both definitions.
+
+    ``duration_latest_ms``: from the latest start before the last result to
+    that result.  ``duration_total_ms``: sum over closed spans, each from the
+    first start not yet closed to the result closing it.
+    """
+    spans = build_spans(events, order, micros, block_rows).filter(F.col("end").isNotNull())
     length = F.floor((F.col("end") - F.col("first_start")) / 1000)
     open_span = F.when(F.col("last_start").isNotNull(), F.col("_span"))
     per_target = spans.groupBy("tree_path").agg(

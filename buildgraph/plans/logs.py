@@ -88,7 +88,7 @@ folded AS (SELECT b.*, w.k, w.ms, b.status = 'failed' AND log IS NOT NULL AS tri
   FROM base b LEFT JOIN won w ON w.tree_path = b.tree_path)"""
 
 
-def _attempts(events):
+def attempts_of(events):
     k, at = F.col("attempt"), F.col("s")
     failed = events.filter("status = 'failed'").groupBy("tree_path").agg(F.max("seq").alias("s"))
     tries = F.array(*[F.lit(i) for i in range(1, 5)])
@@ -107,7 +107,7 @@ def _base(spark, sf_dir):
         "status", F.when(F.col("state") == "building", "failed").otherwise(F.col("state"))
     )
     base = states.drop("state").join(logs, "tree_path", "left")
-    return base.withColumn("duration_ms", F.lit(1000).cast("bigint")), _attempts(events)
+    return base.withColumn("duration_ms", F.lit(1000).cast("bigint")), attempts_of(events)
 
 
 @query(f"""WITH {t.LOG}, {ATTEMPTS}
@@ -116,7 +116,7 @@ SELECT tree_path, CASE WHEN transient AND k IS NOT NULL THEN 'succeeded' ELSE st
   CASE WHEN transient AND k IS NOT NULL THEN 1000 + ms ELSE 1000 END AS duration_ms,
   CASE WHEN transient THEN coalesce(k, 3) END AS retry_count,
   CASE WHEN tried AND NOT (transient AND k IS NOT NULL) THEN tail END AS log_tail,
-  CASE WHEN transient THEN 5 * coalesce(k, 3) * (coalesce(k, 3) + 1) // 2 ELSE 0 END AS backoff_s FROM folded""")
+  CASE WHEN transient THEN 5 * coalesce(k, 3) * (coalesce(k, 3) + 1) // 2 ELSE 0 END::BIGINT AS backoff_s FROM folded""")
 def apply_retries(spark, sf_dir):
     return s.apply_retries(*_base(spark, sf_dir)).drop("drv_path", "log")
 

@@ -11,7 +11,7 @@ from buildgraph.plans.registry import query
 from buildgraph.sources.readers import flatten_artifacts, parse_kv_lines
 
 COMMITS = """
-commits AS (SELECT o_custkey AS repo, o_orderkey AS commit, epoch_us(o_orderdate) AS at,
+commits AS (SELECT o_custkey AS repo, o_orderkey AS commit, epoch_us(o_orderdate) AS tm,
   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders)"""
 
 
@@ -60,7 +60,7 @@ def entry_state(spark, sf_dir):
 
 
 @query(f"""WITH {COMMITS}
-SELECT repo, arg_max(commit, (CASE WHEN commit % 9 = 0 THEN -1 ELSE at END, commit)) AS sha,
+SELECT repo, arg_max(commit, (CASE WHEN commit % 9 = 0 THEN -9223372036854775807 ELSE tm END, commit)) AS sha,
   count(*) > 1 AS ambiguous FROM commits GROUP BY repo""")
 def newest(spark, sf_dir):
     k = F.col("commit")
@@ -73,7 +73,7 @@ def newest(spark, sf_dir):
     return c.newest(candidates, ["repo"])
 
 
-@query("""WITH r AS (SELECT l_orderkey AS req, l_partkey AS commit, l_linenumber % 3 AS q FROM lineitem),
+@query("""WITH r AS (SELECT l_orderkey AS req, l_partkey AS commit, (l_linenumber % 3)::BIGINT AS q FROM lineitem),
 o AS (SELECT r.*, CASE WHEN q = 2 OR commit % 3 = 0 THEN 'miss' WHEN commit % 4 = q THEN 'hit' ELSE 'stale' END AS lv FROM r),
 o2 AS (SELECT *, CASE WHEN lv = 'hit' AND commit % 9 = 1 THEN 'miss' WHEN lv = 'hit' AND commit % 7 = 0 THEN 'corrupt' ELSE lv END AS local_outcome,
   CASE WHEN q = 2 OR commit % 5 <> 0 THEN 'miss' WHEN commit % 2 = q THEN 'hit' ELSE 'stale' END AS remote_outcome FROM o)

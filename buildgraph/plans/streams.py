@@ -1 +1,96 @@
-"""Queries."""
+"""Streaming queries: the events table read as a stream, checked against the batch oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from buildgraph.functions.storage import fresh_path
+from buildgraph.operators import attribution as a
+from buildgraph.plans import logs
+from buildgraph.plans import tables as t
+from buildgraph.plans.registry import ORACLES, query
+from buildgraph.streaming import log as sl
+from buildgraph.streaming import stateful as sf
+
+
+def _events_stream(spark, sf_dir):
+    schema = t.table(spark, sf_dir, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    return source.option("maxFilesPerTrigger", 1).parquet(sf_dir)
+
+
+@query(ORACLES["attribute_log"])
+def stream_attribute_log(spark, sf_dir):
+    root = fresh_path(spark, "stream")
+    log = t.log_of(_events_stream(spark, sf_dir))
+    sl.attribute_stream(log, t.log_targets(spark, sf_dir), root).awaitTermination()
+    return sf.read_output(spark, root).drop("run", "ts_us")
+
+
+@query(f"""WITH RECURSIVE {t.LOG}, {logs.DURATIONS},
+hit(id) AS (SELECT tree_path FROM states WHERE state = 'failed'
+  UNION SELECT e.src FROM hit h JOIN tedges e ON e.dst = h.id)
+SELECT s.tree_path, s.drv_path, s.exit_code, duration_latest_ms,
+  coalesce(duration_total_ms, CASE WHEN state <> 'pending' THEN 0 END) AS duration_total_ms,
+  CASE WHEN state = 'pending' AND s.tree_path IN (SELECT id FROM hit) THEN 'skipped' ELSE state END AS state
+FROM states s LEFT JOIN times t ON t.tree_path = s.tree_path""")
+def stream_live_state(spark, sf_dir):
+    """Two streams in a row: attribution, then the state fold over its output."""
+    first, second = fresh_path(spark, "stream"), fresh_path(spark, "stream")
+    log = t.log_of(_events_stream(spark, sf_dir))
+    sl.attribute_stream(log, t.log_targets(spark, sf_dir), first).awaitTermination()
+    landed = sf.read_output(spark, first)
+    source = spark.readStream.schema(landed.schema).parquet(f"{first}/output/batch=*")
+    sl.live_state_stream(source, second).awaitTermination()
+    live = sf.latest_state(spark, second, sl.LIVE)
+    return sl.live_report(live, t.tracked(spark, sf_dir), t.tracked_edges(spark, sf_dir))
+
+
+@query(ORACLES["throttle"])
+def stream_throttle(spark, sf_dir):
+    root = fresh_path(spark, "stream")
+    events = _events_stream(spark, sf_dir).select(
+        "user_id",
+        F.unix_micros(F.col("ts").cast("timestamp_ltz")).alias("ts_us"),
+        F.col("event_id").alias("seq"),
+    )
+    sl.throttle_stream(events, root, "user_id", 86_400, "bigint").awaitTermination()
+    state = sf.latest_state(spark, root, sl.throttle_schema("user_id", "bigint"))
+    return sf.read_output(spark, root).unionByName(sl.throttle_final(state, "user_id"))
+
+
+@query(ORACLES["line_buffer"])
+def stream_line_buffer(spark, sf_dir):
+    root = fresh_path(spark, "stream")
+    lines = t.log_of(_events_stream(spark, sf_dir)).filter("type = 101")
+    lines = lines.select("id", "seq", F.col("arg_text").alias("line"))
+    sl.buffer_stream(lines, root, "id", 5, "bigint").awaitTermination()
+    return sf.latest_state(spark, root, sl.buffer_schema("id", "bigint"))
+
+
+@query(f"""WITH {t.LOG}, {logs.DURATIONS}, {logs.ATTEMPTS},
+last AS (SELECT tree_path, arg_max(status, seq) AS status, arg_max(struct_pack(c := exit_code), seq).c AS exit_code
+  FROM attributed WHERE status IN ('failed', 'succeeded') GROUP BY tree_path),
+b AS (SELECT t.tree_path, t.drv_path, coalesce(l.status, 'pending') AS status, l.exit_code, d.duration_latest_ms AS ms0,
+  g.log, g.tail, w.k, w.ms FROM tracked t LEFT JOIN last l USING (tree_path) LEFT JOIN times d USING (tree_path)
+  LEFT JOIN logs g USING (tree_path) LEFT JOIN won w USING (tree_path)),
+c AS (SELECT *, status = 'failed' AND log IS NOT NULL AS tried,
+  status = 'failed' AND contains(coalesce(log, ''), 'curl error') AS transient FROM b)
+SELECT tree_path, drv_path, CASE WHEN transient AND k IS NOT NULL THEN 'succeeded'
+    WHEN status = 'pending' AND drv_path LIKE '%7' THEN 'skipped' WHEN status = 'pending' THEN 'succeeded' ELSE status END AS status,
+  CASE WHEN transient AND k IS NOT NULL THEN 0 ELSE exit_code END AS exit_code,
+  CASE WHEN transient AND k IS NOT NULL THEN coalesce(ms0, 0) + ms ELSE ms0 END AS duration_ms,
+  CASE WHEN transient THEN coalesce(k, 3) END AS retry_count,
+  CASE WHEN tried AND NOT (transient AND k IS NOT NULL) THEN tail END AS log_tail FROM c""")
+def finalize(spark, sf_dir):
+    """A finished run: attributed events folded into results files and read back."""
+    events = a.attribute_log(t.log(spark, sf_dir), t.log_targets(spark, sf_dir))
+    tracked = t.tracked(spark, sf_dir).withColumn("system", F.lit("x86_64-linux"))
+    drv = F.col("drv_path")
+    outputs = tracked.select(drv, t.text("out-", drv).alias("path"))
+    store = outputs.filter(~F.col("path").endswith("7")).select("path")
+    path = fresh_path(spark, "run")
+    rows = sl.finalize(events, tracked, logs.attempts_of(events), outputs, store, False, path)
+    return rows.select(
+        "tree_path", "drv_path", "status", "exit_code", "duration_ms", "retry_count", "log_tail"
+    )
