@@ -79,6 +79,7 @@ def attribute_log(
     targets: DataFrame,
     strict: bool = False,
     carried: DataFrame | None = None,
+    lines: bool = True,
     block_rows: int = BLOCK_ROWS,
     hot_rows: int = MIN_ROWS,
 ) -> DataFrame:
@@ -95,8 +96,11 @@ def attribute_log(
       0 and the exit code is not, else succeeded.  With ``strict`` only type 0
       counts.
 
-    Other records carry no target and are dropped.
+    Other records carry no target and are dropped.  ``lines=False`` leaves the
+    output lines, the bulk of a log, out before anything is shuffled.
     """
+    if not lines:
+        log = log.filter(~F.col("type").eqNullSafe(OUTPUT_LINE) | (F.col("action") == "start"))
     bound = bind_records(log, targets, carried, block_rows, hot_rows)
     is_start = F.col("action") == "start"
     is_line = ~is_start & (F.col("type") == OUTPUT_LINE)

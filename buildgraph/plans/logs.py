@@ -12,12 +12,12 @@ from buildgraph.plans import tables as t
 from buildgraph.plans.registry import query
 
 
-def _events(spark, sf_dir):
-    return a.attribute_log(t.log(spark, sf_dir), t.log_targets(spark, sf_dir))
+def _events(spark, sf_dir, lines=True):
+    return a.attribute_log(t.log(spark, sf_dir), t.log_targets(spark, sf_dir), lines=lines)
 
 
 def _states(spark, sf_dir):
-    return s.final_state(_events(spark, sf_dir), t.tracked(spark, sf_dir))
+    return s.final_state(_events(spark, sf_dir, lines=False), t.tracked(spark, sf_dir))
 
 
 @query(f"WITH {t.LOG} SELECT seq, tree_path, drv_path, system, status, exit_code, line FROM attributed")
@@ -188,14 +188,14 @@ times AS (SELECT tree_path,
 
 @query(f"WITH {t.LOG}, {DURATIONS} SELECT * FROM times")
 def durations(spark, sf_dir):
-    return s.durations(_events(spark, sf_dir))
+    return s.durations(_events(spark, sf_dir, lines=False))
 
 
 @query(f"""WITH {t.LOG}, r AS (SELECT tree_path, exit_code, 'tail of ' || tree_path AS log_tail FROM attributed
   WHERE status = 'failed' QUALIFY row_number() OVER (PARTITION BY tree_path ORDER BY seq DESC) = 1)
 SELECT s.tree_path, s.drv_path, s.state, r.exit_code, r.log_tail FROM states s LEFT JOIN r ON r.tree_path = s.tree_path""")
 def join_results(spark, sf_dir):
-    events = _events(spark, sf_dir)
+    events = _events(spark, sf_dir, lines=False)
     results = (
         events.filter("status = 'failed'")
         .groupBy("tree_path")

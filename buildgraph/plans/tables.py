@@ -136,7 +136,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         pairs(cu, "c", "c_custkey", "n", "c_nationkey"),
         pairs(na, "n", "n_nationkey", "r", "n_regionkey"),
     ]
-    return reduce(DataFrame.unionByName, every).distinct()
+    return reduce(DataFrame.unionByName, every)
 
 
 def nodes(edge_rows: DataFrame) -> DataFrame:

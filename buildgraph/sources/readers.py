@@ -146,11 +146,12 @@ def parse_log_lines(lines: DataFrame, mode: str = "failfast", text_col: str = "v
     """
     _check_mode(mode)
     keep = [c for c in lines.columns if c != text_col]
-    body = F.substring(F.col(text_col), len(LOG_PREFIX) + 1, 1 << 30)
-    marked = lines.filter(F.startswith(F.col(text_col), F.lit(LOG_PREFIX))).select(
-        *keep, body.alias("_json")
-    )
-    bad = ~valid_json("_json")
+    # Null without the prefix: filters may be evaluated in any order, so the
+    # malformed check must not depend on the prefix filter running first.
+    prefixed = F.startswith(F.col(text_col), F.lit(LOG_PREFIX))
+    body = F.when(prefixed, F.substring(F.col(text_col), len(LOG_PREFIX) + 1, 1 << 30))
+    marked = lines.filter(prefixed).select(*keep, body.alias("_json"))
+    bad = F.col("_json").isNotNull() & ~valid_json("_json")
     if mode == "failfast":
         checked = F.when(
             bad, F.raise_error(F.concat(F.lit("malformed log line: "), F.col("_json")))
@@ -245,7 +246,7 @@ def read_pins(
     parsed = extract_exactly_one(defs, "text", anchor, attrs, optional={"npmName": "pname"})
     parsed = parsed.filter(F.col("outcome") != "no_anchor").withColumn(
         "pname",
-        F.when(F.col("outcome") == "ok", F.col("pname")).otherwise(
+        F.when(F.col("outcome").isin("ok", "no_anchor"), F.col("pname")).otherwise(
             F.raise_error(F.concat("file", F.lit(": "), "outcome")).cast("string")
         ),
     )

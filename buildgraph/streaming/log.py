@@ -34,7 +34,7 @@ def attribution_step(
 
     def step(batch: DataFrame, before: DataFrame):
         carried = before.select("run", "id", "carried")
-        events = attribute_log(batch, targets, strict, carried, block_rows)
+        events = attribute_log(batch, targets, strict, carried, block_rows=block_rows)
         starts = bind_records(
             batch.filter("action = 'start' AND id IS NOT NULL"), targets, block_rows=block_rows
         ).select("run", "id", "seq", F.col("bound").alias("carried"))
