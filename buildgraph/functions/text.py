@@ -57,7 +57,8 @@ def split_system(system: str | Column) -> tuple[Column, Column]:
 
 def duration_text(ms: str | Column) -> Column:
     """Milliseconds shown as seconds with one decimal, for display only."""
-    return F.format_string("%.1fs", _col(ms) / F.lit(1000.0))
+    ms = _col(ms)
+    return F.when(ms.isNotNull(), F.format_string("%.1fs", ms / F.lit(1000.0)))
 
 
 def decode_id(encoded: str | Column) -> Column:

@@ -38,11 +38,8 @@ def failures_by_owner(results: DataFrame, empty_as_null: bool = False) -> DataFr
     per_owner = _failed_owners(results, empty_as_null).groupBy("owner").agg(
         F.count(F.lit(1)).alias("n_failed")
     )
-    one = F.lit(1)
-    return (
-        per_owner.withColumn("_one", one)
-        .join(systems.withColumn("_one", one), "_one")
-        .select("owner", decode_id("owner").alias("owner_id"), "n_failed", "systems")
+    return per_owner.select(
+        "owner", decode_id("owner").alias("owner_id"), "n_failed", systems.scalar().alias("systems")
     )
 
 

@@ -51,7 +51,7 @@ def build_spans(
 ) -> DataFrame:
     """Stretches of starts up to the result that ends them, per target.
 
-    Rows (tree_path, _span, first_seq, first_start, last_start, end); the last
+    Rows (tree_path, _span, first_seq, last_seq, first_start, last_start, end); the last
     stretch of a target has no ``end`` while it is building.
     """
     live = events.filter(F.col("status").isin("started", "succeeded", "failed", "substitution"))
@@ -68,6 +68,7 @@ def build_spans(
         .groupBy("tree_path", "_span")
         .agg(
             F.min(start).alias("first_seq"),
+            F.max(start).alias("last_seq"),
             F.min_by("_t", start).alias("first_start"),
             F.max_by("_t", start).alias("last_start"),
             F.max_by("_t", F.when(F.col("_r"), F.col("_o"))).alias("end"),

@@ -59,24 +59,28 @@ def attribute_stream(
 
 LIVE = (
     "tree_path string, seq bigint, state string, exit_code bigint, duration_total_ms bigint, "
-    "duration_latest_ms bigint, open_seq bigint, open_us bigint, last_start_us bigint"
+    "duration_latest_ms bigint, open_seq bigint, open_us bigint, last_start_seq bigint, last_start_us bigint"
 )
 
 
 def live_state_step(block_rows: int = BLOCK_ROWS):
     """Fold attributed events into one state row per target.
 
-    A start left open by earlier batches takes part as an event, so spans that
+    Starts left open by earlier batches take part as events, so spans that
     cross batches are measured like in one batch.
     """
 
     def step(batch: DataFrame, before: DataFrame):
         live = batch.filter("status <> 'line'")
-        opened = before.filter("open_seq IS NOT NULL").select(
-            "tree_path",
-            F.col("open_seq").alias("seq"),
-            F.col("open_us").alias("ts_us"),
-            F.lit("started").alias("status"),
+        # The first and the latest start of an open span measure the two durations.
+        ends = F.array(
+            F.struct(F.col("open_seq").alias("seq"), F.col("open_us").alias("ts_us")),
+            F.struct(F.col("last_start_seq").alias("seq"), F.col("last_start_us").alias("ts_us")),
+        )
+        opened = (
+            before.filter("open_seq IS NOT NULL")
+            .select("tree_path", F.explode(F.array_distinct(ends)).alias("s"))
+            .select("tree_path", "s.seq", "s.ts_us", F.lit("started").alias("status"))
         )
         timed = live.select("tree_path", "seq", "ts_us", "status").unionByName(opened)
         spans = s.build_spans(timed, block_rows=block_rows)
@@ -87,10 +91,10 @@ def live_state_step(block_rows: int = BLOCK_ROWS):
             F.sum(length).alias("total"),
             F.max_by("end", F.when(closed, F.col("_span"))).alias("end"),
             F.max_by("last_start", F.when(started, F.col("_span"))).alias("closed_start"),
-            F.max("first_seq").alias("_any"),
             F.max(F.when(~closed, F.col("first_seq"))).alias("open_seq"),
             F.max(F.when(~closed, F.col("first_start"))).alias("open_us"),
-            F.max("last_start").alias("last_start"),
+            F.max_by("last_start", "last_seq").alias("last_start"),
+            F.max("last_seq").alias("last_seq"),
         )
         last = s.last_events(live).join(
             live.groupBy("tree_path").agg(F.max("seq").alias("seq")), "tree_path"
@@ -113,6 +117,7 @@ def live_state_step(block_rows: int = BLOCK_ROWS):
             .alias("duration_latest_ms"),
             F.when(known, F.col("open_seq")).otherwise(F.col("_open_seq")).alias("open_seq"),
             F.when(known, F.col("open_us")).otherwise(F.col("_open_us")).alias("open_us"),
+            F.coalesce("last_seq", "_last_start_seq").alias("last_start_seq"),
             F.coalesce("last_start", "_last_start_us").alias("last_start_us"),
         )
         return None, after
