@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buildgraph.functions.skew import lookup_join
+from buildgraph.functions.storage import materialize
 
 # Failure texts that make a build worth retrying.
 TRANSIENT_PATTERNS = (
@@ -78,10 +79,14 @@ def visible_targets(files: DataFrame) -> DataFrame:
         F.endswith("name", F.lit(".nix")) & ~F.startswith("name", F.lit("."))
         | F.col("name").isin(SKIP_TREE, SKIP_SUBTREE)
     )
-    dirs = listed.groupBy("dir").agg(
-        F.max(F.col("name") == "default.nix").alias("has_default"),
-        F.max(F.col("name") == SKIP_TREE).alias("tree"),
-        F.max(F.col("name") == SKIP_SUBTREE).alias("subtree"),
+    # One row per folder, read several times below.
+    dirs = materialize(
+        listed.groupBy("dir").agg(
+            F.max(F.col("name") == "default.nix").alias("has_default"),
+            F.max(F.col("name") == SKIP_TREE).alias("tree"),
+            F.max(F.col("name") == SKIP_SUBTREE).alias("subtree"),
+        ),
+        "folders",
     )
     marked = dirs.filter("tree OR subtree").select(
         F.when(
