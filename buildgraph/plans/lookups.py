@@ -127,9 +127,10 @@ ITEM = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice
 
 
 def _pages(spark, sf_dir):
-    """One page per customer: orders as builds, line numbers as jobs, items as artifacts.
+    """One page per sixty orders: orders as builds, line numbers as jobs, items as artifacts.
 
-    Arrays are ordered by key, with the part as tie-break.
+    Arrays are ordered by key, with the part as tie-break.  Ten builds of a full
+    page lie beyond the fifty that are looked at.
     """
     item = F.struct(
         F.struct(
@@ -154,7 +155,7 @@ def _pages(spark, sf_dir):
         F.struct((F.col("o_orderkey") % 97).cast("string").alias("commit"), edges(F.col("j")).alias("jobs")).alias("node")
     )
     orders = t.table(spark, sf_dir, "orders").join(builds, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    pages = orders.groupBy(F.col("o_custkey").alias("page_id")).agg(ordered(F.col("o_orderkey"), build).alias("b"))
+    pages = orders.groupBy(F.floor(F.col("o_orderkey") / 60).alias("page_id")).agg(ordered(F.col("o_orderkey"), build).alias("b"))
     inner = F.struct(F.struct(edges(F.col("b")).alias("builds")).alias("pipeline"))
     return pages.select("page_id", F.struct(inner.getField("pipeline").alias("pipeline")).alias("d")).select(
         "page_id", F.struct(F.col("d").alias("data")).alias("page")
@@ -163,7 +164,7 @@ def _pages(spark, sf_dir):
 
 ARTIFACTS = """
 li AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS q, l_partkey AS p, l_returnflag AS f FROM lineitem),
-builds AS (SELECT o_custkey AS page_id, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS build_pos FROM orders),
+builds AS (SELECT o_orderkey // 60 AS page_id, o_orderkey AS o, row_number() OVER (PARTITION BY o_orderkey // 60 ORDER BY o_orderkey) - 1 AS build_pos FROM orders),
 flat AS (SELECT page_id, (li.o % 97)::VARCHAR AS commit, build_pos, dense_rank() OVER (PARTITION BY li.o ORDER BY q) - 1 AS job_pos,
   row_number() OVER (PARTITION BY li.o, q ORDER BY p, f) - 1 AS artifact_pos, 'drvmap-' || f || '.json' AS path, 'url-' || p AS download_url
   FROM li JOIN builds USING (o) WHERE build_pos < 50)"""
