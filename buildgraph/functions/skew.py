@@ -27,7 +27,8 @@ def hot_keys(
     heavy = counted.filter(F.col("_n") >= min_rows)
     for k in keys:
         heavy = heavy.filter(F.col(k).isNotNull())
-    return heavy.orderBy(F.col("_n").desc()).limit(most).select(*keys)
+    # Ties are broken by key: both sides of a join must see the same hot keys.
+    return heavy.orderBy(F.col("_n").desc(), *keys).limit(most).select(*keys)
 
 
 def lookup_join(

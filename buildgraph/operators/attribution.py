@@ -63,8 +63,7 @@ def bind_records(
     rows = starts.unionByName(log.filter(is_result).withColumn("_bind", nothing))
     rows = rows.withColumn("_block", block_of("seq", block_rows))
     bound = fill_forward(rows, ["run", "id"], "_block", ["seq"], {"bound": F.col("_bind")})
-    # A start without an id binds nothing but still names its own derivation.
-    bound = bound.withColumn("bound", F.coalesce("_bind", "bound"))
+    # A start is its own last binding, also one without an id, which binds nothing else.
     if carried is not None:
         bound = (
             bound.join(carried, ["run", "id"], "left")

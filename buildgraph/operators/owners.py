@@ -53,7 +53,7 @@ def owner_failures(
     rows = _failed_owners(results, empty_as_null)
     totals = rows.groupBy("owner").agg(F.count(F.lit(1)).alias("n_failed"))
     heavy = totals.filter(F.col("n_failed") >= hot_rows)
-    hot = heavy.orderBy(F.col("n_failed").desc()).limit(MOST).select("owner")
+    hot = heavy.orderBy(F.col("n_failed").desc(), "owner").limit(MOST).select("owner")
     exit_text = F.when(
         F.col("exit_code").isNotNull(), F.concat(F.lit("(exit "), "exit_code", F.lit(")"))
     ).otherwise("")

@@ -147,10 +147,10 @@ def steps_by_phase(
     """Steps of the enabled phases in upload order, numbered within each phase.
 
     Target steps come first, in target order, then global steps.  Enabled are
-    the active phases that are known, in the order they were asked for.
+    the known phases that are active, in the order they are declared.
     ``position`` feeds :func:`buildgraph.operators.chunking.chunk`.
     """
-    enabled = [p for p in (active if active is not None else phases) if p in phases]
+    enabled = [p for p in phases if active is None or p in active]
     kept = steps.filter(F.col("phase").isin(*enabled)).select("phase", "key", *[c for c in order if c != "key"])
     numbered = number_rows(kept, ["phase"], list(order))
     place = F.array_position(F.array(*[F.lit(p) for p in enabled]), F.col("phase"))

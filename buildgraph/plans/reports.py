@@ -100,7 +100,7 @@ def extra_steps(spark, sf_dir):
     CASE o_orderkey % 3 WHEN 0 THEN 'build' WHEN 1 THEN 'release' ELSE 'deploy' END AS phase, false AS g FROM orders
   UNION ALL SELECT c_custkey, 'c' || c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'build' ELSE 'release' END, true FROM customer),
 n AS (SELECT *, row_number() OVER (PARTITION BY phase ORDER BY g, k, key) AS position FROM s WHERE phase IN ('build', 'release'))
-SELECT phase, CASE phase WHEN 'release' THEN 1 ELSE 2 END AS phase_order, position, key, position // 192 + 1 AS chunk FROM n""")
+SELECT phase, CASE phase WHEN 'build' THEN 1 ELSE 2 END AS phase_order, position, key, position // 192 + 1 AS chunk FROM n""")
 def steps_by_phase(spark, sf_dir):
     k, c = F.col("o_orderkey"), F.col("c_custkey")
     own = t.table(spark, sf_dir, "orders").select(

@@ -194,7 +194,7 @@ def test_steps_by_phase(spark):
     )
     got = r.steps_by_phase(steps, ["build", "release"], ["release", "test", "build"])
     assert sorted(tuple(q) for q in got.collect()) == [
-        ("build", 2, 1, "a"), ("build", 2, 2, "b"), ("build", 2, 3, "g"), ("release", 1, 1, "r"),
+        ("build", 1, 1, "a"), ("build", 1, 2, "b"), ("build", 1, 3, "g"), ("release", 2, 1, "r"),
     ]
 
 
