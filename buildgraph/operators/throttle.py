@@ -52,14 +52,14 @@ def _next_due(events: DataFrame, keys: Sequence[str], micros: str, order: str, g
     blocks = range_blocks(merged, [*keys, "t", "kind", "o"], "throttle")
     event = F.when(F.col("kind") == 1, F.struct("t", "o"))
     heads = blocks.groupBy(*keys, "_block").agg(F.min(event).alias("_head"))
-    later = Window.partitionBy(*keys).orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
-    behind = heads.select(*keys, "_block", F.first("_head", True).over(later).alias("_behind"))
+    # Read backwards: growing frames are incremental, shrinking ones start over per row.
+    done = (Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*keys).orderBy(F.col("_block").desc()).rowsBetween(*done)
+    behind = heads.select(*keys, "_block", F.last("_head", True).over(later).alias("_behind"))
     inside = (
-        Window.partitionBy(*keys, "_block")
-        .orderBy("_index")
-        .rowsBetween(1, Window.unboundedFollowing)
+        Window.partitionBy(*keys, "_block").orderBy(F.col("_index").desc()).rowsBetween(*done)
     )
-    due = F.coalesce(F.first(event, True).over(inside), F.col("_behind"))
+    due = F.coalesce(F.last(event, True).over(inside), F.col("_behind"))
     return (
         blocks.join(behind, [*keys, "_block"])
         .withColumn("_n", due)
