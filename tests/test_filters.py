@@ -135,7 +135,7 @@ def test_valid_json(spark, text, want):
 
 def test_scalars(spark):
     lit = F.lit
-    assert one(spark, x.encode_name(lit("@plan/pi-ext"))) == "%40plan%2Fpi-ext"
+    assert one(spark, x.encode_name(lit("@scope/some-pkg"))) == "%40scope%2Fsome-pkg"
     assert one(spark, x.encode_name(lit("a b*~"))) == "a%20b%2A~"
     assert one(spark, x.tarball_url(lit("@p/ext"), lit("0.27.11"))) == "https://registry.npmjs.org/@p/ext/-/ext-0.27.11.tgz"
     assert one(spark, x.decode_id(lit("MTIz"))) == "123"
