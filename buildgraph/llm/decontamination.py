@@ -15,7 +15,6 @@ pass over the documents per block, and the blocks' spans are merged per document
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 

@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from buildgraph.llm import decontamination, lines, mixing, quality, simhash
+from buildgraph.llm import decontamination, language, lines, mixing, pii, quality, simhash, substrings, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op1(table(spark, sf_dir, "documents"))
+
+
+def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.op2(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.op3(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -19,10 +27,22 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.op4(table(spark, sf_dir, "documents"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.op5(table(spark, sf_dir, "documents"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.op6(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op7(table(spark, sf_dir, "documents"))
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.op8(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op9(table(spark, sf_dir, "documents"))
 
@@ -31,5 +51,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op4_line_dedup, op7_quality, op9_simhash, op10_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pii,
+        op2_tokens,
+        op3_decontamination,
+        op4_line_dedup,
+        op5_substrings,
+        op6_language,
+        op7_quality,
+        op8_urls,
+        op9_simhash,
+        op10_mixing,
+    )
+}
 ORACLES: dict[str, str] = {}
