@@ -176,7 +176,8 @@ def removal_spans(docs: DataFrame, windows: Windows, text: str = "text") -> Data
             cut = np.searchsorted(hit, first)
             for row in range(len(offsets) - 1):
                 a, b = cut[row], cut[row + 1]
-                found = sorted({windows.item_ids[i] for n in set(window[a:b].tolist()) for i in windows.items[n]})
+                names = (windows.item_ids[i] for n in set(window[a:b].tolist()) for i in windows.items[n])
+                found = sorted({x for x in names if x is not None})
                 spans = merged_spans(hit[a:b], hit[a:b] + windows.lengths[window[a:b]])
                 yield (
                     int(first[row + 1] - first[row]),
