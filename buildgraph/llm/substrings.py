@@ -28,10 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildgraph.functions.storage import fresh_path, materialize
 from buildgraph.llm.arrow_words import WordHasher, chunks, ngram_hashes, space_separated, word_spans
 from buildgraph.llm.lines import row_key
 from buildgraph.llm.simhash import single_spaced
+from buildgraph.llm.tables import stored
 
 WINDOW = 20
 ANCHOR = 6
@@ -163,10 +163,7 @@ def repeated_segments(docs: DataFrame) -> DataFrame:
                 )
 
     schema = f"anchor long, seg binary, k long, doc_id {kind}, start long, windows long, words binary"
-    found = docs.select("k", "doc_id", "text").mapInArrow(run, schema)
-    path = fresh_path(docs.sparkSession, "segments")
-    found.write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(schema).parquet(path)
+    return stored(docs.select("k", "doc_id", "text").mapInArrow(run, schema), "segments")
 
 
 class SuffixAutomaton:
@@ -259,7 +256,7 @@ def crowded_windows(crowded: DataFrame) -> DataFrame:
     text = F.array_join(F.slice("w", F.col("at") + 1, WINDOW), " ")
     place = F.struct("first.doc_id", "first.k", (F.col("first.start") + F.col("at")).alias("start"))
     hashed = each.select("seg", F.col("at").cast("long").alias("at"), place.alias("place"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), text).alias("b"))
-    hashed = materialize(hashed, "crowded")
+    hashed = stored(hashed, "crowded")
     least = hashed.groupBy("a", "b").agg(F.min("place").alias("least"))
     later = hashed.join(least, ["a", "b"]).where((F.col("place.k") != F.col("least.k")) | (F.col("place.start") != F.col("least.start")))
     return later.groupBy("seg").agg(F.collect_list("at").alias("seen"))
@@ -274,18 +271,20 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     distinct = occurrences.groupBy("anchor", "seg").agg(
         F.min(F.struct("doc_id", "k", "start")).alias("first"), F.max("words").alias("words"), F.max("windows").alias("windows"), F.count(F.lit(1)).alias("n")
     )
-    distinct = materialize(distinct, "distinct-segments")
+    distinct = stored(distinct, "distinct-segments")
     rivals = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("rivals"), F.sum("windows").alias("size")).where("rivals > 1")
-    rivals = materialize(rivals, "anchors")
+    rivals = stored(rivals, "anchors")
     size = rivals.where(F.col("rivals") <= CROWDED).agg(F.sum(F.col("size") + F.col("rivals") * (WINDOW - 1))).first()[0] or 0
     shards = max(1, -(-size // SHARD_WORDS))
     contested = distinct.join(rivals.select("anchor", "rivals"), "anchor")
     ordinary = contested.where(F.col("rivals") <= CROWDED).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     crowded = contested.where(F.col("rivals") > CROWDED)
-    seen = materialize(seen_windows(ordinary).unionByName(crowded_windows(crowded)), "seen")
+    seen = stored(seen_windows(ordinary).unionByName(crowded_windows(crowded)), "seen")
     verdicts = distinct.select("seg", "first", "n").join(seen, "seg", "left").where("n > 1 or seen is not null")
-    joined = occurrences.drop("words").join(verdicts.drop("n"), "seg")
-    origin = F.col("first.k").eqNullSafe(F.col("k")) & (F.col("first.start") == F.col("start"))
+    # Stored, so that a segment with very many occurrences can be split in the join below.
+    verdicts = stored(verdicts.select("seg", F.col("first.k").alias("first_k"), F.col("first.start").alias("first_start"), "seen"), "verdicts")
+    joined = occurrences.select("seg", "k", "start", "windows").join(verdicts, "seg")
+    origin = (F.col("first_k") == F.col("k")) & (F.col("first_start") == F.col("start"))
     gone = joined.where(~origin | F.col("seen").isNotNull()).select("k", F.struct("start", "windows", F.when(origin, F.col("seen")).alias("seen")).alias("g"))
     return gone.groupBy("k").agg(F.collect_set("g").alias("gone"))
 
@@ -298,7 +297,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     document and get the same result.  Null and empty texts have no words.
     """
     keyed = docs.select(row_key(F.col(doc_id), F.col(text)).alias("k"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    gone = materialize(removed_windows(keyed), "gone")
+    gone = stored(removed_windows(keyed), "gone")
     rows = keyed.join(gone, "k", "left").select("doc_id", "text", "gone")
     kind = dict(rows.dtypes)["doc_id"]
 
