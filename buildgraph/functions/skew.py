@@ -9,26 +9,29 @@ from pyspark.sql import functions as F
 
 from buildgraph.functions.storage import materialize_counted
 
-#: At most this many keys are treated as hot.  A key outside the top ``MOST``
-#: by row count holds less than 1/``MOST`` of the rows, so leaving it unsalted
-#: is safe at any data size, and the hot-key table has a fixed size bound.
-MOST = 1000
-#: Keys below this many rows never need splitting.
+#: Rows of one key from which it is split, and rows of a piece.
 MIN_ROWS = 100_000
-#: Pieces a hot key is split into.
-SALTS = 32
+#: At most this many keys are split, heaviest first.  A key that is not listed holds less than
+#: 1/``MOST`` of the rows (10 million of 10^12), which a task takes; the table has a fixed bound.
+MOST = 100_000
+
+
+def pieces(n: Column, rows: int = MIN_ROWS) -> Column:
+    """How many pieces of at most about ``rows`` rows a key of ``n`` rows is split into."""
+    return F.ceil(n / F.lit(rows)).cast("bigint")
 
 
 def hot_keys(
     df: DataFrame, keys: Sequence[str], min_rows: int = MIN_ROWS, most: int = MOST
 ) -> DataFrame:
-    """The heaviest keys of ``df``: at most ``most`` rows, found by a map-side combined count."""
+    """The heaviest keys of ``df`` and their ``_pieces``: at most ``most`` rows, by a combined count."""
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     heavy = counted.filter(F.col("_n") >= min_rows)
     for k in keys:
         heavy = heavy.filter(F.col(k).isNotNull())
     # Ties are broken by key: both sides of a join must see the same hot keys.
-    return heavy.orderBy(F.col("_n").desc(), *keys).limit(most).select(*keys)
+    heavy = heavy.orderBy(F.col("_n").desc(), *keys).limit(most)
+    return heavy.select(*keys, pieces(F.col("_n"), min_rows).alias("_pieces"))
 
 
 def lookup_join(
@@ -39,34 +42,32 @@ def lookup_join(
     spread: Sequence[str | Column] | None = None,
     hot: DataFrame | None = None,
     min_rows: int = MIN_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Equi join of ``facts`` with ``dim``, splitting only the hot keys of ``facts``.
 
-    Hot keys (a table of at most :data:`MOST` rows, hence broadcast) get a salt
-    derived from the ``spread`` columns of ``facts``; the matching ``dim`` rows
-    are repeated once per salt.  Other keys join as usual.  The salt is a hash
-    of row content, so a recomputed task produces the same rows.
+    Hot keys (at most :data:`MOST` rows, hence broadcast) get a salt below their number
+    of pieces, derived from the ``spread`` columns of ``facts``; the matching
+    ``dim`` rows are repeated once per piece.  Rows with a null key match nothing and
+    are spread freely.  Other keys join as usual.  The salt is a hash of row
+    content, so a recomputed task produces the same rows.
     """
     on = list(on)
     if hot is None:
         hot = hot_keys(facts, on, min_rows)
-    flagged = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
+    flagged = F.broadcast(hot.select(*on, "_pieces"))
     if spread is None:
         spread = [F.col(f"`{c}`") for c in facts.columns if c not in on]
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int") if spread else F.lit(0)
-    left = facts.join(flagged, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    right = (
-        dim.join(flagged, on, "left")
-        .withColumn("_salt", F.explode(copies))
-        .drop("_hot")
+    content = F.xxhash64(*spread) if spread else F.lit(0).cast("bigint")
+    missing = F.lit(False)
+    for k in on:
+        missing = missing | F.col(k).isNull()
+    salt = F.when(missing, content).when(
+        F.col("_pieces").isNotNull(), F.pmod(content, F.col("_pieces"))
     )
-    return left.drop("_hot").join(right, [*on, "_salt"], how).drop("_salt")
+    left = facts.join(flagged, on, "left").withColumn("_salt", F.coalesce(salt, F.lit(0)))
+    copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_pieces", F.lit(1)) - 1)
+    right = dim.join(flagged, on, "left").withColumn("_salt", F.explode(copies)).drop("_pieces")
+    return left.drop("_pieces").join(right, [*on, "_salt"], how).drop("_salt")
 
 
 class StoredTable:

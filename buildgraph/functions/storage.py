@@ -7,8 +7,10 @@ Spark's own broadcast threshold sees the true size) and is computed once.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,11 @@ def materialize_counted(df: DataFrame, label: str = "table") -> tuple[DataFrame,
     return stored, seen.get["n"]
 
 
+def numbered(most: int | None) -> Iterable[int]:
+    """The numbers of a loop's rounds: without end, unless the caller sets one."""
+    return itertools.count() if most is None else range(most)
+
+
 class Rounds:
     """Rows found so far by a loop, kept as a small number of stored tables.
 

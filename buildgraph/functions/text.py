@@ -131,11 +131,6 @@ def registry_crate_url(
     return F.when(has_mark, filled).otherwise(plain)
 
 
-def lock_package_name(key: str | Column) -> Column:
-    """Package name of a lockfile key: the text after the last ``node_modules/``."""
-    return F.substring_index(_col(key), "node_modules/", -1)
-
-
 def strip_trailing_slashes(path: str | Column) -> Column:
     """Path without any slashes at its end."""
     return F.regexp_replace(_col(path), "/+$", "")
@@ -151,11 +146,12 @@ def valid_json(text: str | Column) -> Column:
 
     The JSON functions ignore what follows the first value.  Wrapped once as an
     array element and once as an object member, a text parses both ways only if
-    nothing follows.
+    nothing follows.  The root path is read as a stream, so a text of any size
+    is judged alike.
     """
     t = _col(text)
-    element = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
-    member = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
+    element = F.get_json_object(F.concat(F.lit("["), t, F.lit("]")), "$")
+    member = F.get_json_object(F.concat(F.lit('{"v":'), t, F.lit("}")), "$")
     return element.isNotNull() & member.isNotNull()
 
 

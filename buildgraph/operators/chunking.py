@@ -45,6 +45,10 @@ def chunk(
     )
 
 
+#: Commits per repository up to which they are ranked in a window.
+RANKED = 1000
+
+
 def keep_set(
     commits: DataFrame, n: int = 5, mode: str = "ancestry", repo: str = "repo"
 ) -> DataFrame:
@@ -60,6 +64,13 @@ def keep_set(
         return commits.filter(F.col("is_head") | (F.col("parent_pos") < n - 1))
     if mode != "ancestry":
         raise ValueError("mode must be 'ancestry' or 'parents'")
+    if n > RANKED:
+        # Spark keeps the first n of each task before the exchange; for a large n that is no help.
+        late = commits.withColumns({"_t": -F.col("commit_time"), "_p": -F.col("position")})
+        late = late.withColumns({"_no_t": F.col("_t").isNull(), "_no_p": F.col("_p").isNull()})
+        order = ["_no_t", "_t", "_no_p", "_p"]
+        numbered = number_rows(late, [repo], order, "_rn")
+        return numbered.filter(F.col("_rn") <= n).drop("_rn", *order)
     newest = Window.partitionBy(repo).orderBy(
         F.col("commit_time").desc(), F.col("position").desc()
     )

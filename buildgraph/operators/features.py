@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buildgraph.functions.skew import MIN_ROWS, StoredTable
-from buildgraph.functions.storage import Rounds, materialize_counted
+from buildgraph.functions.skew import MIN_ROWS, StoredTable, lookup_join
+from buildgraph.functions.storage import Rounds, materialize_counted, numbered
 
-MAX_ROUNDS = 10_000
 #: Marks a selected package in the state; it is no feature.
 SELECTED = ""
 
@@ -100,7 +99,7 @@ def resolve_features(
     deps: DataFrame,
     feature_map: DataFrame,
     roots: DataFrame,
-    max_rounds: int = MAX_ROUNDS,
+    max_rounds: int | None = None,
     hot_rows: int = MIN_ROWS,
 ) -> DataFrame:
     """Least fixpoint of enabled features: rows (package_id, feature).
@@ -128,7 +127,7 @@ def resolve_features(
     )
     new, n = materialize_counted(start.distinct(), "features")
     rounds = Rounds(new)
-    for _ in range(max_rounds):
+    for _ in numbered(max_rounds):
         if n == 0:
             break
         state = rounds.all()
@@ -203,7 +202,8 @@ def rename_groups(deps: DataFrame, packages: DataFrame) -> DataFrame:
     renamed = deps.filter(F.col("rename").isNotNull()).select(
         "package_id", "name", "dep_id", "rename"
     )
-    return renamed.join(versions, "dep_id").select("package_id", "name", "version", "rename")
+    joined = lookup_join(renamed, versions, ["dep_id"], "inner")
+    return joined.select("package_id", "name", "version", "rename")
 
 
 def compare_sets(left: DataFrame, right: DataFrame, key: str = "package_id", item: str = "feature") -> DataFrame:

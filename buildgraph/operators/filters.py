@@ -109,7 +109,7 @@ def visible_targets(files: DataFrame) -> DataFrame:
         ).alias("above"),
     )
     dropped = (
-        lineage.join(marked, "above")
+        lookup_join(lineage, marked, ["above"], "inner", spread=["dir"])
         .filter(F.col("above_tree") | (F.col("above") != F.col("dir")))
         .select("dir")
         .distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buildgraph.functions.skew import MIN_ROWS, hot_keys, lookup_join
-from buildgraph.functions.text import strip_trailing_slashes, valid_json
+from buildgraph.functions.text import STORE_PREFIX, strip_trailing_slashes, valid_json
 
 
 def lookup_chain(
@@ -27,30 +27,43 @@ def lookup_chain(
     is the empty map.  Adds ``<name>_outcome`` per source, ``origin`` and
     ``payload``.
     """
-    out = requests
     hot = hot_keys(requests, ["commit"], hot_rows)
-    for name, entries in sources:
-        e = entries.select(
+    entry = "struct<v: string, p: string, ok: boolean>"
+    tagged = [
+        entries.select(
             "commit",
-            F.col("validator").alias(f"_{name}_v"),
-            F.col("payload").alias(f"_{name}_p"),
-            F.lit(True).alias(f"_{name}_e"),
+            F.lit(i).alias("_source"),
+            F.struct(
+                F.col("validator").cast("string").alias("v"),
+                F.col("payload").alias("p"),
+                F.coalesce(valid_json("payload"), F.lit(False)).alias("ok"),
+            ).cast(entry).alias("_entry"),
         )
-        out = lookup_join(out, e, ["commit"], "left", hot=hot)
-        valid = F.coalesce(F.col("validator") == F.col(f"_{name}_v"), F.lit(False))
+        for i, (_, entries) in enumerate(sources)
+    ]
+    # One row per commit with its entry of every source; payloads are checked once, before the join.
+    if tagged:
+        every = tagged[0]
+        for t in tagged[1:]:
+            every = every.unionByName(t)
+        chosen = [
+            F.max_by("_entry", F.when(F.col("_source") == i, 1)).alias(f"_{name}")
+            for i, (name, _) in enumerate(sources)
+        ]
+        out = lookup_join(requests, every.groupBy("commit").agg(*chosen), ["commit"], "left", hot=hot)
+    else:
+        out = requests
+    for name, _ in sources:
+        e = F.col(f"_{name}")
+        valid = F.coalesce(F.col("validator").cast("string") == e["v"], F.lit(False))
         outcome = (
-            F.when(
-                F.col(f"_{name}_e").isNull()
-                | F.col("validator").isNull()
-                | F.col(f"_{name}_v").isNull(),
-                "miss",
-            )
+            F.when(e.isNull() | F.col("validator").isNull() | e["v"].isNull(), "miss")
             .when(~valid, "stale")
-            .when(F.col(f"_{name}_p").isNull(), "miss")
-            .when(~valid_json(f"_{name}_p"), "corrupt")
+            .when(e["p"].isNull(), "miss")
+            .when(~e["ok"], "corrupt")
             .otherwise("hit")
         )
-        out = out.withColumn(f"{name}_outcome", outcome)
+        out = out.withColumns({f"{name}_outcome": outcome, f"_{name}_p": e["p"]})
     origin, payload = None, None
     for name, _ in sources:
         hit = F.col(f"{name}_outcome") == "hit"
@@ -115,9 +128,6 @@ def merge_right(left: DataFrame, right: DataFrame, key: str | Sequence[str]) ->
     )
 
 
-STORE_PREFIX = "/nix/store/"
-
-
 def _kept(declared_remove: Sequence[str]):
     gone = F.startswith("value", F.lit(STORE_PREFIX))
     if declared_remove:
@@ -217,7 +227,7 @@ def route(
     """
     key = strip_trailing_slashes(F.coalesce(F.try_parse_url(F.col(url), F.lit("PATH")), F.lit("")))
     host = F.lower(F.try_parse_url(F.col(url), F.lit("HOST")))
-    # The route tables are configuration; Spark broadcasts them while they are small.
+    # One host or path may be asked for by a third of all requests.
     h = hosts.select(F.col("host").alias("_host"), F.lit(True).alias("_permitted"))
     p = pages.select(F.col("path").alias("_key"), F.lit(True).alias("_page"))
     r = redirects.select(F.col("path").alias("_key"), F.col("target").alias("_target"))
@@ -227,13 +237,9 @@ def route(
         .when(F.coalesce("_target", F.lit("")) != "", 302)
         .otherwise(404)
     )
-    out = (
-        requests.withColumns({"_host": host, "_key": key})
-        .join(h, "_host", "left")
-        .join(p, "_key", "left")
-        .join(r, "_key", "left")
-        .withColumn("status", status)
-    )
+    answers = p.join(r, "_key", "full_outer")
+    out = lookup_join(requests.withColumns({"_host": host, "_key": key}), h, ["_host"])
+    out = lookup_join(out, answers, ["_key"]).withColumn("status", status)
     return out.withColumn("location", F.when(F.col("status") == 302, F.col("_target"))).drop(
         "_host", "_key", "_permitted", "_page", "_target"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildgraph.functions.skew import MIN_ROWS, MOST, lookup_join
+from buildgraph.functions.skew import MIN_ROWS, MOST, lookup_join, pieces
 from buildgraph.functions.text import decode_id
 
 
@@ -53,7 +53,8 @@ def owner_failures(
     rows = _failed_owners(results, empty_as_null)
     totals = rows.groupBy("owner").agg(F.count(F.lit(1)).alias("n_failed"))
     heavy = totals.filter(F.col("n_failed") >= hot_rows)
-    hot = heavy.orderBy(F.col("n_failed").desc(), "owner").limit(MOST).select("owner")
+    hot = heavy.orderBy(F.col("n_failed").desc(), "owner").limit(MOST)
+    hot = hot.select("owner", pieces(F.col("n_failed"), hot_rows).alias("_pieces"))
     exit_text = F.when(
         F.col("exit_code").isNotNull(), F.concat(F.lit("(exit "), "exit_code", F.lit(")"))
     ).otherwise("")

@@ -90,16 +90,16 @@ def backfill_integrity(
         & (F.coalesce("version", F.lit("")) != "")
     )
     r = registry.select("name", "version", F.nullif("integrity", F.lit("")).alias("_found"))
-    joined = lookup_join(
-        lock.withColumn("_wanted", wanted), r, ["name", "version"], "left", min_rows=hot_rows
-    )
-    fix = F.col("_wanted") & F.col("_found").isNotNull()
-    return joined.withColumns(
+    wanted = F.coalesce(wanted, F.lit(False))
+    joined = lookup_join(lock.filter(wanted), r, ["name", "version"], "left", min_rows=hot_rows)
+    looked_up = joined.withColumns(
         {
-            "integrity": F.when(fix, F.col("_found")).otherwise(F.col("integrity")),
-            "outcome": F.when(fix, "fixed").when(F.col("_wanted"), "missing").otherwise("untouched"),
+            "integrity": F.coalesce("_found", "integrity"),
+            "outcome": F.when(F.col("_found").isNotNull(), "fixed").otherwise("missing"),
         }
-    ).drop("_wanted", "_found")
+    ).select(*lock.columns, "outcome")
+    # The others pass through without an exchange.
+    return lock.filter(~wanted).withColumn("outcome", F.lit("untouched")).unionByName(looked_up)
 
 
 def fix_counts(backfilled: DataFrame) -> DataFrame:

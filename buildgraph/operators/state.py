@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from buildgraph.functions.ordered import BLOCK_ROWS, block_of, running_count
+from buildgraph.functions.storage import materialize
 from buildgraph.functions.text import last_lines
 from buildgraph.operators.filters import TRANSIENT_PATTERNS, transient
 
@@ -265,7 +266,11 @@ def run_results(
     run_ok: bool,
     max_retries: int = 3,
 ) -> DataFrame:
-    """Results of a finished run: last result, durations, logs, retries, then resolution."""
+    """Results of a finished run: last result, durations, logs, retries, then resolution.
+
+    The events are stored first; each part of the fold reads them.
+    """
+    events = materialize(events, "run-events")
     done = events.filter(F.col("status").isin("succeeded", "failed", "substitution"))
     last = done.groupBy("tree_path").agg(
         F.max_by(F.struct(_state(F.col("status")).alias("s"), "exit_code"), "seq").alias("r")

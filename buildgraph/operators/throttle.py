@@ -11,9 +11,9 @@ from buildgraph.functions.ordered import range_blocks
 from buildgraph.functions.skew import MIN_ROWS, lookup_join
 from buildgraph.functions.storage import Rounds, materialize, materialize_counted
 
-#: Keys up to this many events are folded inside one row.
-FOLD_ROWS = 4096
-MAX_ROUNDS = 60
+#: Keys up to this many events are folded inside one row, where an emission copies those
+#: before it; larger ones are chained.  The results are equal.
+FOLD_ROWS = 256
 
 
 def _fold(events: DataFrame, keys: Sequence[str], micros: str, order: str, gap: int) -> DataFrame:
@@ -97,7 +97,7 @@ def _chain(events: DataFrame, keys: Sequence[str], micros: str, order: str, gap:
         jumps.filter("n_o IS NOT NULL").join(nodes, [*keys, "t", "o"], "left_semi"), "jump"
     )
     rounds = Rounds(reached)
-    for _ in range(MAX_ROUNDS):
+    while True:
         everything = rounds.all()
         new, n = materialize_counted(
             everything.join(jumps, [*keys, "t", "o"]).select(
@@ -127,7 +127,6 @@ def _chain(events: DataFrame, keys: Sequence[str], micros: str, order: str, gap:
             twice.select(*keys, "t", "o", F.col("m_t").alias("n_t"), F.col("m_o").alias("n_o")),
             "jump",
         )
-    raise RuntimeError("throttle did not settle")
 
 
 def throttle(

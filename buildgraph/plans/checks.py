@@ -91,7 +91,7 @@ def visible_targets(spark, sf_dir):
 
 
 @query("""WITH u AS (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*|[?#].*$', '', 'g') AS path FROM pages)
-SELECT page_id, path FROM u WHERE path NOT LIKE '%.html' AND NOT path LIKE '%/de/%'
+SELECT page_id, path FROM u WHERE path NOT LIKE '%.html'
   AND regexp_matches(regexp_extract(path, '[^/]*$'), '^[0-9]')""")
 def filter_paths(spark, sf_dir):
     paths = t.table(spark, sf_dir, "pages").select(
@@ -99,7 +99,6 @@ def filter_paths(spark, sf_dir):
         F.regexp_replace("url", r"^[a-z]+://[^/]*|[?#].*$", "").alias("path"),
         F.lit("regular").alias("type"),
     )
-    paths = paths.filter(~F.contains("path", F.lit("/de/")))
     return f.filter_paths(
         paths, [f.PathRule("suffix", ".html")], [f.PathRule("match", "^[0-9]")]
     ).select("page_id", "path")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from buildgraph.functions.storage import materialize
 from buildgraph.operators import attribution as a
 from buildgraph.operators import state as s
 from buildgraph.operators.graph import propagate_skips as spread_skips
@@ -101,7 +102,7 @@ def attempts_of(events):
 
 
 def _base(spark, sf_dir):
-    events = _events(spark, sf_dir)
+    events = materialize(_events(spark, sf_dir), "events")
     logs = s.log_tail(events.filter("status = 'line'")).select("tree_path", "log")
     states = s.final_state(events, t.tracked(spark, sf_dir)).withColumn(
         "status", F.when(F.col("state") == "building", "failed").otherwise(F.col("state"))

@@ -129,8 +129,7 @@ ITEM = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice
 def _pages(spark, sf_dir):
     """One page per sixty orders: orders as builds, line numbers as jobs, items as artifacts.
 
-    Arrays are ordered by key, with the part as tie-break.  Ten builds of a full
-    page lie beyond the fifty that are looked at.
+    Arrays are ordered by key, with the part as tie-break.
     """
     item = F.struct(
         F.struct(
@@ -167,7 +166,7 @@ li AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS q, l_partkey AS p, l_ret
 builds AS (SELECT o_orderkey // 60 AS page_id, o_orderkey AS o, row_number() OVER (PARTITION BY o_orderkey // 60 ORDER BY o_orderkey) - 1 AS build_pos FROM orders),
 flat AS (SELECT page_id, (li.o % 97)::VARCHAR AS commit, build_pos, dense_rank() OVER (PARTITION BY li.o ORDER BY q) - 1 AS job_pos,
   row_number() OVER (PARTITION BY li.o, q ORDER BY p, f) - 1 AS artifact_pos, 'drvmap-' || f || '.json' AS path, 'url-' || p AS download_url
-  FROM li JOIN builds USING (o) WHERE build_pos < 50)"""
+  FROM li JOIN builds USING (o))"""
 
 
 @query(f"WITH {ARTIFACTS} SELECT * FROM flat")
@@ -176,13 +175,21 @@ def artifacts(spark, sf_dir):
     return flat.withColumns({x: F.col(x).cast("bigint") for x in ("build_pos", "job_pos", "artifact_pos")})
 
 
+@query(f"WITH {ARTIFACTS} SELECT * FROM flat WHERE build_pos < 50")
+def artifacts_first_builds(spark, sf_dir):
+    """A page query that asks for the first fifty builds."""
+    flat = flatten_artifacts(_pages(spark, sf_dir), max_builds=50)
+    return flat.withColumns({x: F.col(x).cast("bigint") for x in ("build_pos", "job_pos", "artifact_pos")})
+
+
 @query(f"""WITH {ARTIFACTS}
 SELECT page_id, commit, arg_min(download_url, (build_pos, job_pos, artifact_pos)) AS download_url FROM flat
 WHERE path = 'drvmap-A.json' AND commit <> '5' GROUP BY ALL""")
 def first_match(spark, sf_dir):
-    flat = flatten_artifacts(_pages(spark, sf_dir))
     wanted = t.table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 97).cast("string").alias("commit"))
-    return c.first_match(flat, wanted.filter("commit <> '5'"), "drvmap-A.json", ["page_id"])
+    wanted = wanted.filter("commit <> '5'")
+    flat = flatten_artifacts(_pages(spark, sf_dir), commits=wanted)
+    return c.first_match(flat, wanted, "drvmap-A.json", ["page_id"])
 
 
 @query("""SELECT l_partkey, arg_min(l_orderkey, (l_shipdate, l_orderkey)) AS l_orderkey, min(epoch_us(l_shipdate)) AS at
@@ -248,7 +255,7 @@ def reconcile_lists(spark, sf_dir):
 
 @query("""WITH d AS (SELECT p_partkey AS k FROM part)
 SELECT k AS doc_id, (CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS n_kept, (CASE WHEN k % 3 = 2 THEN 1 ELSE 2 END)::BIGINT AS n_dropped,
-  k % 3 = 0 AS unchanged FROM d""")
+  k % 3 = 0 AS unchanged, 'a' AS skills FROM d""")
 def reconciled_documents(spark, sf_dir):
     k = F.col("p_partkey")
     docs = t.table(spark, sf_dir, "part").select(k.alias("doc_id"), F.array(F.lit("a")).alias("skills"))
@@ -259,7 +266,7 @@ def reconciled_documents(spark, sf_dir):
         k.alias("doc_id"), F.posexplode(F.concat(first, rest)).alias("pos", "value")
     ).withColumn("is_object", F.lit(False))
     done = lk.reconciled_documents(docs, entries, ["/nix/store/x", "/nix/store/y"], [], ["a"])
-    return done.drop("skills")
+    return done.withColumn("skills", F.array_join("skills", ","))
 
 
 @query("""WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host,

@@ -35,6 +35,7 @@ MODULES = (
     "lookups",
     "words",
     "streams",
+    "files",
 )
 
 

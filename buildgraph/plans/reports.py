@@ -50,10 +50,10 @@ def _state(spark, sf_dir):
 
 @query(f"""WITH {t.RESULTS}
 SELECT tree_path, CASE status WHEN 'failed' THEN ':x:' WHEN 'succeeded' THEN ':white_check_mark:'
-    ELSE ':no_entry_sign:' END AS icon, badge, duration_ms,
+    ELSE ':no_entry_sign:' END AS icon, badge, duration_ms, CASE WHEN status <> 'skipped' THEN printf('%.1fs', duration_ms / 1000.0) ELSE '—' END AS duration_text,
   CASE WHEN NOT has_owner THEN '—' ELSE coalesce(github, discord, '?') END AS owner_names FROM results""")
 def status_report(spark, sf_dir):
-    return r.status_report(_state(spark, sf_dir)).drop("duration_text")
+    return r.status_report(_state(spark, sf_dir))
 
 
 @query(f"""WITH {t.RESULTS}, c AS (SELECT system, count(*) FILTER (status = 'succeeded') AS ok,

@@ -47,10 +47,11 @@ def removed(spark, sf_dir):
 
 @query(f"""WITH {t.SNAPSHOTS}
 SELECT tree_path, drv_path, system, dev_attr_type FROM current
-WHERE tree_path NOT IN (SELECT 'part/' || p_partkey FROM part WHERE p_brand = 'Brand#7')""")
+WHERE tree_path NOT IN (SELECT 'part/' || (p_partkey * 10 + n) FROM part, range(10) r(n) WHERE p_brand = 'Brand#7')""")
 def subtract(spark, sf_dir):
     excluded = t.table(spark, sf_dir, "part").filter("p_brand = 'Brand#7'")
-    excluded = excluded.select(t.text("part/", F.col("p_partkey")).alias("tree_path"))
+    excluded = excluded.select(F.explode(F.sequence(F.col("p_partkey") * 10, F.col("p_partkey") * 10 + 9)).alias("k"))
+    excluded = excluded.select(t.text("part/", F.col("k")).alias("tree_path"))
     return d.subtract(_pair(spark, sf_dir)[1], excluded, "tree_path")
 
 
@@ -118,13 +119,19 @@ def mismatches(spark, sf_dir):
     return d.mismatches(current, derived)
 
 
-@query(f"WITH {t.SNAPSHOTS} SELECT tree_path, drv_path, system, dev_attr_type FROM current")
+@query(f"""WITH {t.SNAPSHOTS}
+SELECT 'full' AS side, tree_path, drv_path, system, dev_attr_type FROM current
+UNION ALL SELECT 'changed', tree_path, drv_path, system, dev_attr_type FROM current c
+WHERE NOT EXISTS (SELECT 1 FROM parent p WHERE p.tree_path = c.tree_path AND p.drv_path = c.drv_path)""")
 def snapshot_round_trip(spark, sf_dir):
     parent, current = t.snapshots(spark, sf_dir)
     path = fresh_path(spark, "snapshot")
     write_snapshot(current, d.changed_targets(parent, current), path)
-    full = spark.read.parquet(f"{path}/full")
-    return full.select(*ROW)
+    sides = [
+        spark.read.parquet(f"{path}/{side}").select(F.lit(side).alias("side"), *ROW)
+        for side in ("full", "changed")
+    ]
+    return sides[0].unionByName(sides[1])
 
 
 @query(f"""WITH {t.DIFF}

@@ -13,17 +13,28 @@ from buildgraph.streaming import log as sl
 from buildgraph.streaming import stateful as sf
 
 
-def _events_stream(spark, sf_dir):
-    schema = t.table(spark, sf_dir, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    return source.option("maxFilesPerTrigger", 1).parquet(sf_dir)
+PARTS = 3
+
+
+def _in_parts(spark, sf_dir, consume):
+    """Land the events in three parts by id and run the stream after each.
+
+    A part is one micro-batch, however many files it has, and state carries over.
+    """
+    events = t.table(spark, sf_dir, "events")
+    ends = events.agg(F.min("event_id").alias("a"), F.max("event_id").alias("b")).first()
+    low, width = ends["a"] or 0, ((ends["b"] or 0) - (ends["a"] or 0)) // PARTS + 1
+    path = fresh_path(spark, "landing")
+    for part in range(PARTS):
+        inside = F.col("event_id").between(low + part * width, low + (part + 1) * width - 1)
+        events.filter(inside).write.parquet(f"{path}/part-{part}")
+        consume(spark.readStream.schema(events.schema).parquet(f"{path}/part-*"))
 
 
 @query(ORACLES["attribute_log"])
 def stream_attribute_log(spark, sf_dir):
-    root = fresh_path(spark, "stream")
-    log = t.log_of(_events_stream(spark, sf_dir))
-    sl.attribute_stream(log, t.log_targets(spark, sf_dir), root).awaitTermination()
+    root, targets = fresh_path(spark, "stream"), t.log_targets(spark, sf_dir)
+    _in_parts(spark, sf_dir, lambda rows: sl.attribute_stream(t.log_of(rows), targets, root).awaitTermination())
     return sf.read_output(spark, root).drop("run", "ts_us")
 
 
@@ -35,13 +46,17 @@ SELECT s.tree_path, s.drv_path, s.exit_code, duration_latest_ms,
   CASE WHEN state = 'pending' AND s.tree_path IN (SELECT id FROM hit) THEN 'skipped' ELSE state END AS state
 FROM states s LEFT JOIN times t ON t.tree_path = s.tree_path""")
 def stream_live_state(spark, sf_dir):
-    """Two streams in a row: attribution, then the state fold over its output."""
+    """Two streams in a row: attribution, then the state fold over its output, part by part."""
     first, second = fresh_path(spark, "stream"), fresh_path(spark, "stream")
-    log = t.log_of(_events_stream(spark, sf_dir))
-    sl.attribute_stream(log, t.log_targets(spark, sf_dir), first).awaitTermination()
-    landed = sf.read_output(spark, first)
-    source = spark.readStream.schema(landed.schema).parquet(f"{first}/output/batch=*")
-    sl.live_state_stream(source, second).awaitTermination()
+    targets = t.log_targets(spark, sf_dir)
+
+    def consume(rows):
+        sl.attribute_stream(t.log_of(rows), targets, first).awaitTermination()
+        landed = sf.read_output(spark, first)
+        source = spark.readStream.schema(landed.schema).parquet(f"{first}/output/batch=*")
+        sl.live_state_stream(source, second).awaitTermination()
+
+    _in_parts(spark, sf_dir, consume)
     live = sf.latest_state(spark, second, sl.LIVE)
     return sl.live_report(live, t.tracked(spark, sf_dir), t.tracked_edges(spark, sf_dir))
 
@@ -49,12 +64,16 @@ def stream_live_state(spark, sf_dir):
 @query(ORACLES["throttle"])
 def stream_throttle(spark, sf_dir):
     root = fresh_path(spark, "stream")
-    events = _events_stream(spark, sf_dir).select(
-        "user_id",
-        F.unix_micros(F.col("ts").cast("timestamp_ltz")).alias("ts_us"),
-        F.col("event_id").alias("seq"),
-    )
-    sl.throttle_stream(events, root, "user_id", 86_400, "bigint").awaitTermination()
+
+    def consume(rows):
+        events = rows.select(
+            "user_id",
+            F.unix_micros(F.col("ts").cast("timestamp_ltz")).alias("ts_us"),
+            F.col("event_id").alias("seq"),
+        )
+        sl.throttle_stream(events, root, "user_id", 86_400, "bigint").awaitTermination()
+
+    _in_parts(spark, sf_dir, consume)
     state = sf.latest_state(spark, root, sl.throttle_schema("user_id", "bigint"))
     return sf.read_output(spark, root).unionByName(sl.throttle_final(state, "user_id"))
 
@@ -62,9 +81,12 @@ def stream_throttle(spark, sf_dir):
 @query(ORACLES["line_buffer"])
 def stream_line_buffer(spark, sf_dir):
     root = fresh_path(spark, "stream")
-    lines = t.log_of(_events_stream(spark, sf_dir)).filter("type = 101")
-    lines = lines.select("id", "seq", F.col("arg_text").alias("line"))
-    sl.buffer_stream(lines, root, "id", 5, "bigint").awaitTermination()
+
+    def consume(rows):
+        lines = t.log_of(rows).filter("type = 101").select("id", "seq", F.col("arg_text").alias("line"))
+        sl.buffer_stream(lines, root, "id", 5, "bigint").awaitTermination()
+
+    _in_parts(spark, sf_dir, consume)
     return sf.latest_state(spark, root, sl.buffer_schema("id", "bigint"))
 
 

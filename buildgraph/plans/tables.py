@@ -27,7 +27,8 @@ def text(*parts) -> Column:
 
 # --- target snapshots -----------------------------------------------------
 
-PARENT_DAY, CURRENT_DAY = "1999-01-01", "1999-02-01"
+#: Parent targets shipped before this day, current ones from it on; together they are all items.
+CUT_DAY = "1998-07-01"
 
 
 def _system(size):
@@ -48,19 +49,17 @@ def _attr_type(t):
     )
 
 
-def snapshot(spark: SparkSession, sf_dir: str, day: str) -> DataFrame:
-    """Targets as of a day: parts shipped in the 180 days before it."""
-    ships = table(spark, sf_dir, "lineitem").filter(
-        (F.col("l_shipdate") >= F.expr(f"timestamp_ntz'{day}' - interval 180 days"))
-        & (F.col("l_shipdate") < F.expr(f"timestamp_ntz'{day}'"))
-    )
-    drvs = ships.groupBy("l_partkey").agg(
-        F.concat(F.count(F.lit(1)), F.lit("-"), F.max("l_orderkey")).alias("drv_path")
+def snapshot(spark: SparkSession, sf_dir: str, current: bool) -> DataFrame:
+    """Targets of one side of the cut day: parts by line number."""
+    shipped = F.col("l_shipdate") >= F.expr(f"timestamp_ntz'{CUT_DAY}'")
+    ships = table(spark, sf_dir, "lineitem").filter(shipped if current else ~shipped)
+    drvs = ships.groupBy((F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("k")).agg(
+        F.concat(F.count(F.lit(1)), F.lit("-"), F.max("l_orderkey") % 3).alias("drv_path")
     )
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type")
-    k = F.col("l_partkey")
-    return drvs.join(part, F.col("p_partkey") == k, "left").select(
-        F.lit(day).alias("snapshot_id"),
+    k = F.col("k")
+    return drvs.join(part, F.col("p_partkey") == F.expr("k div 10"), "left").select(
+        F.lit("current" if current else "parent").alias("snapshot_id"),
         text("part/", k).alias("tree_path"),
         "drv_path",
         F.array(F.lit("part"), k.cast("string")).alias("attr_path"),
@@ -81,10 +80,10 @@ def snapshot(spark: SparkSession, sf_dir: str, day: str) -> DataFrame:
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Parent and current snapshot."""
-    return snapshot(spark, sf_dir, PARENT_DAY), snapshot(spark, sf_dir, CURRENT_DAY)
+    return snapshot(spark, sf_dir, False), snapshot(spark, sf_dir, True)
 
 
-def _snap_sql(name: str, day: str) -> str:
+def _snap_sql(name: str, side: str) -> str:
     return f"""
 {name} AS (
   SELECT 'part/' || k AS tree_path, k, p_size, drv_path,
@@ -93,12 +92,12 @@ def _snap_sql(name: str, day: str) -> str:
     CASE p_type WHEN 'ECONOMY' THEN 'nixos-system' WHEN 'MEDIUM' THEN 'darwin-system'
       WHEN 'LARGE' THEN 'home-manager-system' WHEN 'PROMO' THEN 'formatting-check'
       WHEN 'SMALL' THEN 'shell' END AS dev_attr_type
-  FROM (SELECT l_partkey AS k, count(*) || '-' || max(l_orderkey) AS drv_path FROM lineitem
-        WHERE l_shipdate >= TIMESTAMP '{day}' - INTERVAL 180 DAY AND l_shipdate < TIMESTAMP '{day}'
-        GROUP BY l_partkey) d LEFT JOIN part ON p_partkey = k)"""
+  FROM (SELECT l_partkey * 10 + l_linenumber AS k, count(*) || '-' || (max(l_orderkey) % 3) AS drv_path
+        FROM lineitem WHERE l_shipdate {side} TIMESTAMP '{CUT_DAY}'
+        GROUP BY 1) d LEFT JOIN part ON p_partkey = k // 10)"""
 
 
-SNAPSHOTS = _snap_sql("parent", PARENT_DAY) + "," + _snap_sql("current", CURRENT_DAY)
+SNAPSHOTS = _snap_sql("parent", "<") + "," + _snap_sql("current", ">=")
 
 DIFF = (
     SNAPSHOTS
@@ -311,7 +310,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("system"),
         status.alias("status"),
         F.when(F.col("o_orderstatus") == "F", k % 4).cast("bigint").alias("exit_code"),
-        (k % 1000).cast("bigint").alias("duration_ms"),
+        (k % 1000 * 100 + 20).cast("bigint").alias("duration_ms"),
         F.when(k % 7 == 0, F.array().cast(OWNER_TYPE)).otherwise(F.array(owner)).alias("owners"),
         F.when(F.col("o_orderstatus") == "F", text("tail ", k)).alias("log_tail"),
         _attr_type(F.element_at(F.array(*[F.lit(x) for x in ATTR_TYPES]), (k % 6 + 1).cast("int"))).alias(
@@ -327,7 +326,7 @@ results AS (
   SELECT 'order/' || o_orderkey AS tree_path, o_orderkey AS k, o_orderpriority AS system,
     CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'succeeded' ELSE 'skipped' END AS status,
     CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 4 END AS exit_code,
-    o_orderkey % 1000 AS duration_ms,
+    o_orderkey % 1000 * 100 + 20 AS duration_ms,
     o_orderkey % 7 <> 0 AS has_owner,
     CASE WHEN o_custkey % 2 = 0 THEN to_base64(encode(o_custkey::VARCHAR)) END AS discord,
     CASE WHEN o_custkey % 2 = 0 THEN o_custkey::VARCHAR END AS discord_id,
@@ -342,13 +341,13 @@ results AS (
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English tokens of the documents."""
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
-    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    """Words of the documents: runs of letters of any script, lower case."""
+    docs = table(spark, sf_dir, "documents")
+    found = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
     return docs.select("doc_id", F.explode(found).alias("word"))
 
 
 WORDS = """
 words AS (
-  SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word
-  FROM documents WHERE lang = 'en')"""
+  SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word
+  FROM documents)"""

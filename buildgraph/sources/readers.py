@@ -7,15 +7,22 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from buildgraph.functions.text import valid_json
 from buildgraph.operators.extract import extract_exactly_one
 from buildgraph.sources import schemas
 
 LOG_PREFIX = "@nix "
+#: Marker behind a log record; see :func:`parse_log_lines`.
+END = "@end@"
 MODES = ("failfast", "quarantine")
 
 
+def _parse_struct(ddl: str) -> list[StructField]:
+    return StructType.fromDDL(ddl).fields
+
+
 def _check_mode(mode: str) -> None:
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -109,7 +116,7 @@ def read_results(spark: SparkSession, path: str, pattern: str = "results-*.json"
 
 
 def read_result_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Target rows written by ``write_results``; partition folders give the system."""
+    """Target rows written by ``write_results``."""
     return (
         spark.read.schema(schemas.RESULT_ROW)
         .option("mode", "FAILFAST")
@@ -151,6 +158,23 @@ def parse_log_lines(lines: DataFrame, mode: str = "failfast", text_col: str = "v
     prefixed = F.startswith(F.col(text_col), F.lit(LOG_PREFIX))
     body = F.when(prefixed, F.substring(F.col(text_col), len(LOG_PREFIX) + 1, 1 << 30))
     marked = lines.filter(prefixed).select(*keep, body.alias("_json"))
+    # With a marker behind it, one parse tells whether the record is the whole line.  Lines that
+    # fail this, or hold the marker themselves, are judged and parsed on their own.
+    fields = [f.name for f in _parse_struct(schemas.LOG_LINE)]
+    marked = marked.select(
+        *keep,
+        "_json",
+        F.from_json(
+            F.concat(F.lit("["), "_json", F.lit(f',{{"{END}":1}}]')),
+            f"array<struct<{schemas.LOG_LINE}, `{END}`: int>>",
+        ).alias("_pair"),
+    )
+    whole = (
+        (F.size("_pair") == 2)
+        & (F.try_element_at("_pair", F.lit(2))[END] == 1)
+        & ~F.contains("_json", F.lit(END))
+    )
+    first = F.get("_pair", F.lit(0))
     bad = F.col("_json").isNotNull() & ~valid_json("_json")
     if mode == "failfast":
         checked = F.when(
@@ -158,7 +182,11 @@ def parse_log_lines(lines: DataFrame, mode: str = "failfast", text_col: str = "v
         ).otherwise(F.col("_json"))
     else:
         checked = F.when(~bad, F.col("_json"))
-    parsed = marked.select(*keep, F.from_json(checked, schemas.LOG_LINE).alias("l"))
+    record = F.when(
+        F.coalesce(whole, F.lit(False)), F.struct(*[first[f].alias(f) for f in fields])
+    ).otherwise(F.from_json(checked, schemas.LOG_LINE))
+    # A generator between: the filter on the action must not repeat the parse.
+    parsed = marked.select(*keep, F.explode(F.array(record)).alias("l"))
     return parsed.filter(F.col("l.action").isNotNull()).select(
         *keep,
         "l.action",
@@ -188,7 +216,7 @@ def _bytes(size: str) -> int:
     return int(number) << (10 * " kmgtp".index(unit or " "))
 
 
-def line_position(spark: SparkSession) -> Column:
+def line_position(spark: SparkSession, block: Column | None = None) -> Column:
     """Position of a text line inside its file: unique per file and increasing, not dense.
 
     Splits start at least ``step`` bytes apart, so the split number and the
@@ -200,7 +228,8 @@ def line_position(spark: SparkSession) -> Column:
         _bytes(spark.conf.get("spark.sql.files.openCostInBytes")),
     ]
     step = max(1, min(sizes))
-    split = F.floor(F.col("_metadata.file_block_start") / F.lit(step))
+    start = F.col("_metadata.file_block_start") if block is None else block
+    split = F.floor(start / F.lit(step))
     index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return (F.shiftleft(split, 33) + index).cast("bigint")
 
@@ -211,11 +240,14 @@ def read_build_log(
     """Build log records below ``path``.
 
     Batch reads add ``run`` (the file) and ``seq`` (line position).  A
-    streaming read adds ``run`` only: arrival order is the order of the stream.
+    streaming read adds ``run`` and ``block`` (the place of the split in the file); inside a
+    micro-batch :func:`number_batch` turns it into the same ``seq``.
     """
     if streaming:
         lines = spark.readStream.text(path).select(
-            "value", F.col("_metadata.file_path").alias("run")
+            "value",
+            F.col("_metadata.file_path").alias("run"),
+            F.col("_metadata.file_block_start").alias("block"),
         )
         return parse_log_lines(lines, mode)
     lines = spark.read.text(path).select(
@@ -224,6 +256,17 @@ def read_build_log(
     return parse_log_lines(lines, mode)
 
 
+def number_batch(batch: DataFrame) -> DataFrame:
+    """A micro-batch of a streamed build log with ``seq``; other batches as they are.
+
+    Must come first in the batch, before anything moves its rows.
+    """
+    if "block" not in batch.columns or "seq" in batch.columns:
+        return batch
+    seq = line_position(batch.sparkSession, F.col("block"))
+    return batch.withColumn("seq", seq).drop("block")
+
+
 def read_versions(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object of package name to version, one row per name."""
     docs = _parsed(_documents(spark, path), "map<string,string>", "failfast")
@@ -260,18 +303,28 @@ def read_pins(
     return named.join(read_versions(spark, versions_path), "npm_name").orderBy("dir_name")
 
 
-def flatten_artifacts(pages: DataFrame, page_col: str = "page", max_builds: int = 50) -> DataFrame:
+def flatten_artifacts(
+    pages: DataFrame,
+    page_col: str = "page",
+    max_builds: int | None = None,
+    commits: DataFrame | None = None,
+) -> DataFrame:
     """Nested API pages (builds, jobs, artifacts) as one row per artifact.
 
-    ``build_pos``, ``job_pos`` and ``artifact_pos`` keep document order.  Only
-    the first ``max_builds`` builds of a page are looked at, as the page query
-    asks for no more.  A build without the expected nesting contributes
+    ``build_pos``, ``job_pos`` and ``artifact_pos`` keep document order.  All
+    builds of a page are looked at; ``max_builds`` is the limit of a page query that
+    asks for fewer.  With ``commits`` only builds of these are opened.  A build without the expected nesting contributes
     nothing; the search goes on behind it.
     """
     keep = [c for c in pages.columns if c != page_col]
     builds = pages.select(
         *keep, F.posexplode(F.col(f"{page_col}.data.pipeline.builds.edges")).alias("build_pos", "b")
-    ).filter(F.col("build_pos") < max_builds)
+    )
+    if max_builds is not None:
+        builds = builds.filter(F.col("build_pos") < max_builds)
+    if commits is not None:
+        asked = commits.select(F.col("commit").alias("_commit")).distinct()
+        builds = builds.join(asked, F.col("b.node.commit") == F.col("_commit"), "left_semi")
     jobs = builds.select(
         *keep,
         "build_pos",
@@ -317,15 +370,19 @@ def flatten_lockfiles(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "key", "v"
         ),
     ).filter(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
-    entry = F.from_json(F.to_json("v"), schemas.LOCK_ENTRY)
+
+    def text(name: str) -> Column:
+        value = F.try_variant_get("v", f"$.{name}", "variant")
+        return F.when(F.schema_of_variant(value) != "VOID", F.try_variant_get("v", f"$.{name}", "string"))
+
     return raw.select(
         *keep,
         "key",
         F.substring_index("key", "node_modules/", -1).alias("name"),
-        entry.getField("version").alias("version"),
-        entry.getField("resolved").alias("resolved"),
-        entry.getField("integrity").alias("integrity"),
-        F.array_contains(F.json_object_keys(F.to_json("v")), "integrity").alias("has_integrity"),
+        text("version").alias("version"),
+        text("resolved").alias("resolved"),
+        text("integrity").alias("integrity"),
+        F.try_variant_get("v", "$.integrity", "variant").isNotNull().alias("has_integrity"),
     )
 
 

@@ -29,9 +29,8 @@ API_PAGE = (
     "struct<path: string, downloadURL: string>>>>>>>>>>>>>>"
 )
 
-LOCK_ENTRY = "struct<name: string, version: string, resolved: string, integrity: string>"
-
 RESULT_ROW = (
     "system string, tree_path string, drv_path string, dev_attr_type string, status string, "
-    f"duration_ms bigint, exit_code bigint, owners {OWNERS}, log_tail string, retry_count int"
+    f"duration_ms bigint, exit_code bigint, owners {OWNERS}, log_tail string, retry_count int, "
+    "branch string, commit string"
 )

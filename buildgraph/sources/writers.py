@@ -34,10 +34,41 @@ def snapshot_json(snapshot: DataFrame) -> DataFrame:
     return snapshot.select("snapshot_id", "tree_path", body.alias("json"))
 
 
-def write_results(results: DataFrame, path: str, mode: str = "error") -> None:
-    """Write target results as JSON lines, one folder per system, and a flag per system.
+def write_results(
+    results: DataFrame,
+    path: str,
+    mode: str = "error",
+    branch: str | None = None,
+    commit: str | None = None,
+) -> None:
+    """Write target results as JSON lines, one folder per system, and a document head per system.
 
-    ``targets/`` holds the rows; ``summary/`` holds (system, success).
+    ``targets/`` holds the rows with their system as data, so that an empty and a missing system
+    stay apart; the folder name is an encoding of it.  ``summary/`` holds
+    (system, branch, commit, success), made from the written rows.
     """
-    results.write.mode(mode).partitionBy("system").json(f"{path}/targets")
-    all_succeeded(results, ["system"]).write.mode(mode).json(f"{path}/summary")
+    folder = F.coalesce(F.concat(F.lit("s-"), F.url_encode("system")), F.lit("none"))
+    rows = results.withColumns({"branch": F.lit(branch).cast("string"), "commit": F.lit(commit).cast("string")})
+    rows.withColumn("folder", folder).write.mode(mode).partitionBy("folder").json(f"{path}/targets")
+    written = results.sparkSession.read.schema(results.select("system", "status").schema).json(f"{path}/targets")
+    head = all_succeeded(written, ["system"]).withColumns(
+        {"branch": F.lit(branch).cast("string"), "commit": F.lit(commit).cast("string")}
+    )
+    head.write.mode(mode).json(f"{path}/summary")
+
+
+def results_json(results: DataFrame, branch: str, commit: str) -> DataFrame:
+    """Results documents as text, one (system, json) row per system, as ``read_results`` takes them.
+
+    A document is one value, so this is for exports that fit; the rows of ``write_results``
+    have no such bound.
+    """
+    names = ["tree_path", "drv_path", "dev_attr_type", "status", "duration_ms", "exit_code", "owners", "log_tail"]
+    per = results.groupBy("system").agg(
+        F.bool_and(F.coalesce(F.col("status") == "succeeded", F.lit(False))).alias("success"),
+        F.sort_array(F.collect_list(F.struct(*names))).alias("targets"),
+    )
+    head = {"branch": F.lit(branch), "commit": F.lit(commit)}
+    return per.withColumns(head).select(
+        "system", F.to_json(F.struct("system", "branch", "commit", "success", "targets")).alias("json")
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -51,10 +53,23 @@ def attribution_step(
 
 
 def attribute_stream(
-    log: DataFrame, targets: DataFrame, root: str, strict: bool = False, **trigger
+    log: DataFrame,
+    targets: DataFrame,
+    root: str,
+    strict: bool = False,
+    closed_runs: Callable[[], DataFrame] | None = None,
+    **trigger,
 ) -> StreamingQuery:
-    """Stream of attributed events below ``root/output``."""
-    return start(log, root, BINDINGS, attribution_step(targets, strict), "attribution", **trigger)
+    """Stream of attributed events below ``root/output``.
+
+    ``closed_runs`` is asked before each batch for the table (run) of runs that have ended since.
+    """
+
+    def step(batch: DataFrame, before: DataFrame):
+        ended = closed_runs() if closed_runs else None
+        return attribution_step(targets, strict, ended)(batch, before)
+
+    return start(log, root, BINDINGS, step, "attribution", **trigger)
 
 
 LIVE = (

@@ -11,9 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from buildgraph.sources.readers import number_batch
+
 Step = Callable[[DataFrame, DataFrame], tuple[DataFrame | None, DataFrame]]
 
 
@@ -44,7 +48,7 @@ def start(
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        batch = number_batch(batch).persist()
         try:
             before = read_state(batch.sparkSession, root, schema, batch_id - 1)
             output, after = step(batch, before)
@@ -63,24 +67,24 @@ def start(
     )
 
 
-def run(
-    stream: DataFrame, root: str, schema: str, step: Step, name: str
-) -> tuple[int, StreamingQuery]:
-    """Process all available data; returns the id of the last batch and the query."""
-    query = start(stream, root, schema, step, name)
-    query.awaitTermination()
-    progress = query.lastProgress
-    return (progress["batchId"] if progress else -1), query
+def committed(spark: SparkSession, root: str) -> int:
+    """The last batch the query's commit log has; -1 before the first."""
+    try:
+        log = spark.read.text(f"{root}/checkpoint/commits").select("_metadata.file_name").distinct()
+    except AnalysisException:
+        return -1
+    # One name per committed batch; Spark's own log keeps a bounded number of them.
+    newest = log.agg(F.max(F.try_to_number("file_name", F.lit("999999999999")))).first()[0]
+    return -1 if newest is None else int(newest)
 
 
 def read_output(spark: SparkSession, root: str, columns: list[str] | None = None) -> DataFrame:
-    """All output written so far."""
+    """The output of all committed batches."""
     out = spark.read.option("basePath", f"{root}/output").parquet(f"{root}/output")
+    out = out.where(F.col("batch") <= committed(spark, root))
     return out.drop("batch") if columns is None else out.select(*columns)
 
 
 def latest_state(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """Newest state version, found from the folder names."""
-    versions = spark.read.option("basePath", f"{root}/state").parquet(f"{root}/state/v=*")
-    newest = versions.selectExpr("max(v) AS v").first()["v"]
-    return read_state(spark, root, schema, -1 if newest is None else newest)
+    """The state after the last committed batch."""
+    return read_state(spark, root, schema, committed(spark, root))

@@ -82,10 +82,12 @@ def test_api_pages(spark, tmp_path, rows):
     }
     for name, text in texts.items():
         (tmp_path / f"{name}.json").write_text(text)
-    flat = rd.flatten_artifacts(rd.read_api_pages(spark, str(tmp_path)))
+    pages = rd.read_api_pages(spark, str(tmp_path))
     wanted = spark.createDataFrame([("c",)], "commit string")
-    got = first_match(flat, wanted, "m.json", ["file"])
-    assert [r["download_url"] for r in got.collect()] == ["u2"]
+    for most, found in ((None, ["u2", "u5"]), (50, ["u2"])):
+        flat = rd.flatten_artifacts(pages, max_builds=most, commits=wanted)
+        got = first_match(flat, wanted, "m.json", ["file"])
+        assert sorted(r["download_url"] for r in got.collect()) == found
 
 
 def test_lockfiles(spark, tmp_path, rows):
