@@ -20,7 +20,9 @@ SPACE = "[ \\t-\\r]+"
 #: Rule: (strict limit, loose limit).
 RULES = {"symbols": (0.1, 0.5), "shouted": (0.3, 0.7), "repeated": (0.2, 0.5), "long_words": (12.0, 20.0)}
 #: Shrunk failure rate from which a host is under suspicion.
-SUSPICIOUS = 0.3
+SUSPICIOUS = 0.5
+#: Least weight of the prior, in documents, so that one document condemns no host.
+LEAST_STRENGTH = 10.0
 
 
 def words_of(text: Column) -> Column:
@@ -113,7 +115,7 @@ def beta_priors(rates: DataFrame) -> dict[str, tuple[float, float]]:
         spread = max(row[f"{r}_ff"] / row["n"] - mean * mean, 0.0)  # weighted variance of the rates
         noise = mean * (1 - mean) * row["hosts"] / row["n"]  # what counting alone gives
         between = max(spread - noise, 1e-9)
-        strength = min(max(mean * (1 - mean) / between - 1, 1.0), 1e4)
+        strength = min(max(mean * (1 - mean) / between - 1, LEAST_STRENGTH), 1e4)
         priors[r] = (mean * strength, (1 - mean) * strength)
     return priors
 

@@ -57,6 +57,7 @@ class PrefixCounter:
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self._merges = {(raw(a), raw(b)): rank for rank, (a, b) in enumerate(pairs)}
         self._pieces = regex.compile(PIECES).findall
+        self._blank = regex.compile(rf"[{WHITE}]+").fullmatch
         self._apart: dict[tuple[bytes, bytes], bool] = {}
         self._whole: dict[bytes, bool] = {}
         self._counts: dict[str, int] = {}
@@ -142,11 +143,23 @@ class PrefixCounter:
         return total
 
     def prefixes(self, text: str) -> tuple[list[int], list[int]]:
-        """(bytes, tokens) of every prefix that ends with a piece, from the empty one on."""
+        """(bytes, tokens) of every prefix that ends with a piece, from the empty one on.
+
+        White space before a word is cut before its last character; a prefix that ends there has
+        the whole run as one piece, and is counted so.
+        """
         ends, totals = [0], [0]
+        used, before, run = 0, 0, ""
         for piece, n in self.parts(text):
             ends.append(ends[-1] + len(piece.encode()))
-            totals.append(totals[-1] + n)
+            blank = self._blank(piece) is not None
+            if blank and run:
+                totals.append(before + self._count(run + piece))
+            else:
+                before = used
+                totals.append(used + n)
+            run = piece if blank else ""
+            used += n
         return ends, totals
 
     def cut(self, text: str, budget: int) -> int:
