@@ -95,7 +95,9 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = M
     suffixes = level.select("k", "doc_id", "pos", "line", F.array_compact(F.array(*windows)).alias("windows"))
     suffixes = materialize(suffixes.select("k", "doc_id", "pos", F.explode("windows").alias("w")).select("k", "doc_id", "pos", "w.*"), "line-suffixes")
     first = suffixes.groupBy("m", "a", "b").agg(F.min(F.struct("doc_id", "k", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = suffixes.join(first.drop("n"), ["m", "a", "b"]).where(~(F.col("first.k").eqNullSafe(F.col("k")) & (F.col("first.pos") == F.col("pos"))))
+    # Stored, so that an interval of very many suffixes can be split in the join.
+    first = materialize(first.drop("n"), "line-first")
+    copies = suffixes.join(first, ["m", "a", "b"]).where(~(F.col("first.k").eqNullSafe(F.col("k")) & (F.col("first.pos") == F.col("pos"))))
     longest = copies.groupBy("k", "pos").agg(F.max("m").alias("m"))
     places = longest.select("k", F.explode(F.expr("sequence(pos, pos + m - 1)")).alias("pos")).distinct()
     return places.join(level.select("k", "pos", "line"), ["k", "pos"]).groupBy("k").agg(F.collect_list("line").alias("gone"))
