@@ -27,9 +27,11 @@ def connected(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Stored, so that a node of very many neighbours can be split in the join.
+        least = materialize(least, "cc-least")
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a != b").distinct()
         large = materialize(large, "cc")
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
+        low = materialize(large.groupBy("b").agg(F.min("a").alias("m")), "cc-least")
         small = large.join(low, "b").select(F.col("m").alias("lo"), "a", "b")
         small = small.select(F.explode(F.array(F.struct("lo", F.col("a").alias("hi")), F.struct("lo", F.col("b").alias("hi")))).alias("e"))
         edges = small.select(F.col("e.lo").alias("a"), F.col("e.hi").alias("b")).where("a != b").distinct()

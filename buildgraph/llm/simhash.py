@@ -172,7 +172,7 @@ def links(prints: DataFrame) -> DataFrame:
     """
     keys = materialize(fuzzy_keys(prints), "simhash-keys")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("exact").alias("probed"))
-    sizes = sizes.where("n > 1 and probed").select("key", "n")
+    sizes = materialize(sizes.where("n > 1 and probed").select("key", "n"), "simhash-sizes")
     shared = materialize(keys.join(sizes, "key"), "simhash-shared")
     few = shared.where(F.col("n") <= PAIRED)
     left = few.where("exact").select("key", F.col("fp").alias("a"))
@@ -186,6 +186,7 @@ def links(prints: DataFrame) -> DataFrame:
     flips = F.expr("array_append(transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)), fp)")
     points = materialize(many.select("fp", F.explode(flips).alias("point")), "simhash-points")
     nearest = points.groupBy("point").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    nearest = materialize(nearest, "simhash-nearest")
     stars = points.join(nearest, "point").where("fp != a").select("a", F.col("fp").alias("b"))
     return pairs.unionByName(stars).distinct()
 
@@ -206,7 +207,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     named = named.withColumn("root", F.coalesce("root", "fp"))
     named = materialize(named, "simhash-named")
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    smallest = materialize(named.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-smallest")
     labels = materialize(named.join(smallest, "root").select("fp", "component_id"), "simhash-labels")
     return prints.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
 

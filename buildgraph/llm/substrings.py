@@ -257,7 +257,7 @@ def crowded_windows(crowded: DataFrame) -> DataFrame:
     place = F.struct("first.doc_id", "first.k", (F.col("first.start") + F.col("at")).alias("start"))
     hashed = each.select("seg", F.col("at").cast("long").alias("at"), place.alias("place"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), text).alias("b"))
     hashed = stored(hashed, "crowded")
-    least = hashed.groupBy("a", "b").agg(F.min("place").alias("least"))
+    least = stored(hashed.groupBy("a", "b").agg(F.min("place").alias("least")), "crowded-least")
     later = hashed.join(least, ["a", "b"]).where((F.col("place.k") != F.col("least.k")) | (F.col("place.start") != F.col("least.start")))
     return later.groupBy("seg").agg(F.collect_list("at").alias("seen"))
 
