@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buildgraph.functions.storage import materialize_counted
+from buildgraph.functions.storage import bucketed, materialize_counted
 
 #: Rows of one key from which it is split, and rows of a piece.
 MIN_ROWS = 100_000
@@ -70,11 +70,19 @@ def lookup_join(
     return left.drop("_pieces").join(right, [*on, "_salt"], how).drop("_salt")
 
 
+#: Rows from which a loop's table is hashed into buckets by its key, so that a round exchanges only
+#: the rows it brings; below, writing buckets costs more than the exchange.  The results are equal.
+BUCKETED_ROWS = 1_000_000
+#: Rows of a bucket, about.
+BUCKET_ROWS = 500_000
+
+
 class StoredTable:
     """A table written once for a loop, with its hot keys known beforehand.
 
-    ``join`` splits the hot keys like :func:`lookup_join`; without any it is a
-    plain join, and Spark broadcasts the other side only while it is small.
+    ``join`` splits the hot keys like :func:`lookup_join`.  Without any, a large table is
+    kept in buckets of the join key, which no round has to exchange; a small one is joined
+    plainly, and Spark broadcasts the other side only while it is small.
     """
 
     def __init__(
@@ -92,6 +100,9 @@ class StoredTable:
             self.hot, self.n_hot = materialize_counted(
                 hot_keys(self.rows, self.keys, min_rows), "hot"
             )
+        if self.n_hot == 0 and self.n_rows >= BUCKETED_ROWS:
+            width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            self.rows = bucketed(self.rows, self.keys, max(width, -(-self.n_rows // BUCKET_ROWS)))
 
     def join(self, dim: DataFrame, how: str = "inner") -> DataFrame:
         """Join the table with ``dim`` on the keys."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 import itertools
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +59,18 @@ def materialize_counted(df: DataFrame, label: str = "table") -> tuple[DataFrame,
     return stored, seen.get["n"]
 
 
+def bucketed(df: DataFrame, keys: Sequence[str], buckets: int, label: str = "bucketed") -> DataFrame:
+    """Write ``df`` hashed by ``keys`` and return a scan that joins on them without an exchange.
+
+    The rows are in the shared folder; the session catalog holds their layout under a fresh name.
+    """
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    rows = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+    rows.option("path", fresh_path(spark, label)).saveAsTable(name)
+    return spark.table(name)
+
+
 def numbered(most: int | None) -> Iterable[int]:
     """The numbers of a loop's rounds: without end, unless the caller sets one."""
     return itertools.count() if most is None else range(most)

@@ -163,3 +163,23 @@ def test_extraction_from_a_big_text(spark, big):
     table = spark.createDataFrame([("<<" + big + ">>",)], "text string")
     got = extract_between(table, "text", "<<", ">>", "map<string, string>")
     assert [tuple(r) for r in got.select("outcome", F.size("data")).collect()] == [("ok", BIG // 1000)]
+
+
+def test_a_round_does_not_exchange_bucketed_edges(spark, rows, monkeypatch):
+    from buildgraph.functions import skew
+
+    pairs = [(f"n{i}", f"n{i // 2}") for i in range(1, 200)]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    seeds = spark.createDataFrame([("n199",), ("n77",)], "id string")
+    plain = rows(closure(edges, seeds))
+    monkeypatch.setattr(skew, "BUCKETED_ROWS", 1)
+    assert rows(closure(edges, seeds)) == plain
+    stored = skew.StoredTable(edges, ["src"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = stored.join(seeds.select(F.col("id").alias("src")))
+        assert joined.count() == 2
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") <= 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
