@@ -13,7 +13,10 @@ encoding a text again.
 from __future__ import annotations
 
 import json
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -21,11 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: White space of the pieces' pattern (fixed values: the Unicode property White_Space).
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: The pieces of the byte-level tokenizer (a fixed value).
-PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+BLANKS = rf"[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
+PIECES = rf"{CONTRACTIONS}| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|{BLANKS}"
+#: Letters and numbers up to U+024F, of which the same pattern can be written for the plain matcher (fixed values).
+LATIN = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-" + chr(0x24F)
+NUMBERS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
+LATIN_PIECES = rf"{CONTRACTIONS}| ?[{LATIN}]+| ?[{NUMBERS}]+| ?[^{WHITE}{LATIN}{NUMBERS}]+|{BLANKS}"
 #: Pieces whose counts a task remembers; beyond that it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 LIMIT = 1024
 
 
@@ -56,45 +65,44 @@ class PrefixCounter:
         self._longest = max(map(len, self._tokens))
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self._merges = {(raw(a), raw(b)): rank for rank, (a, b) in enumerate(pairs)}
-        self._pieces = regex.compile(PIECES).findall
+        #: How each token came about: (rank, left part, right part); single bytes have no entry.
+        self._halves = {a + b: (rank, a, b) for (a, b), rank in self._merges.items()}
+        self._tokens = {t for t in self._tokens if len(t) == 1 or t in self._halves}
+        self._any_pieces = regex.compile(PIECES).findall
+        self._latin_pieces = re.compile(LATIN_PIECES).findall
+        self._beyond_latin = re.compile(f"[^{chr(0)}-{chr(0x24F)}]").search
         self._blank = regex.compile(rf"[{WHITE}]+").fullmatch
         self._apart: dict[tuple[bytes, bytes], bool] = {}
-        self._whole: dict[bytes, bool] = {}
         self._counts: dict[str, int] = {}
 
-    def merged(self, data: bytes) -> list[bytes]:
-        """Plain byte-pair merging of a short byte string."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            ranks = [self._merges.get(p, len(self._merges)) for p in zip(parts, parts[1:], strict=False)]
-            best = min(ranks)
-            if best == len(self._merges):
-                break
-            out: list[bytes] = []
-            i = 0
-            while i < len(parts):
-                if i < len(ranks) and ranks[i] == best:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
-
     def _stay_apart(self, left: bytes, right: bytes) -> bool:
+        """Whether two tokens are also the encoding of their concatenation.
+
+        They are unless a merge crosses the border.  Going back in time, the later of the two
+        merges beside the border is undone; at each point the border pair must not merge
+        earlier than the merge just undone.  Of equal merges the left one comes first.
+        """
         key = (left, right)
         known = self._apart.get(key)
-        if known is None:
-            if len(self._apart) > REMEMBERED:
-                self._apart.clear()
-            known = self._apart[key] = self.merged(left + right) == [left, right]
-        return known
-
-    def _is_whole(self, token: bytes) -> bool:
-        known = self._whole.get(token)
-        if known is None:
-            known = self._whole[token] = self.merged(token) == [token]
+        if known is not None:
+            return known
+        if len(self._apart) > REMEMBERED:
+            self._apart.clear()
+        merges, halves = self._merges, self._halves
+        before = len(merges)
+        while True:
+            if merges.get((left, right), before) < before:
+                known = False
+                break
+            at_left, at_right = halves.get(left), halves.get(right)
+            if at_left and (not at_right or at_left[0] > at_right[0]):
+                before, left = at_left[0], at_left[2]
+            elif at_right:
+                before, right = at_right[0] + 1, at_right[1]
+            else:
+                known = True
+                break
+        self._apart[key] = known
         return known
 
     def piece_prefixes(self, piece: bytes) -> list[int]:
@@ -105,12 +113,16 @@ class PrefixCounter:
         for end in range(1, len(piece) + 1):
             for start in range(max(0, end - longest), end):
                 token = piece[start:end]
-                if token in tokens and (self._stay_apart(last[start], token) if start else self._is_whole(token)):
+                if token in tokens and (not start or self._stay_apart(last[start], token)):
                     last[end] = token
                     counts[end] = counts[start] + 1
                     break
         return counts
 
+    def _pieces(self, text: str) -> list[str]:
+        """The pieces of a text; Latin texts by ranges of letters, which the plain matcher knows."""
+        return self._any_pieces(text) if self._beyond_latin(text) else self._latin_pieces(text)
+
     def _count(self, piece: str) -> int:
         counts = self._counts
         known = counts.get(piece)
@@ -131,16 +143,34 @@ class PrefixCounter:
         for piece in self._pieces(text[at:] if at else text):
             yield piece, self._count(piece)
 
+    def _counted(self, text: str) -> tuple[list[str], list[int]]:
+        """(pieces, tokens) of a text without special strings."""
+        pieces, known, count = self._pieces(text), self._counts.get, self._count
+        return pieces, [known(p) or count(p) for p in pieces]
+
     def total(self, text: str) -> int:
         """The token count of a whole text."""
-        counts = self._counts
+        return self.measure(text)[0]
+
+    def measure(self, text: str, budget: int | None = None) -> tuple[int, int]:
+        """(tokens, bytes of the longest prefix within the budget), in one pass."""
         if self._special and self._special.search(text):
-            return sum(n for _, n in self.parts(text))
-        total = 0
-        for piece in self._pieces(text):
-            known = counts.get(piece)
-            total += self._count(piece) if known is None else known
-        return total
+            total = sum(n for _, n in self.parts(text))
+            return total, self.cut(text, budget) if budget is not None and total > budget else len(text.encode())
+        pieces, counts = self._counted(text)
+        total = sum(counts)
+        if budget is None or total <= budget:
+            return total, len(text.encode())
+        sums = list(accumulate(counts))
+        whole = bisect_right(sums, budget)
+        used = sums[whole - 1] if whole else 0
+        return total, len("".join(pieces[:whole]).encode()) + self._fitting(pieces[whole], budget - used)
+
+    def _fitting(self, piece: str, budget: int) -> int:
+        """Bytes of the longest prefix of a piece, in whole characters, of at most ``budget`` tokens."""
+        raw = piece.encode()
+        inner = self.piece_prefixes(raw)
+        return max(i for i in range(len(raw)) if inner[i] <= budget and (raw[i] & 0xC0) != 0x80)
 
     def prefixes(self, text: str) -> tuple[list[int], list[int]]:
         """(bytes, tokens) of every prefix that ends with a piece, from the empty one on.
@@ -169,14 +199,10 @@ class PrefixCounter:
         """
         at = used = 0
         for piece, n in self.parts(text):
-            raw = piece.encode()
             if used + n > budget:
-                if self._special and self._special.fullmatch(piece):
-                    return at
-                inner = self.piece_prefixes(raw)
-                fits = [i for i in range(len(raw)) if used + inner[i] <= budget and (raw[i] & 0xC0) != 0x80]
-                return at + max(fits, default=0)
-            at, used = at + len(raw), used + n
+                special = self._special and self._special.fullmatch(piece)
+                return at if special else at + self._fitting(piece, budget - used)
+            at, used = at + len(piece.encode()), used + n
         return at
 
 
@@ -206,8 +232,9 @@ def count_tokens(docs: DataFrame, text: str = "text", tokenizer: str = "byte_bpe
                 for value in part.column(place).to_pylist():
                     value = value or ""
                     sizes.append(len(value.encode()))
-                    totals.append(counter.total(value))
-                    cuts.append(counter.cut(value, limit) if totals[-1] > limit else sizes[-1])
+                    total, cut = counter.measure(value, limit)
+                    totals.append(total)
+                    cuts.append(cut)
                 arrays = [*part.columns, *[pa.array(x, pa.int64()) for x in (sizes, totals, cuts)]]
                 yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
