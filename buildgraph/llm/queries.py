@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from buildgraph.llm import decontamination, language, lines, mixing, pii, quality, simhash, substrings, tokens, urls
+from buildgraph.llm.oracles import ORACLES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,4 +67,6 @@ QUERIES = {
         op10_mixing,
     )
 }
-ORACLES: dict[str, str] = {}
+
+
+__all__ = ["ORACLES", "QUERIES"]
