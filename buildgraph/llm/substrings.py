@@ -118,7 +118,7 @@ def repeated_filter(docs: DataFrame) -> np.ndarray:
 def repeated_segments(docs: DataFrame) -> DataFrame:
     """(anchor, seg, k, doc_id, start, windows, words) of segments whose anchor may be repeated.
 
-    ``seg`` is a 128-bit hash of the words; the words themselves come with the first such segment
+    ``seg`` is a 64-bit hash of the words, which counts within its anchor only; the words themselves come with the first such segment
     of a slice only.
     """
     known = docs.sparkSession.sparkContext.broadcast(repeated_filter(docs))
@@ -138,12 +138,12 @@ def repeated_segments(docs: DataFrame) -> DataFrame:
                 take = np.flatnonzero(hit)
                 begin, windows = begin[take], windows[take]
                 raw = data.tobytes()
-                seen: set[bytes] = set()
+                seen: set[int] = set()
                 segs, texts = [], []
                 spans = zip(starts[begin].tolist(), ends[begin + windows + WINDOW - 2].tolist(), strict=True) if len(take) else ()
                 for s, e in spans:
                     text = raw[s:e]
-                    seg = xxhash.xxh3_128_digest(text)
+                    seg = xxhash.xxh3_64_intdigest(text) - (1 << 63)
                     segs.append(seg)
                     texts.append(None if seg in seen else text)
                     seen.add(seg)
@@ -152,7 +152,7 @@ def repeated_segments(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(anchors[take].view(np.int64)),
-                        pa.array(segs, pa.binary()),
+                        pa.array(segs, pa.int64()),
                         batch.column(0).take(at),
                         batch.column(1).take(at),
                         pa.array(begin - first[row]),
@@ -162,7 +162,7 @@ def repeated_segments(docs: DataFrame) -> DataFrame:
                     names,
                 )
 
-    schema = f"anchor long, seg binary, k long, doc_id {kind}, start long, windows long, words binary"
+    schema = f"anchor long, seg long, k long, doc_id {kind}, start long, windows long, words binary"
     return stored(docs.select("k", "doc_id", "text").mapInArrow(run, schema), "segments")
 
 
@@ -225,41 +225,43 @@ class SuffixAutomaton:
 
 
 def seen_windows(contested: DataFrame) -> DataFrame:
-    """(seg, seen): for distinct segments, the windows that an earlier segment of the shard holds."""
-    rows = contested.select("shard", "first.doc_id", "first.k", "first.start", "seg", "words")
-    dealt = rows.repartition("shard").sortWithinPartitions("shard", "doc_id", "k", "start").select("shard", "seg", "words")
+    """(anchor, seg, seen): for distinct segments, the windows that an earlier segment of the shard holds."""
+    rows = contested.select("shard", "first.doc_id", "first.k", "first.start", "anchor", "seg", "words")
+    dealt = rows.repartition("shard").sortWithinPartitions("shard", "doc_id", "k", "start").select("shard", "anchor", "seg", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, automaton = None, SuffixAutomaton()
         for batch in batches:
-            segs, seen = [], []
-            for own, seg, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            anchors, segs, seen = [], [], []
+            for own, anchor, seg, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if own != shard:
                     shard, automaton = own, SuffixAutomaton()
                 words = text.split(b" ")
                 found = automaton.matches(words)
                 places = [i for i, n in enumerate(found[WINDOW - 1 :]) if n >= WINDOW]
                 if places:
+                    anchors.append(anchor)
                     segs.append(seg)
                     seen.append(places)
                 if len(places) < len(words) - WINDOW + 1:
                     automaton.add(words)
-            yield pa.RecordBatch.from_arrays([pa.array(segs, pa.binary()), pa.array(seen, pa.list_(pa.int64()))], ["seg", "seen"])
+            arrays = [pa.array(anchors, pa.int64()), pa.array(segs, pa.int64()), pa.array(seen, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["anchor", "seg", "seen"])
 
-    return dealt.mapInArrow(run, "seg binary, seen array<long>")
+    return dealt.mapInArrow(run, "anchor long, seg long, seen array<long>")
 
 
 def crowded_windows(crowded: DataFrame) -> DataFrame:
-    """(seg, seen) as :func:`seen_windows`, one window at a time."""
+    """(anchor, seg, seen) as :func:`seen_windows`, one window at a time."""
     words = crowded.withColumn("w", F.split(F.col("words").cast("string"), " "))
-    each = words.select("seg", "first", "w", F.explode(F.sequence(F.lit(0), F.size("w") - WINDOW)).alias("at"))
+    each = words.select("anchor", "seg", "first", "w", F.explode(F.sequence(F.lit(0), F.size("w") - WINDOW)).alias("at"))
     text = F.array_join(F.slice("w", F.col("at") + 1, WINDOW), " ")
     place = F.struct("first.doc_id", "first.k", (F.col("first.start") + F.col("at")).alias("start"))
-    hashed = each.select("seg", F.col("at").cast("long").alias("at"), place.alias("place"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), text).alias("b"))
+    hashed = each.select("anchor", "seg", F.col("at").cast("long").alias("at"), place.alias("place"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), text).alias("b"))
     hashed = stored(hashed, "crowded")
     least = stored(hashed.groupBy("a", "b").agg(F.min("place").alias("least")), "crowded-least")
     later = hashed.join(least, ["a", "b"]).where((F.col("place.k") != F.col("least.k")) | (F.col("place.start") != F.col("least.start")))
-    return later.groupBy("seg").agg(F.collect_list("at").alias("seen"))
+    return later.groupBy("anchor", "seg").agg(F.collect_list("at").alias("seen"))
 
 
 def removed_windows(docs: DataFrame) -> DataFrame:
@@ -280,10 +282,10 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     ordinary = contested.where(F.col("rivals") <= CROWDED).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     crowded = contested.where(F.col("rivals") > CROWDED)
     seen = stored(seen_windows(ordinary).unionByName(crowded_windows(crowded)), "seen")
-    verdicts = distinct.select("seg", "first", "n").join(seen, "seg", "left").where("n > 1 or seen is not null")
+    verdicts = distinct.select("anchor", "seg", "first", "n").join(seen, ["anchor", "seg"], "left").where("n > 1 or seen is not null")
     # Stored, so that a segment with very many occurrences can be split in the join below.
-    verdicts = stored(verdicts.select("seg", F.col("first.k").alias("first_k"), F.col("first.start").alias("first_start"), "seen"), "verdicts")
-    joined = occurrences.select("seg", "k", "start", "windows").join(verdicts, "seg")
+    verdicts = stored(verdicts.select("anchor", "seg", F.col("first.k").alias("first_k"), F.col("first.start").alias("first_start"), "seen"), "verdicts")
+    joined = occurrences.select("anchor", "seg", "k", "start", "windows").join(verdicts, ["anchor", "seg"])
     origin = (F.col("first_k") == F.col("k")) & (F.col("first_start") == F.col("start"))
     gone = joined.where(~origin | F.col("seen").isNotNull()).select("k", F.struct("start", "windows", F.when(origin, F.col("seen")).alias("seen")).alias("g"))
     return gone.groupBy("k").agg(F.collect_set("g").alias("gone"))
