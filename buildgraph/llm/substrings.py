@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from buildgraph.functions.storage import materialize
 from buildgraph.llm.arrow_words import WordHasher, chunks, ngram_hashes, space_separated, word_spans
 from buildgraph.llm.lines import row_key
 from buildgraph.llm.simhash import single_spaced
@@ -275,16 +276,16 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     )
     distinct = stored(distinct, "distinct-segments")
     rivals = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("rivals"), F.sum("windows").alias("size")).where("rivals > 1")
-    rivals = stored(rivals, "anchors")
+    rivals = materialize(rivals, "anchors")
     size = rivals.where(F.col("rivals") <= CROWDED).agg(F.sum(F.col("size") + F.col("rivals") * (WINDOW - 1))).first()[0] or 0
     shards = max(1, -(-size // SHARD_WORDS))
     contested = distinct.join(rivals.select("anchor", "rivals"), "anchor")
     ordinary = contested.where(F.col("rivals") <= CROWDED).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     crowded = contested.where(F.col("rivals") > CROWDED)
-    seen = stored(seen_windows(ordinary).unionByName(crowded_windows(crowded)), "seen")
+    seen = materialize(seen_windows(ordinary).unionByName(crowded_windows(crowded)), "seen")
     verdicts = distinct.select("anchor", "seg", "first", "n").join(seen, ["anchor", "seg"], "left").where("n > 1 or seen is not null")
     # Stored, so that a segment with very many occurrences can be split in the join below.
-    verdicts = stored(verdicts.select("anchor", "seg", F.col("first.k").alias("first_k"), F.col("first.start").alias("first_start"), "seen"), "verdicts")
+    verdicts = materialize(verdicts.select("anchor", "seg", F.col("first.k").alias("first_k"), F.col("first.start").alias("first_start"), "seen"), "verdicts")
     joined = occurrences.select("anchor", "seg", "k", "start", "windows").join(verdicts, ["anchor", "seg"])
     origin = (F.col("first_k") == F.col("k")) & (F.col("first_start") == F.col("start"))
     gone = joined.where(~origin | F.col("seen").isNotNull()).select("k", F.struct("start", "windows", F.when(origin, F.col("seen")).alias("seen")).alias("g"))
@@ -299,7 +300,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     document and get the same result.  Null and empty texts have no words.
     """
     keyed = docs.select(row_key(F.col(doc_id), F.col(text)).alias("k"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    gone = stored(removed_windows(keyed), "gone")
+    gone = materialize(removed_windows(keyed), "gone")
     rows = keyed.join(gone, "k", "left").select("doc_id", "text", "gone")
     kind = dict(rows.dtypes)["doc_id"]
 
