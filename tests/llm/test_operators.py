@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -175,6 +176,39 @@ def test_near_duplicates_of_a_crowd(spark, docs, empty):
     assert near_duplicates.near_duplicate_leaders(empty.select(F.lit(1).cast("long").alias("k"), "doc_id", "text")).count() == 0
 
 
+def similar_groups(spark, texts):
+    """Texts as lists of words: (groups of near_duplicate_leaders, pairs of similar texts)."""
+    table = spark.createDataFrame([(i, i, " ".join(w)) for i, w in enumerate(texts)], "k long, doc_id long, text string")
+    group = {r.k: r.group for r in near_duplicates.near_duplicate_leaders(table).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    holders = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    common = collections.Counter((a, b) for own in holders.values() if len(own) < 999 for a, b in itertools.combinations(own, 2))
+    return group, [(a, b) for (a, b), n in common.items() if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+
+@pytest.mark.parametrize("work", [0, 64])
+def test_near_duplicates_within_a_crowd(spark, monkeypatch, work):
+    monkeypatch.setattr(near_duplicates, "WORK", work)
+    rng = random.Random(12)
+    template = [f"template{i}" for i in range(160)]
+    texts = [[*template, *[f"own{rng.randrange(10**6)}" for _ in range(60)]] for _ in range(2000)]
+    for i in range(0, 60, 3):  # three copies each
+        texts[i + 1] = [*texts[i][:180], "other", *texts[i][181:]]
+        texts[i + 2] = [*texts[i][:200], *[f"end{rng.randrange(10**6)}" for _ in range(12)]]
+    edited = [f"base{i}" for i in range(100)]
+    for _ in range(80):  # a large group of edited copies, not all similar to each other
+        edited = list(edited)
+        edited[rng.randrange(100)] = f"edit{rng.randrange(10**6)}"
+        texts.append(edited)
+    group, pairs = similar_groups(spark, texts)
+    assert len(pairs) > 100
+    want = unions(pairs, range(len(texts)))
+    assert len({(group[i], want[i]) for i in want}) == len(set(group.values())) == len(set(want.values()))
+
+
 # --- decontamination -------------------------------------------------------
 
 
