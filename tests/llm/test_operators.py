@@ -189,6 +189,21 @@ def similar_groups(spark, texts):
     return group, [(a, b) for (a, b), n in common.items() if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
 
 
+def test_near_duplicates_with_one_changed_passage(spark):
+    rng = random.Random(11)
+    texts = []
+    for case in range(120):
+        words = [f"word{rng.randrange(4000)}" for _ in range(rng.choice([100, 200, 400]))]
+        n = int(len(words) * rng.uniform(0.06, 0.24))
+        passage = [f"new{rng.randrange(10**6)}" for _ in range(n)]
+        at = rng.randrange(len(words) - n)
+        m = n * 2 // 5
+        texts += [words, words + passage if case % 2 else words[:at] + passage[:m] + words[at + m :]]
+    group, pairs = similar_groups(spark, texts)
+    assert len(pairs) > 60 and all(group[a] == group[b] for a, b in pairs)
+    assert len(set(group.values())) == len(texts) - len(pairs)
+
+
 @pytest.mark.parametrize("work", [0, 64])
 def test_near_duplicates_within_a_crowd(spark, monkeypatch, work):
     monkeypatch.setattr(near_duplicates, "WORK", work)
