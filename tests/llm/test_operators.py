@@ -362,6 +362,31 @@ def test_a_bad_host_lowers_the_limit(spark):
     assert got[100] and got[300] and got[301] and all(got[200 + i] for i in range(60))
 
 
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_mixing_sample_has_the_targets(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_CELLS", few)
+    rng = random.Random(4)
+    share = {"=en": 0.55, "=de": 0.2, "=fr": 0.15, "=es": 0.08, "=it": 0.02}
+    rows = [(f"=s{rng.randrange(12) ** 2 // 9}", rng.choices(list(share), share.values())[0], f"={rng.choice('abbbb')}", rng.randrange(1, 400)) for _ in range(4000)]
+    measured = spark.createDataFrame(rows, "source string, lang string, topic string, n_tokens long")
+    wanted = {"en": 0.2, "de": 0.2, "fr": 0.2, "es": 0.2, "it": 0.2}
+    rates = {(r.source, r.lang, r.topic): r.probability for r in mixing.sampling_table(measured, wanted).collect()}
+    assert all(0 <= p <= 1 for p in rates.values())
+    cells = mixing.token_cells(measured)
+    targets = [("source", mixing.tempered_targets(cells, "source", mixing.SOURCE_POWER))]
+    targets += [("topic", mixing.tempered_targets(cells, "topic", mixing.TOPIC_POWER)), ("lang", mixing.stated_targets(cells, "lang", wanted))]
+    total = sum(r[3] for r in rows)
+    for at, (dimension, target) in zip((0, 2, 1), targets, strict=True):
+        got, had = collections.Counter(), collections.Counter()
+        for r in rows:
+            got[r[at]] += r[3] * rates[r[:3]] / total / mixing.KEEP_SHARE
+            had[r[at]] += r[3] / total / mixing.KEEP_SHARE
+        told = {r[0]: (r.target, r.reached) for r in mixing.reachable(cells, dimension, target).collect()}
+        low = {v for v, (t, reached) in told.items() if reached < t - 1e-9}
+        assert low == {v for v, (t, _) in told.items() if had[v] < t} and (dimension != "lang" or low == {"=it", "=es"})
+        assert all(abs(got[v] - reached) < 0.002 for v, (_, reached) in told.items())
+
+
 def test_mixing_hits_the_targets(spark, docs, empty):
     rng = random.Random(9)
     rows = [(i, "w " * rng.randrange(20, 200), rng.choice(["en", "en", "en", "de", "fr", "es", None]), f"s{rng.randrange(5)}") for i in range(1500)]
