@@ -102,9 +102,69 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v JOIN b USING (host)"""
 
 
+FILL_MIDDLE = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+e AS (SELECT doc_id, t, length(t)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+  ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+    WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM e),
+g AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM g"""
+
+SHINGLE_GROUPS = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + 3], ' ') AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS p FROM d WHERE len(ws) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM sh a JOIN sh b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, b FROM reach JOIN edges ON a = r),
+least_of AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN least_of USING (doc_id) LEFT JOIN size USING (doc_id)"""
+
+
+def _vector_codes(parts: int = 16, entries: int = 64, width: int = 4, rounds: int = 2) -> str:
+    """Plain k-means in SQL; ``width`` components a part, as the table has them."""
+    each = range(1, width + 1)
+    far = " + ".join(f"(r.v[{i}] - c.v[{i}]) * (r.v[{i}] - c.v[{i}])" for i in each)
+    mean = ", ".join(f"floor(sum(v[{i}])::DOUBLE / count(*))::BIGINT" for i in each)
+    steps = []
+    for t in range(rounds + 1):
+        steps.append(f"a{t} AS MATERIALIZED (SELECT vec_id, label, p, any_value(r.v) AS v, min(({far}) * {entries} + e) AS m "
+                     f"FROM parts r JOIN c{t} c USING (p) GROUP BY vec_id, label, p)")
+        if t < rounds:
+            steps.append(f"m{t} AS (SELECT p, m % {entries} AS e, [{mean}] AS v FROM a{t} GROUP BY 1, 2)")
+            steps.append(f"c{t + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m{t}.v, c.v) AS v FROM c{t} c LEFT JOIN m{t} ON c.p = m{t}.p AND c.e = m{t}.e)")
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, label, p, x[p * {width} + 1:p * {width} + {width}] AS v FROM kept, (SELECT unnest(range({parts})) AS p)),
+c0 AS MATERIALIZED (SELECT p, e, v FROM (SELECT p, v, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM parts) WHERE e < {entries}),
+{", ".join(steps)},
+coded AS (SELECT vec_id, label, string_agg(lower(lpad(to_hex((m % {entries})::BIGINT), 2, '0')), '' ORDER BY p) AS code,
+  sum(m // {entries})::BIGINT AS error FROM a{rounds} GROUP BY 1, 2),
+by_label AS (SELECT label, sum(error)::BIGINT AS label_error FROM coded GROUP BY 1),
+digest AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, i)) AS s
+  FROM (SELECT p, e, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM c{rounds}))
+SELECT vec_id, code, error, label_error, s AS codebooks_sha256
+FROM coded JOIN by_label ON coded.label IS NOT DISTINCT FROM by_label.label, digest"""
+
+
+VECTOR_CODES = _vector_codes()
+
 ORACLES = {
     "op3_decontamination": DECONTAMINATION,
     "op4_line_dedup": LINES,
     "op5_substrings": SUBSTRINGS,
     "op7_quality": _quality(),
+    "op11_fill_middle": FILL_MIDDLE,
+    "op12_minhash": SHINGLE_GROUPS,
+    "op13_vector_codes": VECTOR_CODES,
 }

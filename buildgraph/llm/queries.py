@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from buildgraph.llm import decontamination, language, lines, mixing, pii, quality, simhash, substrings, tokens, urls
+from buildgraph.llm import (
+    decontamination,
+    fill_middle,
+    language,
+    lines,
+    mixing,
+    pii,
+    quality,
+    simhash,
+    substrings,
+    superminhash,
+    tokens,
+    urls,
+    vector_codes,
+)
 from buildgraph.llm.oracles import ORACLES
 
 
@@ -52,6 +66,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.op11(table(spark, sf_dir, "documents"))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.op12(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.op13(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -65,6 +91,9 @@ QUERIES = {
         op8_urls,
         op9_simhash,
         op10_mixing,
+        op11_fill_middle,
+        op12_minhash,
+        op13_vector_codes,
     )
 }
 
