@@ -12,6 +12,7 @@ from pyspark.sql.types import StructField, StructType
 from buildgraph.functions.text import valid_json
 from buildgraph.operators.extract import extract_exactly_one
 from buildgraph.sources import schemas
+from buildgraph.sources.json_members import SPLIT_BYTES, read_members
 
 LOG_PREFIX = "@nix "
 #: Marker behind a log record; see :func:`parse_log_lines`.
@@ -48,10 +49,34 @@ def _parsed(df: DataFrame, schema: str, mode: str) -> DataFrame:
 
 
 def read_snapshots(
-    spark: SparkSession, path: str | list[str], mode: str = "failfast", quarantined: bool = False
+    spark: SparkSession,
+    path: str | list[str],
+    mode: str = "failfast",
+    quarantined: bool = False,
+    split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
-    """Snapshot documents below ``path``; see :func:`parse_snapshots`."""
-    return parse_snapshots(_documents(spark, path), mode, quarantined)
+    """Snapshot documents below ``path``, one row per target, read by byte ranges of ``split_bytes``.
+
+    A document may be of any size: it is never one value, and all its ranges are read at once.  Otherwise as
+    :func:`parse_snapshots`; ``quarantined=True`` returns the broken files with null as their text.
+    """
+    _check_mode(mode)
+    rows = read_members(spark, path, split_bytes)
+    broken = rows.filter("bad").select("file").distinct()
+    if quarantined:
+        return broken.select("file", F.lit(None).cast("string").alias("text"))
+    if mode == "failfast":
+        message = F.concat(F.lit("malformed document: "), F.col("file"))
+        rows = rows.withColumn("key", F.when(F.col("bad"), F.raise_error(message).cast("string")).otherwise(F.col("key")))
+    else:
+        rows = rows.join(broken, "file", "left_anti")
+    # Of repeated keys the last counts.
+    last = rows.groupBy("file", "key").agg(F.max_by("value", "at").alias("value"))
+    return _targets(last.select(snapshot_name(), F.col("key").alias("tree_path"), F.from_json("value", schemas.TARGET).alias("t")))
+
+
+def snapshot_name() -> Column:
+    return F.regexp_extract("file", r"([^/]+?)(\.json)?$", 1).alias("snapshot_id")
 
 
 def parse_snapshots(
@@ -68,8 +93,12 @@ def parse_snapshots(
     docs = _parsed(documents, f"map<string, {schemas.TARGET}>", mode)
     if quarantined:
         return docs.filter(F.col("doc").isNull()).select("file", "text")
-    name = F.regexp_extract("file", r"([^/]+?)(\.json)?$", 1)
-    return docs.select(name.alias("snapshot_id"), F.explode("doc").alias("tree_path", "t")).select(
+    return _targets(docs.select(snapshot_name(), F.explode("doc").alias("tree_path", "t")))
+
+
+def _targets(members: DataFrame) -> DataFrame:
+    """Targets (snapshot_id, tree_path, t) as flat rows."""
+    return members.select(
         "snapshot_id",
         "tree_path",
         F.col("t.drvPath").alias("drv_path"),
