@@ -246,8 +246,8 @@ def state_counts(state: DataFrame, by: Sequence[str] = (), col: str = "state") -
 
 
 def all_succeeded(results: DataFrame, by: Sequence[str] = (), col: str = "status") -> DataFrame:
-    """Whether every target succeeded; true for none."""
-    flag = F.coalesce(F.bool_and(F.col(col) == "succeeded"), F.lit(True))
+    """Whether every target succeeded; true for none.  A null status is no success."""
+    flag = F.coalesce(F.bool_and(F.coalesce(F.col(col) == "succeeded", F.lit(False))), F.lit(True))
     return results.groupBy(*by).agg(flag.alias("success"))
 
 

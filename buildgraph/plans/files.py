@@ -6,7 +6,7 @@ folder, one file per group, and reads them with the public reader.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buildgraph.functions.storage import fresh_path
@@ -14,7 +14,8 @@ from buildgraph.plans import lookups
 from buildgraph.plans import tables as t
 from buildgraph.plans.registry import query
 from buildgraph.sources import readers as rd
-from buildgraph.sources.writers import results_json, snapshot_json
+from buildgraph.sources.result_documents import read_result_documents, write_result_documents
+from buildgraph.sources.writers import snapshot_json
 from buildgraph.streaming import log as sl
 from buildgraph.streaming import stateful as sf
 
@@ -26,6 +27,18 @@ def written(rows: DataFrame, label: str, group: str, body: str) -> str:
     return path
 
 
+#: Entries of a document, about.
+DOCUMENT_ROWS = 10_000
+#: Log records of a run, about.
+RUN_ROWS = 100_000
+
+
+def block(rows: DataFrame, key: str, size: int = DOCUMENT_ROWS, least: int = 1) -> Column:
+    """The block of a row among as many as the table needs, so that documents stay of one size."""
+    n = max(-(-rows.count() // size), least)
+    return F.pmod(F.xxhash64(key), F.lit(n))
+
+
 def log_lines(events: DataFrame) -> DataFrame:
     """(event_id, value): build-log text of the events, with other output between."""
     log = t.log_of(events)
@@ -51,13 +64,14 @@ def build_log(spark, sf_dir):
 def stream_log_text(spark, sf_dir):
     """Log text as a stream: one file per run, three micro-batches, attributed with carried state.
 
-    All records of a user are in one run, so attribution is that of the whole table.
+    All records of a user are in one run, so attribution is that of the whole table.  The number of runs
+    follows the number of events.
     """
     events = t.table(spark, sf_dir, "events")
     path, root = fresh_path(spark, "log"), fresh_path(spark, "stream")
     targets = t.log_targets(spark, sf_dir)
     runs = log_lines(events).join(events.select("event_id", "user_id"), "event_id")
-    runs = runs.withColumn("run", F.pmod("user_id", F.lit(8)))
+    runs = runs.withColumn("run", block(events, "user_id", RUN_ROWS, least=8))
     for part in range(3):
         here = runs.where(F.pmod("run", F.lit(3)) == part)
         here = here.repartition("run").sortWithinPartitions("run", "event_id")
@@ -73,23 +87,23 @@ def stream_log_text(spark, sf_dir):
 SELECT system, 'main' AS branch, 'c0' AS commit, bool_and(status = 'succeeded') OVER (PARTITION BY system) AS success,
   tree_path, status, exit_code, duration_ms, log_tail FROM results""")
 def results_documents(spark, sf_dir):
-    """Results documents, one file per system."""
-    docs = results_json(t.results(spark, sf_dir), "main", "c0")
-    rows = rd.read_results(spark, written(docs, "results", "system", "json"), "*.txt")
-    return rows.select(
+    """Results documents, one per system, streamed into fragments and read back."""
+    path = fresh_path(spark, "results")
+    write_result_documents(t.results(spark, sf_dir), path, "main", "c0")
+    return read_result_documents(spark, path).select(
         "system", "branch", "commit", "success", "tree_path", "status", "exit_code", "duration_ms", "log_tail"
     )
 
 
 @query(f"WITH {t.SNAPSHOTS} SELECT tree_path, drv_path, system, dev_attr_type FROM current")
 def read_snapshots(spark, sf_dir):
-    """Snapshot documents, one file per system."""
+    """Snapshot documents, blocks of targets within a system, read by byte ranges."""
     current = t.snapshots(spark, sf_dir)[1]
     rich = current.withColumns(
         {
             "owners": F.array().cast(t.OWNER_TYPE),
             "deps": F.array().cast("array<string>"),
-            "snapshot_id": F.coalesce("system", F.lit("none")),
+            "snapshot_id": t.text(F.coalesce("system", F.lit("none")), "-", block(current, "tree_path")),
         }
     )
     members = snapshot_json(rich)
@@ -104,7 +118,7 @@ def read_snapshots(spark, sf_dir):
   CASE WHEN s_suppkey % 2 = 0 THEN '@s/p' ELSE 'p' END || s_suppkey AS npm_name, 'sha-' || s_nationkey AS src_hash,
   'npm-' || s_suppkey AS npm_deps_hash, s_suppkey || '.0' AS pinned_version FROM supplier WHERE s_suppkey % 5 <> 0""")
 def read_pins(spark, sf_dir):
-    """Pin definitions, one folder per supplier, and one file of versions; every fifth has no anchor."""
+    """Pin definitions, one folder per supplier, and files of versions by blocks; every fifth has no anchor."""
     k, sup = F.col("s_suppkey"), t.table(spark, sf_dir, "supplier")
     scoped = F.when(k % 2 == 0, t.text('  npmName = "@s/p', k, '";\n')).otherwise("")
     body = F.concat(
@@ -116,7 +130,7 @@ def read_pins(spark, sf_dir):
     defs = written(sup.select(t.text("d", k).alias("name"), body.alias("body")), "pins", "name", "body")
     name = F.concat(F.when(k % 2 == 0, "@s/p").otherwise("p"), k)
     member = F.concat(F.lit('"'), name, F.lit('":"'), k, F.lit('.0"'))
-    versions = sup.select(F.lit("versions").alias("name"), member.alias("m")).groupBy("name")
+    versions = sup.select(t.text("v", block(sup, "s_suppkey")).alias("name"), member.alias("m")).groupBy("name")
     doc = versions.agg(F.array_join(F.collect_list("m"), ",").alias("m"))
     doc = doc.select("name", F.concat(F.lit("{"), "m", F.lit("}")).alias("doc"))
     pins = rd.read_pins(spark, written(doc, "versions", "name", "doc"), defs, "buildPackage")
@@ -127,12 +141,13 @@ def read_pins(spark, sf_dir):
   CASE WHEN p_partkey % 2 = 0 THEN 'sha512-' || p_partkey WHEN p_partkey % 3 = 0 THEN '' END AS integrity,
   p_partkey % 2 = 0 OR p_partkey % 3 = 0 AS has_integrity FROM part""")
 def read_lockfiles(spark, sf_dir):
-    """Lockfiles, one per part size."""
-    k = F.col("p_partkey")
+    """Lockfiles, blocks of the parts of one size."""
+    k, parts = F.col("p_partkey"), t.table(spark, sf_dir, "part")
     integrity = F.when(k % 2 == 0, t.text("sha512-", k)).when(k % 3 == 0, "")
     entry = F.to_json(F.struct(t.text(F.col("p_size"), ".0").alias("version"), integrity.alias("integrity")))
     member = F.concat(t.text('"node_modules/@s/p', k, '":'), entry)
-    part = t.table(spark, sf_dir, "part").select(t.text("l", F.col("p_size")).alias("name"), member.alias("m"))
+    name = t.text("l", F.col("p_size"), "-", block(parts, "p_partkey"))
+    part = parts.select(name.alias("name"), member.alias("m"))
     docs = part.groupBy("name").agg(F.array_join(F.collect_list("m"), ",").alias("m"))
     docs = docs.select("name", F.concat(F.lit('{"packages":{"":1,'), "m", F.lit("}}")).alias("doc"))
     rows = rd.read_lockfiles(spark, written(docs, "lockfiles", "name", "doc"))
