@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from buildgraph.functions.ordered import number_rows
 from buildgraph.functions.storage import materialize
+from buildgraph.llm.key_filter import key_filter, split_by_filter
 
 MIN_LINES = 4
 MIN_WORDS = 50
@@ -108,27 +109,38 @@ def sum_ahead(m: int, here) -> Column:
     return F.sum("words").over(here.rowsBetween(0, m - 1))
 
 
+#: Columns that :func:`without_repeated_lines` adds.
+ADDED = ("_kept_text", "_n_lines", "_n_gone")
+
+
 def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
     """``docs`` with _kept_text, _n_lines (lines with a word) and _n_gone.
 
     The kept text is the other lines in order; a text of which nothing is deleted stays
-    as it is, also null.  Rows equal in id and text get the same result.
+    as it is, also null.  Rows equal in id and text get the same result.  Texts of any length are
+    whole; an empty table gives an empty one.  The row travels as one value, so columns of any
+    name pass through, except that those named like the three added ones are replaced.
     """
-    keyed = docs.withColumn("_k", row_key(F.col(doc_id), F.col(text)))
-    gone = later_copies(keyed.select(F.col("_k").alias("k"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), **limits)
-    joined = keyed.join(gone.withColumnRenamed("k", "_k"), "_k", "left")
-    lines = F.split(text, "\n")
-    rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.get(F.col("_lines"), i))
-    joined = joined.withColumn("_lines", lines)
-    kept = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row")
+    rows = docs.select(whole, F.col(f"`{doc_id}`").alias("_d"), F.col(f"`{text}`").alias("_t"))
+    rows = rows.withColumn("_k", row_key(F.col("_d"), F.col("_t")))
+    found = later_copies(rows.select(F.col("_k").alias("k"), F.col("_d").alias("doc_id"), F.col("_t").alias("text")), **limits)
+    found = materialize(found.select(F.col("k").alias("_k"), F.col("gone").alias("_gone")), "line-gone")
+    # Only documents that may lose a line are exchanged for the join.
+    clean, hit = split_by_filter(rows, "_k", key_filter(found, "_k"))
+    joined = clean.withColumn("_gone", F.lit(None).cast("array<int>")).unionByName(hit.join(found, "_k", "left"))
+    lines = F.split("_t", "\n")
+    rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.get(F.col("_lines"), i))
+    kept = F.when(F.col("_gone").isNull(), F.col("_t")).otherwise(F.array_join(rest, "\n"))
     with_word = F.size(F.filter("_lines", lambda x: x.rlike("[^ \\t-\\r]")))
-    return joined.withColumns(
-        {
-            "_kept_text": kept,
-            "_n_lines": F.when(F.col(text).isNull(), 0).otherwise(with_word).cast("long"),
-            "_n_gone": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
-        }
-    ).drop("_k", "_lines", "gone")
+    added = {
+        "_kept_text": kept,
+        "_n_lines": F.when(F.col("_t").isNull(), 0).otherwise(with_word).cast("long"),
+        "_n_gone": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
+    }
+    names = [c for c in docs.columns if c not in ADDED]
+    joined = joined.withColumn("_lines", lines)
+    return joined.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], *[v.alias(k) for k, v in added.items()])
 
 
 def op4(docs: DataFrame) -> DataFrame:

@@ -1,13 +1,16 @@
 """Near duplicates by word shingles: rare shingles find candidates, Jaccard similarity decides.
 
 Shingles are five words, lower case, of the whole text.  All shingles have one order, rare ones
-first.  Two sets of a Jaccard similarity of at least t share one of the first
-n - ceil(t n) + 1 shingles of each (the prefix), so no pair is missed; where the first shared
+first.  Two sets that share t percent of their union share one of the first
+n - ceil(t n / 100) + 1 shingles of each (the prefix), so no pair is missed; where the first shared
 one stands and the sizes bound what two sets can share.  The order comes from counts in a
 sample of the texts: it decides how many texts share a key, not which pairs are found.
 
-Texts that are equal word by word are one node.  Keys that few nodes share are
-paired.  In a key that more than ``PAIRED`` nodes share, all are first compared with hubs; nodes that are
+Most prefix shingles occur in one set only.  They are counted first, by 27 bits of their hash, and a
+filter of the numbers that occur twice (16 MB, whatever the input) goes to the tasks; keys that miss it are never
+written.  When a very large corpus fills the filter, more keys pass and are counted exactly later on.
+
+Texts of equal sets are one node.  In each key all nodes are first compared with hubs; nodes that are
 linked by then need no comparison, and all pairs of nodes of different groups follow.
 """
 
@@ -17,75 +20,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buildgraph.functions.storage import materialize
-from buildgraph.llm.arrow_words import WordHasher, chunks, lower_table, ngram_hashes, space_separated, word_spans
 from buildgraph.llm.components import connected
-from buildgraph.llm.simhash import PAIRED, single_spaced
+from buildgraph.llm.set_pairs import ordered_pairs, set_names, set_texts, side, similar, word_sets
 from buildgraph.llm.tables import stored
 
 SHINGLE = 5
-SIMILARITY = 0.8
+#: Percent of the union that two sets must share.
+SIMILAR = 80
 #: One of so many texts is counted for the order of the shingles; so many of the most frequent are ordered by count.
 SAMPLED = 8
 OFTEN = 200_000
-#: Comparisons per row of a crowded key up to which no more hubs are tried.
+#: Bits of the filter of repeated keys.
+FILTER_BITS = 27
+#: Comparisons per row of a key up to which no more hubs are tried.
 WORK = 64
 
 
-def text_names(texts: pa.Array) -> list[bytes]:
-    """The hash of the words of every text; zero without words."""
-    names: list[bytes] = []
-    lower = lower_table()
-    for _, _, data, offsets in chunks(texts):
-        data, offsets = single_spaced(lower[data], offsets)
-        starts, ends, first = word_spans(data, offsets, space_separated())
-        raw = data.tobytes()
-        for row in range(len(offsets) - 1):
-            a, b = first[row], first[row + 1]
-            names.append(xxhash.xxh3_128_digest(raw[starts[a] : ends[b - 1]]) if a < b else b"\0" * 16)
-    return names
-
-
-def shingle_sets(texts: pa.Array, shingle: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of every text; a shorter text is one shingle."""
-    out: list[np.ndarray] = []
-    lower, hasher = lower_table(), WordHasher()
-    for _, _, data, offsets in chunks(texts):
-        data = lower[data]
-        starts, ends, first = word_spans(data, offsets, space_separated())
-        hashes = hasher(data, starts, ends)
-        for row in range(len(offsets) - 1):
-            own = hashes[first[row] : first[row + 1]]
-            out.append(np.unique(ngram_hashes(own, min(shingle, len(own)) or 1)))
-    return out
-
-
-def word_names(docs: DataFrame) -> DataFrame:
-    """(k, doc_id, node) of ``docs`` (k, doc_id, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = pa.array(text_names(batch.column(2)), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names], ["k", "doc_id", "node"])
-
-    kinds = dict(docs.dtypes)
-    return docs.select("k", "doc_id", "text").mapInArrow(run, f"k long, doc_id {kinds['doc_id']}, node binary")
-
-
 def often_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, counts) of the shingles that are most frequent in a sample of ``texts`` (id, text)."""
+    """(hashes in order, counts) of the shingles that are most frequent in a sample of ``texts`` (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column(0), shingle)
-            found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+            for _, sets in word_sets(batch.column(0), shingle):
+                found, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select("text")
+    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).select("text")
     counts = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
     rows = counts.orderBy(F.desc("n"), "h").limit(OFTEN).toArrow()
     hashes, n = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
@@ -93,10 +56,10 @@ def often_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
     return hashes[order], n[order]
 
 
-def prefix(own: np.ndarray, often: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+def prefix(own: np.ndarray, often: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
     """The first shingles of a sorted set in the common order: by count, then by hash."""
     hashes, counts = often
-    size = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
+    size = len(own) - -(-percent * len(own) // 100) + 1
     if not len(hashes) or not len(own):
         return own[:size]
     at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
@@ -104,125 +67,127 @@ def prefix(own: np.ndarray, often: tuple[np.ndarray, np.ndarray], similarity: fl
     return own[np.argsort(rank, kind="stable")[:size]]
 
 
-def prefix_keys(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(h, id, size, place): the prefix of each of ``texts`` (id, text), with the size of its set."""
-    shared = texts.sparkSession.sparkContext.broadcast(often_shingles(texts, shingle))
+def slots(hashes: np.ndarray) -> np.ndarray:
+    """The number of each key in the filter."""
+    return hashes >> np.uint64(64 - FILTER_BITS)
+
+
+def repeated_filter(texts: DataFrame, often, shingle: int, percent: int) -> np.ndarray:
+    """One bit per number that two prefix shingles share; at most 2 ** FILTER_BITS bits reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, sets in word_sets(batch.column(0), shingle):
+                found, n = np.unique(slots(np.concatenate([prefix(s, often.value, percent) for s in sets])), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(np.minimum(n, 2).astype(np.int32))], ["slot", "n"])
+
+    counts = texts.select("text").mapInArrow(run, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
+    words = counts.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, slot & 63))").alias("bits"))
+    table = words.toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    out[table.column("word").to_numpy()] = table.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def prefix_keys(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(h, node, size, place): the prefix of each of ``texts`` (node, text), with the size of its set.
+
+    Left out are shingles whose number in the filter only one prefix has.
+    """
+    context = texts.sparkSession.sparkContext
+    often = context.broadcast(often_shingles(texts, shingle))
+    known = context.broadcast(repeated_filter(texts, often, shingle, percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
+        bits = known.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = shingle_sets(part.column(1), shingle)
-                firsts = [prefix(s, often, similarity) for s in sets]
+            for lo, sets in word_sets(batch.column(1), shingle):
+                firsts = [prefix(s, often.value, percent) for s in sets]
                 n = np.array([len(f) for f in firsts])
                 rows = np.repeat(np.arange(len(n)), n)
                 place = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+                keys = np.concatenate(firsts)
+                at = slots(keys)
+                hit = np.flatnonzero((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+                rows = rows[hit]
                 sizes = np.array([len(s) for s in sets], dtype=np.int32)[rows]
-                arrays = [pa.array(np.concatenate(firsts).view(np.int64)), part.column(0).take(pa.array(rows))]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(sizes), pa.array(place.astype(np.int32))], ["h", "id", "size", "place"])
-
-    return texts.select("id", "text").mapInArrow(run, "h long, id long, size int, place int")
+                arrays = [pa.array(keys[hit].view(np.int64)), batch.column(0).take(pa.array(rows + lo))]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(sizes), pa.array(place[hit].astype(np.int32))], ["h", "node", "size", "place"])
 
+    return texts.select("node", "text").mapInArrow(run, "h long, node binary, size int, place int")
 
-def side(rows: DataFrame, name: str) -> DataFrame:
-    return rows.select(*[F.col(c).alias(f"{name}_{c}") for c in rows.columns])
 
-
-def possible(similarity: float) -> Column:
+def possible(percent: int) -> Column:
     """Whether l and r can be similar if no shingle before this one is in both."""
     rest = F.least(F.col("l_size") - F.col("l_place"), F.col("r_size") - F.col("r_place"))
-    return rest * (1 + similarity) >= (F.col("l_size") + F.col("r_size")) * similarity - 1e-6
-
-
-def ordered_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b) once each."""
-    return rows.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct()
+    return rest * (100 + percent) >= (F.col("l_size") + F.col("r_size")) * percent
 
 
-def hub_pairs(members: DataFrame, tops: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """(a, b): the nodes of each key with one of its largest group and one of the others.
+def similar_links(
+    texts: DataFrame, shingle: int, percent: int, found: DataFrame | None = None, among: DataFrame | None = None
+) -> DataFrame:
+    """(a, b): similar pairs of ``texts`` (node, text) whose components are those of all similar pairs.
 
-    ``members``: (h, id, size, place, root); ``tops``: (h, top), the largest group of a key.
+    ``found``: (a, b) links that are known already; they are part of the result.  ``among``: (node), the
+    nodes to compare; all without it.
     """
-    whole = F.struct(F.xxhash64(F.lit(turn), "id"), "id", "size", "place", "root")
-    inner = F.col("root") == F.col("top")
-    hubs = members.join(tops, "h").groupBy("h").agg(F.min(F.when(inner, whole)).alias("x"), F.min(F.when(~inner, whole)).alias("y"))
-    hubs = hubs.select("h", F.explode(F.array_compact(F.array("x", "y"))).alias("x")).select("h", "x.id", "x.size", "x.place", "x.root")
-    hubs = materialize(hubs, "near-hubs")
-    both = side(members, "l").join(side(hubs, "r"), F.col("l_h") == F.col("r_h"))
-    return ordered_pairs(both.where((F.col("l_root") != F.col("r_root")) & possible(similarity)))
-
-
-def similar_links(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b): similar pairs of ``texts`` (id, text) whose components are those of all similar pairs."""
-    keys = stored(prefix_keys(texts, shingle, similarity), "near-keys")
-    # Tables of one row per key are stored before a join, so that a key of very many rows can be split.
-    sizes = materialize(keys.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
-    shared = materialize(keys.join(sizes, "h"), "near-shared")
-    few, many = [shared.where(c).drop("n") for c in (F.col("n") <= PAIRED, F.col("n") > PAIRED)]
-    close = (F.col("l_h") == F.col("r_h")) & (F.col("l_id") < F.col("r_id")) & possible(similarity)
-    pairs = ordered_pairs(side(few, "l").join(side(few, "r"), close))
-    links = verified(materialize(pairs, "near-pairs"), texts, shingle, similarity)
-    last = None
-    turn = 0
+    chosen = texts if among is None else texts.join(among.hint("merge"), "node", "left_semi")
+    keys = stored(prefix_keys(chosen, shingle, percent), "near-keys")
+    # One row per key, stored before the join, so that a key of very many rows can be split.
+    often = stored(keys.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"), "near-often")
+    shared = stored(keys.join(often.hint("merge"), "h"), "near-shared")
+    last, turn = None, 0
     while True:
-        links = materialize(links, "near-links")
-        roots = materialize(connected(links), "near-roots")
-        members = many.join(roots.withColumnRenamed("node", "id"), "id", "left")
-        members = materialize(members.withColumn("root", F.coalesce("root", "id")), "near-members")
+        members = shared.withColumn("root", F.col("node"))
+        if found is not None:
+            found = stored(found, "near-links")
+            roots = stored(connected(found), "near-roots")
+            members = shared.join(roots.select(F.col("node").alias("id"), "root").hint("merge"), F.col("node") == F.col("id"), "left")
+            members = members.select("h", "node", "size", "place", F.coalesce("root", "node").alias("root"))
+            members = stored(members, "near-members")
+        # The largest group of a key and how much is outside it.
         parts = members.groupBy("h", "root").agg(F.count(F.lit(1)).alias("m"))
-        tops = parts.groupBy("h").agg(F.max(F.struct("m", "root")).alias("t"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("c"))
-        tops = materialize(tops.where("c > 1").select("h", F.col("t.root").alias("top"), "n", (F.col("n") - F.col("t.m")).alias("others")), "near-tops")
-        row = tops.agg(F.sum(F.col("n") * F.col("others").cast("double")), F.sum("n")).first()
+        tops = parts.groupBy("h").agg(F.max(F.struct("m", "root")).alias("t"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("c"))
+        tops = tops.where("c > 1").select("h", F.col("t.root").alias("top"), "m", (F.col("m") - F.col("t.m")).alias("outside"))
+        tops = stored(tops, "near-tops")
+        row = tops.agg(F.sum(F.col("m") * F.col("outside").cast("double")), F.sum("m")).first()
         if not row[0]:
-            return links
+            break
+        left = members.join(tops.select("h", "top").hint("merge"), "h")
         if last is not None and (row[0] <= WORK * row[1] or row[0] > last / 2):
+            # The nodes outside the largest group of a key meet all nodes of other groups.
+            outer = side(left.where("root != top"), "l")
+            once = (F.col("r_root") == F.col("r_top")) | (F.col("l_node") < F.col("r_node"))
+            both = outer.join(side(left, "r").hint("merge"), (F.col("l_h") == F.col("r_h")) & (F.col("l_root") != F.col("r_root")) & once & possible(percent))
+            found = found.unionByName(similar(stored(ordered_pairs(both), "near-pairs"), texts, shingle, percent))
             break
         last = row[0]
-        found = hub_pairs(members, tops.select("h", "top"), turn, similarity)
-        links = links.unionByName(verified(materialize(found, "near-pairs"), texts, shingle, similarity))
+        whole = F.struct(F.xxhash64(F.lit(turn), "node"), "node", "size", "place", "root")
+        inner = F.col("root") == F.col("top")
+        hubs = left.groupBy("h").agg(F.min(F.when(inner, whole)).alias("x"), F.min(F.when(~inner, whole)).alias("y"))
+        hubs = hubs.select("h", F.explode(F.array("x", "y")).alias("x")).select("h", "x.node", "x.size", "x.place", "x.root")
+        hubs = stored(hubs, "near-hubs")
+        both = side(left.drop("top"), "l").join(side(hubs, "r").hint("merge"), (F.col("l_h") == F.col("r_h")) & (F.col("l_root") != F.col("r_root")) & possible(percent))
+        now = similar(stored(ordered_pairs(both), "near-pairs"), texts, shingle, percent)
+        found = now if found is None else found.unionByName(now)
         turn += 1
-    # In the keys that are left, the nodes outside the largest group meet all nodes of other groups.
-    left = members.join(tops.select("h", "top"), "h")
-    outer = side(left.where("root != top"), "l")
-    once = (F.col("r_root") == F.col("r_top")) | (F.col("l_id") < F.col("r_id"))
-    both = outer.join(side(left, "r"), (F.col("l_h") == F.col("r_h")) & (F.col("l_root") != F.col("r_root")) & once & possible(similarity))
-    return links.unionByName(verified(materialize(ordered_pairs(both), "near-pairs"), texts, shingle, similarity))
-
-
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets have at least the wanted Jaccard similarity; ``texts``: (id, text)."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [s.view(np.int64) for s in shingle_sets(part.column(1), shingle)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
-
-    sets = materialize(texts.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, s array<long>"), "near-sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    return found if found is not None else shared.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
 
 
-def near_duplicate_leaders(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicate_leaders(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR / 100) -> DataFrame:
     """(k, group, leader) for each distinct k of ``docs`` (k, doc_id, text).
 
     leader marks the k with the smallest (doc_id, k) of its group; a null doc_id counts as
     the smallest.  Texts without words, also null, are one group.
     """
-    names = materialize(word_names(docs), "near-names")
-    nodes = names.groupBy("node").agg(F.min(F.struct("doc_id", "k")).alias("first"))
-    # The first k of a node stands for it.
-    nodes = materialize(nodes.withColumn("id", F.col("first.k")), "near-nodes")
-    texts = docs.select(F.col("k").alias("id"), "text").join(nodes.select("id"), "id").dropDuplicates(["id"])
-    roots = connected(similar_links(stored(texts, "near-texts"), shingle, similarity))
-    named = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left")
-    leaders = materialize(named.select("node", "first", F.coalesce("root", "id").alias("group")), "near-groups")
-    best = materialize(leaders.groupBy("group").agg(F.min("first").alias("best")), "near-best")
-    leaders = materialize(leaders.join(best, "group").select("node", "group", F.col("best.k").alias("best")), "near-leaders")
-    rows = names.select("k", "node").join(leaders, "node").select("k", "group", (F.col("k") == F.col("best")).alias("leader"))
+    percent = round(similarity * 100)
+    names = set_names(docs, shingle, ["k", "doc_id"]).withColumn("node", F.coalesce("node", F.lit(b"")))
+    names = stored(names, "near-names")
+    nodes = stored(names.groupBy("node").agg(F.min(F.struct("doc_id", "k")).alias("first")), "near-nodes")
+    roots = connected(similar_links(set_texts(docs, shingle), shingle, percent))
+    leaders = nodes.join(roots.hint("merge"), "node", "left").select("node", "first", F.coalesce("root", "node").alias("group"))
+    leaders = stored(leaders, "near-groups")
+    best = stored(leaders.groupBy("group").agg(F.min("first").alias("best")), "near-best")
+    leaders = stored(leaders.join(best.hint("merge"), "group").select("node", "group", F.col("best.k").alias("best")), "near-leaders")
+    rows = names.join(leaders.hint("merge"), "node").select("k", "group", (F.col("k") == F.col("best")).alias("leader"))
     return rows.distinct()

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buildgraph.functions.storage import materialize
+from buildgraph.llm.tables import stored
 
 SPACE = "[ \\t-\\r]+"
 #: Rule: (strict limit, loose limit).
@@ -136,18 +137,24 @@ def judge(docs: DataFrame, text: str, host: str, keep: list[str], counts: str =
 
     Rows are counted once and stored (only ``keep``, the host and the counts); host
     verdicts come back through a table of one row per host.  A null host is a
-    host of its own.  Repeated rows count each and get the same verdict.
+    host of its own.  Repeated rows count each and get the same verdict.  The columns to keep travel as one
+    value, so their names are free, except for those of the two added ones.
     """
-    named = docs.withColumn("_host", F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("null")))
-    counted = materialize(rule_counts(named, text, counts).select(*keep, "_host", counts), "quality")
-    verdicts = materialize(host_verdicts(host_rates(counted, "_host", counts)), "hosts")
+    named = docs.select(
+        F.struct(*[docs[f"`{c}`"] for c in keep]).alias("_row"),
+        F.col(f"`{text}`").alias("_text"),
+        F.coalesce(F.concat(F.lit("="), F.col(f"`{host}`").cast("string")), F.lit("null")).alias("_host"),
+    )
+    counted = stored(rule_counts(named, "_text", "_q").select("_row", "_host", "_q"), "quality")
+    verdicts = materialize(host_verdicts(host_rates(counted, "_host", "_q")), "hosts")
     joined = counted.join(verdicts, "_host", "left")
-    values = rule_values(F.col(counts))
+    values = rule_values(F.col("_q"))
     broken = F.lit(False)
     for r, (strict, loose) in RULES.items():
         limit = F.when(F.col("_suspicious")[r], strict).otherwise(loose)
         broken = broken | (values[r] > limit)
-    return joined.withColumn(kept, ~(base_failed(F.col(counts)) | broken)).drop("_host", "_suspicious")
+    verdict = ~(base_failed(F.col("_q")) | broken)
+    return joined.select(*[F.col(f"_row.`{c}`").alias(c) for c in keep], F.col("_q").alias(counts), verdict.alias(kept))
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -8,15 +8,15 @@ Ranks are handed out one after the other for all shingles of a batch; a document
 done as soon as each of its slots holds a value below the next rank.
 
 Signatures are cut into bands.  With 32 bands of 5 slots a pair of similarity 0.8 shares none
-with a probability below 4 in a million, a pair of 0.9 below 1 in 10^12.  Distinct sets that share a band
-are first compared with one hub of each group in the band, by their full sets; what is linked by then
-needs no other comparison.  When hubs find little more, all pairs that are not in one
-group yet follow, so no shared band is left unread, however large it is.  Union-find over stored
-edges names the groups.
-
-Documents of equal sets are one node, named by a 128-bit hash of the set; they are
-never paired.  Sides of joins that grow with the corpus ask for a merge join, so that a small
-input is not planned differently from a large one.
+with a probability below 4 in a million, a pair of 0.9 below 1 in 10^12.  The distinct sets of a band
+are first compared with two hubs of it, by their full sets; what is linked by then
+needs no other comparison.  In bands that few sets share, all pairs of different groups follow.  A band that
+many share is a crowd of sets that are half alike (one passage in thousands of texts); pairing it
+would cost the square of its size.  The sets of such bands are compared exactly by another way, the rare shingles
+that two similar sets must have in common (:mod:`near_duplicates`), so no band is cut and no pair of it lost.
+Union-find over stored edges names the groups.
+
+Documents of equal sets are one node; they are never paired.
 """
 
 from __future__ import annotations
@@ -25,42 +25,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildgraph.functions.skew import lookup_join
-from buildgraph.functions.storage import bucketed
-from buildgraph.llm.arrow_words import WordHasher, chunks, lower_table, mixed, ngram_hashes, space_separated, word_spans
+from buildgraph.llm.arrow_words import mixed
 from buildgraph.llm.components import connected
+from buildgraph.llm.near_duplicates import similar_links
+from buildgraph.llm.set_pairs import alike_in_size, ordered_pairs, set_names, set_texts, side, similar, word_sets
 from buildgraph.llm.tables import stored
 
 SHINGLE = 4
 #: Percent of the union that two sets must share.
 SIMILAR = 80
 BANDS, ROWS = 32, 5
-#: Comparisons per row of a band up to which no more hubs are tried.
-WORK = 8
-#: Sets a task remembers while it leaves out copies, and shingles of sets kept between comparisons.
-MET, KNOWN = 200_000, 4_000_000
+#: Rounds of hubs, and sets of a band up to which all its pairs are compared.
+HUB_TURNS, PAIRED = 2, 16
 #: Odd constants that tell the random streams of a shingle apart.
 STREAM, FRACTION = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
-def word_sets(texts: pa.Array, shingle: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(first row, sorted distinct shingle hashes of each text), in pieces of about a megabyte.
-
-    A text of fewer words is one shingle, one without words is the empty set.
-    """
-    lower, hasher = lower_table(), WordHasher()
-    for lo, _, data, offsets in chunks(texts):
-        data = lower[data]
-        starts, ends, first = word_spans(data, offsets, space_separated())
-        hashes = hasher(data, starts, ends)
-        own = [hashes[first[row] : first[row + 1]] for row in range(len(offsets) - 1)]
-        yield lo, [np.unique(ngram_hashes(w, min(shingle, len(w)))) if len(w) else w for w in own]
-
-
 def signatures(sets: list[np.ndarray], slots: int) -> np.ndarray:
     """SuperMinHash of every set: one row of values each; equal values are equal slots.
 
@@ -111,52 +94,6 @@ def band_keys(values: np.ndarray, bands: int) -> np.ndarray:
     return out
 
 
-def set_names(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, node, n): a name of the shingle set and its size; the name is null for the empty set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, sets in word_sets(batch.column(1), shingle):
-                names = [set_name(s) for s in sets]
-                sizes = pa.array([len(s) for s in sets], pa.int64())
-                ids = batch.column(0).slice(lo, len(sets))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.binary()), sizes], ["doc_id", "node", "n"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node binary, n long")
-
-
-def set_name(own: np.ndarray) -> bytes | None:
-    return xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
-
-
-def set_texts(docs: DataFrame, shingle: int) -> DataFrame:
-    """(node, text): one text of each set, in buckets of the node.
-
-    A task leaves out copies of the sets it has met lately, so that the text of a large group of copies
-    travels once per task.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[bytes] = set()
-        for batch in batches:
-            for lo, sets in word_sets(batch.column(0), shingle):
-                names, rows = [], []
-                for i, own in enumerate(sets):
-                    name = set_name(own)
-                    if name is not None and name not in met:
-                        met.add(name)
-                        names.append(name)
-                        rows.append(lo + i)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), batch.column(0).take(pa.array(rows, pa.int64()))], ["node", "text"])
-                if len(met) > MET:
-                    met.clear()
-
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("text").mapInArrow(run, "node binary, text string")
-    return bucketed(rows.repartition(width, "node").dropDuplicates(["node"]), ["node"], width, "mh_texts")
-
-
 def keys_of(texts: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """(h, node, n): the band keys of ``texts`` (node, text) with the sizes of the sets."""
 
@@ -172,89 +109,41 @@ def keys_of(texts: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "h long, node binary, n long")
 
 
-def similar(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough; ``texts``: (node, text).
-
-    b may be in very many pairs: its text is joined first, by the split join for hot keys, so
-    that the join of a, which brings the other text, meets keys of few pairs each.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, np.ndarray] = {}
-        for batch in batches:
-            others = batch.column(1).to_pylist()
-            new = {n: i for i, n in enumerate(others) if n not in known}
-            for lo, sets in word_sets(batch.column(3).take(pa.array(list(new.values()), pa.int64())), shingle):
-                known.update(zip(list(new)[lo : lo + len(sets)], sets, strict=True))
-            good = np.zeros(batch.num_rows, dtype=bool)
-            for lo, sets in word_sets(batch.column(2), shingle):
-                for i, own in enumerate(sets, lo):
-                    other = known[others[i]]
-                    common = len(np.intersect1d(own, other, assume_unique=True))
-                    good[i] = 100 * common >= percent * (len(own) + len(other) - common)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
-            if sum(map(len, known.values())) > KNOWN:
-                known.clear()
-
-    pairs = lookup_join(pairs, texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), ["b"], "inner")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
-
-
-def alike_in_size(percent: int):
-    """Whether two sets l and r can be similar at all, by their sizes."""
-    return 100 * F.least("l_n", "r_n") >= percent * F.greatest("l_n", "r_n")
-
-
-def as_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b) once each: b is the node of the right side."""
-    return rows.select(F.col("l_node").alias("a"), F.col("r_node").alias("b")).distinct()
-
-
-def side(rows: DataFrame, name: str) -> DataFrame:
-    return rows.select(*[F.col(c).alias(f"{name}_{c}") for c in rows.columns])
-
-
 def links(texts: DataFrame, shingle: int, percent: int, bands: int, rows: int) -> DataFrame:
     """(a, b): similar pairs of ``texts`` (node, text) whose groups are those of all similar pairs that share a band."""
     keys = stored(keys_of(texts, shingle, bands, rows), "mh-keys")
     # Stored, one row per key, so that a key of very many rows can be split in the join.
     often = stored(keys.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"), "mh-often")
     shared = stored(keys.join(often.hint("merge"), "h"), "mh-shared")
-    found, roots, last, turn = None, None, None, 0
-    while True:
-        members = shared.withColumn("root", F.col("node"))
-        if roots is not None:
-            members = shared.join(roots.withColumnRenamed("node", "id").hint("merge"), F.col("node") == F.col("id"), "left")
-            members = members.select("h", "node", "n", F.coalesce("root", "node").alias("root"))
-        members = stored(members, "mh-members")
-        # The largest group of a band and what is outside it.
+    found = None
+    members = shared.withColumn("root", F.col("node"))
+    for turn in range(HUB_TURNS + 1):
+        if found is not None:
+            found = stored(found, "mh-links")
+            roots = stored(connected(found), "mh-roots").select(F.col("node").alias("id"), "root")
+            members = shared.join(roots.hint("merge"), F.col("node") == F.col("id"), "left")
+            members = stored(members.select("h", "node", "n", F.coalesce("root", "node").alias("root")), "mh-members")
+        # The largest group of a band, and what is outside it.
         parts = members.groupBy("h", "root").agg(F.count(F.lit(1)).alias("m"))
         tops = parts.groupBy("h").agg(F.max(F.struct("m", "root")).alias("t"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("c"))
-        tops = tops.where("c > 1").select("h", F.col("t.root").alias("top"), "m", (F.col("m") - F.col("t.m")).alias("outside"))
-        tops = stored(tops, "mh-tops")
-        row = tops.agg(F.sum(F.col("m") * F.col("outside").cast("double")), F.sum("m")).first()
-        if not row[0]:
-            break
-        left = members.join(tops.select("h", "top").hint("merge"), "h")
-        if last is not None and (row[0] <= WORK * row[1] or row[0] > last / 2):
-            outer = side(left.where("root != top"), "l")
-            once = (F.col("r_root") == F.col("r_top")) | (F.col("l_node") < F.col("r_node"))
-            both = outer.join(side(left, "r").hint("merge"), F.col("l_h") == F.col("r_h")).where("l_root != r_root")
-            found = similar(stored(as_pairs(both.where(once & alike_in_size(percent))), "mh-pairs"), texts, shingle, percent).unionByName(found)
+        tops = stored(tops.where("c > 1").select("h", F.col("t.root").alias("top"), "m"), "mh-tops")
+        left = members.join(tops.hint("merge"), "h")
+        if turn == HUB_TURNS:
             break
-        last = row[0]
         whole = F.struct(F.xxhash64(F.lit(turn), "node"), "node", "n", "root")
         inner = F.col("root") == F.col("top")
         hubs = left.groupBy("h").agg(F.min(F.when(inner, whole)).alias("x"), F.min(F.when(~inner, whole)).alias("y"))
-        hubs = hubs.select("h", F.explode(F.array("x", "y")).alias("x")).select("h", "x.node", "x.n", "x.root")
-        hubs = stored(hubs, "mh-hubs")
-        both = side(members, "l").join(side(hubs, "r").hint("merge"), F.col("l_h") == F.col("r_h")).where("l_root != r_root")
-        now = similar(stored(as_pairs(both.where(alike_in_size(percent))), "mh-pairs"), texts, shingle, percent)
-        found = stored(now if found is None else found.unionByName(now), "mh-links")
-        roots = stored(connected(found), "mh-roots")
-        turn += 1
-    return found if found is not None else keys.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        hubs = stored(hubs.select("h", F.explode(F.array("x", "y")).alias("x")).select("h", "x.node", "x.n", "x.root"), "mh-hubs")
+        both = side(left.drop("top", "m"), "l").join(side(hubs, "r").hint("merge"), F.col("l_h") == F.col("r_h"))
+        pairs = stored(ordered_pairs(both.where((F.col("l_root") != F.col("r_root")) & alike_in_size(percent))), "mh-pairs")
+        now = similar(pairs, texts, shingle, percent)
+        found = now if found is None else found.unionByName(now)
+    few, many = left.where(F.col("m") <= PAIRED), left.where(F.col("m") > PAIRED)
+    once = (F.col("l_root") != F.col("r_root")) & (F.col("l_node") < F.col("r_node")) & alike_in_size(percent)
+    both = side(few, "l").join(side(few, "r").hint("merge"), (F.col("l_h") == F.col("r_h")) & once)
+    found = found.unionByName(similar(stored(ordered_pairs(both), "mh-pairs"), texts, shingle, percent))
+    crowd = stored(many.select("node").distinct(), "mh-crowd")
+    return similar_links(texts, shingle, percent, found, among=crowd)
 
 
 def near_duplicate_groups(
@@ -277,7 +166,7 @@ def near_duplicate_groups(
     if bands * rows > 255:
         raise ValueError("a signature has at most 255 slots")
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    names = stored(set_names(docs, shingle), "mh-names")
+    names = stored(set_names(docs, shingle, ["doc_id"]), "mh-names")
     nodes = stored(names.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")), "mh-nodes")
     edges = links(set_texts(docs, shingle), shingle, percent, bands, rows)
     roots = connected(edges)

@@ -117,9 +117,9 @@ def edited(rng, words, n):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("work", [0, 8])
-def test_groups_of_similar_sets(spark, docs, empty, monkeypatch, work):
-    monkeypatch.setattr(superminhash, "WORK", work)
+@pytest.mark.parametrize("paired", [2, 16])
+def test_groups_of_similar_sets(spark, docs, empty, monkeypatch, paired):
+    monkeypatch.setattr(superminhash, "PAIRED", paired)
     rng = random.Random(8)
     rows = []
     # Crowds: texts that share half of their words, with small groups of copies within, and chains of edits.
