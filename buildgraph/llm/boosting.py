@@ -67,9 +67,21 @@ def calibrated_threshold(scored: DataFrame, score: str, label: str, precision: f
     return math.nextafter(1.0, 2.0)
 
 
-def bounded_sample(rows: DataFrame, key: str, at_most: int) -> DataFrame:
-    """About ``at_most`` rows, chosen by a hash of the key; all if there are no more."""
-    n = rows.count()
+def hash_limit(at_most: int, n: int) -> int:
+    """The value below which about ``at_most`` of ``n`` signed 64-bit hashes lie.
+
+    A limit of 64 bits keeps its resolution for any table: among 10^12 rows one hash in 5 x 10^7 is
+    chosen for 20,000, with a rounding error below 10^-11 of that.
+    """
+    return min((at_most << 64) // max(n, 1), (1 << 64) - 1) - (1 << 63)
+
+
+def bounded_sample(rows: DataFrame, key: str, at_most: int, name: str = "sample", n: int | None = None) -> DataFrame:
+    """About ``at_most`` rows, chosen by a hash of the key; all if there are no more.
+
+    ``n``: the number of rows, if it is known.
+    """
+    n = rows.count() if n is None else n
     if n <= at_most:
         return rows
-    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1_000_000)) < int(at_most / n * 1_000_000))
+    return rows.where(F.xxhash64(F.lit(name), F.col(key)) < F.lit(hash_limit(at_most, n)))

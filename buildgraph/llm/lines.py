@@ -139,8 +139,9 @@ def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str =
         "_n_gone": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
     }
     names = [c for c in docs.columns if c not in ADDED]
-    joined = joined.withColumn("_lines", lines)
-    return joined.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], *[v.alias(k) for k, v in added.items()])
+    # In two steps: the row's own columns may have any of these names.
+    joined = joined.withColumn("_lines", lines).select("_row", F.struct(*[v.alias(k) for k, v in added.items()]).alias("_new"))
+    return joined.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], *[F.col(f"_new.{k}").alias(k) for k in added])
 
 
 def op4(docs: DataFrame) -> DataFrame:

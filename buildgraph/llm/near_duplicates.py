@@ -3,12 +3,13 @@
 Shingles are five words, lower case, of the whole text.  All shingles have one order, rare ones
 first.  Two sets that share t percent of their union share one of the first
 n - ceil(t n / 100) + 1 shingles of each (the prefix), so no pair is missed; where the first shared
-one stands and the sizes bound what two sets can share.  The order comes from counts in a
-sample of the texts: it decides how many texts share a key, not which pairs are found.
+one stands and the sizes bound what two sets can share.  The order comes from a
+sample of the texts: shingles that are frequent in it come last, and before them those of rare words come first,
+as their words would rarely meet by chance.  It decides how many texts share a key, not which pairs are found.
 
-Most prefix shingles occur in one set only.  They are counted first, by 27 bits of their hash, and a
-filter of the numbers that occur twice (16 MB, whatever the input) goes to the tasks; keys that miss it are never
-written.  When a very large corpus fills the filter, more keys pass and are counted exactly later on.
+Most prefix shingles occur in one set only.  They are counted first, and a Bloom filter of
+those that occur twice (16 MB, whatever the input) goes to the tasks; keys that miss it are never
+written.  When a very large corpus fills the filter, more keys pass and are counted again later on.
 
 Texts of equal sets are one node.  In each key all nodes are first compared with hubs; nodes that are
 linked by then need no comparison, and all pairs of nodes of different groups follow.
@@ -17,20 +18,22 @@ linked by then need no comparison, and all pairs of nodes of different groups fo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from buildgraph.llm.arrow_words import WordHasher, chunks, lower_table, ngram_hashes, space_separated, word_spans
 from buildgraph.llm.components import connected
-from buildgraph.llm.set_pairs import ordered_pairs, set_names, set_texts, side, similar, word_sets
+from buildgraph.llm.set_pairs import ordered_pairs, set_names, set_texts, side, stored_similar, word_sets
 from buildgraph.llm.tables import stored
 
 SHINGLE = 5
 #: Percent of the union that two sets must share.
 SIMILAR = 80
-#: One of so many texts is counted for the order of the shingles; so many of the most frequent are ordered by count.
+#: One of so many texts is counted for the order of the shingles; so many of the most frequent shingles and words count.
 SAMPLED = 8
 OFTEN = 200_000
 #: Bits of the filter of repeated keys.
@@ -39,50 +42,94 @@ FILTER_BITS = 27
 WORK = 64
 
 
-def often_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, counts) of the shingles that are most frequent in a sample of ``texts`` (node, text)."""
+@dataclass
+class Order:
+    """The common order of shingles: frequent ones by count, the others by the frequency of their words."""
+
+    often: np.ndarray
+    counts: np.ndarray
+    words: np.ndarray
+    weights: np.ndarray
+
+    def sets(self, texts: pa.Array, shingle: int) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
+        """(first row, [(sorted distinct shingles, their places in the order)]) of texts, in pieces."""
+        lower, hasher = lower_table(), WordHasher()
+        for lo, _, data, offsets in chunks(texts):
+            data = lower[data]
+            starts, ends, first = word_spans(data, offsets, space_separated())
+            hashes = hasher(data, starts, ends)
+            # Single words are counted as shingles of one.
+            weight = looked_up(ngram_hashes(hashes, 1), self.words, self.weights)
+            out = []
+            for row in range(len(offsets) - 1):
+                own, w = (x[first[row] : first[row + 1]] for x in (hashes, weight))
+                n = min(shingle, len(own))
+                if not n:
+                    out.append((own, w))
+                    continue
+                found, at = np.unique(ngram_hashes(own, n), return_index=True)
+                score = sum(w[i : len(w) - n + 1 + i] for i in range(n))[at]
+                out.append((found, (looked_up(found, self.often, self.counts) << 32) + score))
+            yield lo, out
+
+
+def looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each key, zero for those that are not known; ``known`` is sorted."""
+    if not len(known):
+        return np.zeros(len(keys), dtype=np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, values[at], 0)
+
+
+def common_order(texts: DataFrame, shingle: int) -> Order:
+    """The order, from the most frequent shingles and words of a sample of ``texts`` (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, sets in word_sets(batch.column(0), shingle):
-                found, n = np.unique(np.concatenate(sets), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+            for kind, size in ((0, shingle), (1, 1)):
+                for _, sets in word_sets(batch.column(0), size):
+                    found, n = np.unique(np.concatenate(sets), return_counts=True)
+                    kinds = pa.array(np.full(len(found), kind, dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([kinds, pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "h", "n"])
 
     sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).select("text")
-    counts = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
-    rows = counts.orderBy(F.desc("n"), "h").limit(OFTEN).toArrow()
-    hashes, n = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
-    order = np.argsort(hashes)
-    return hashes[order], n[order]
+    counts = stored(sample.mapInArrow(run, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")).where("n > 2"), "near-counts")
 
+    def most(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = counts.where(F.col("kind") == kind).orderBy(F.desc("n"), "h").limit(OFTEN).select("h", "n").toArrow()
+        hashes, n = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
+        order = np.argsort(hashes)
+        return hashes[order], n[order]
 
-def prefix(own: np.ndarray, often: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
-    """The first shingles of a sorted set in the common order: by count, then by hash."""
-    hashes, counts = often
+    words, n = most(1)
+    return Order(*most(0), words, np.round(64 * np.log2(np.maximum(n, 1))).astype(np.int64))
+
+
+def prefix(own: np.ndarray, places: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a sorted set in the common order; ties go by hash."""
     size = len(own) - -(-percent * len(own) // 100) + 1
-    if not len(hashes) or not len(own):
-        return own[:size]
-    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-    rank = np.where(hashes[at] == own, counts[at], 0)
-    return own[np.argsort(rank, kind="stable")[:size]]
+    return own[np.argsort(places, kind="stable")[:size]]
 
 
-def slots(hashes: np.ndarray) -> np.ndarray:
-    """The number of each key in the filter."""
-    return hashes >> np.uint64(64 - FILTER_BITS)
+def bits_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each key in the filter."""
+    mask = np.uint64((1 << FILTER_BITS) - 1)
+    return hashes & mask, (hashes >> np.uint64(32)) & mask
 
 
-def repeated_filter(texts: DataFrame, often, shingle: int, percent: int) -> np.ndarray:
-    """One bit per number that two prefix shingles share; at most 2 ** FILTER_BITS bits reach the driver."""
+def repeated_filter(texts: DataFrame, order, shingle: int, percent: int) -> np.ndarray:
+    """A Bloom filter of the prefix shingles that occur twice; at most 2 ** FILTER_BITS bits reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, sets in word_sets(batch.column(0), shingle):
-                found, n = np.unique(slots(np.concatenate([prefix(s, often.value, percent) for s in sets])), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(np.minimum(n, 2).astype(np.int32))], ["slot", "n"])
-
-    counts = texts.select("text").mapInArrow(run, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
-    words = counts.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, slot & 63))").alias("bits"))
+            for _, sets in order.value.sets(batch.column(0), shingle):
+                found, n = np.unique(np.concatenate([prefix(*s, percent) for s in sets]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], ["h", "n"])
+
+    repeated = texts.select("text").mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    mask = (1 << FILTER_BITS) - 1
+    bits = repeated.select(F.explode(F.array(F.expr(f"h & {mask}L"), F.expr(f"shiftright(h, 32) & {mask}L"))).alias("bit"))
+    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits"))
     table = words.toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
     out[table.column("word").to_numpy()] = table.column("bits").to_numpy()
@@ -92,25 +139,25 @@ def repeated_filter(texts: DataFrame, often, shingle: int, percent: int) -> np.n
 def prefix_keys(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(h, node, size, place): the prefix of each of ``texts`` (node, text), with the size of its set.
 
-    Left out are shingles whose number in the filter only one prefix has.
+    Left out are shingles that the filter of repeated ones does not hold.
     """
     context = texts.sparkSession.sparkContext
-    often = context.broadcast(often_shingles(texts, shingle))
-    known = context.broadcast(repeated_filter(texts, often, shingle, percent))
+    order = context.broadcast(common_order(texts, shingle))
+    known = context.broadcast(repeated_filter(texts, order, shingle, percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = known.value
+        bits, six, one = known.value, np.uint64(6), np.uint64(1)
         for batch in batches:
-            for lo, sets in word_sets(batch.column(1), shingle):
-                firsts = [prefix(s, often.value, percent) for s in sets]
+            for lo, sets in order.value.sets(batch.column(1), shingle):
+                firsts = [prefix(*s, percent) for s in sets]
                 n = np.array([len(f) for f in firsts])
                 rows = np.repeat(np.arange(len(n)), n)
                 place = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
                 keys = np.concatenate(firsts)
-                at = slots(keys)
-                hit = np.flatnonzero((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+                a, b = bits_of(keys)
+                hit = np.flatnonzero((bits[a >> six] >> (a & np.uint64(63))) & (bits[b >> six] >> (b & np.uint64(63))) & one)
                 rows = rows[hit]
-                sizes = np.array([len(s) for s in sets], dtype=np.int32)[rows]
+                sizes = np.array([len(s) for s, _ in sets], dtype=np.int32)[rows]
                 arrays = [pa.array(keys[hit].view(np.int64)), batch.column(0).take(pa.array(rows + lo))]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(sizes), pa.array(place[hit].astype(np.int32))], ["h", "node", "size", "place"])
 
@@ -159,7 +206,7 @@ def similar_links(
             outer = side(left.where("root != top"), "l")
             once = (F.col("r_root") == F.col("r_top")) | (F.col("l_node") < F.col("r_node"))
             both = outer.join(side(left, "r").hint("merge"), (F.col("l_h") == F.col("r_h")) & (F.col("l_root") != F.col("r_root")) & once & possible(percent))
-            found = found.unionByName(similar(stored(ordered_pairs(both), "near-pairs"), texts, shingle, percent))
+            found = found.unionByName(stored_similar(stored(ordered_pairs(both), "near-pairs"), texts, shingle, percent))
             break
         last = row[0]
         whole = F.struct(F.xxhash64(F.lit(turn), "node"), "node", "size", "place", "root")
@@ -168,7 +215,7 @@ def similar_links(
         hubs = hubs.select("h", F.explode(F.array("x", "y")).alias("x")).select("h", "x.node", "x.size", "x.place", "x.root")
         hubs = stored(hubs, "near-hubs")
         both = side(left.drop("top"), "l").join(side(hubs, "r").hint("merge"), (F.col("l_h") == F.col("r_h")) & (F.col("l_root") != F.col("r_root")) & possible(percent))
-        now = similar(stored(ordered_pairs(both), "near-pairs"), texts, shingle, percent)
+        now = stored_similar(stored(ordered_pairs(both), "near-pairs"), texts, shingle, percent)
         found = now if found is None else found.unionByName(now)
         turn += 1
     return found if found is not None else shared.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)

@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 from buildgraph.functions.skew import lookup_join
 from buildgraph.functions.storage import bucketed
 from buildgraph.llm.arrow_words import WordHasher, chunks, lower_table, ngram_hashes, space_separated, word_spans
+from buildgraph.llm.tables import stored
 
 #: Sets a task remembers while it leaves out copies, and shingles of sets kept between comparisons.
 MET, KNOWN = 200_000, 4_000_000
+#: Pairs that go to a worker at once.
+ROWS = 128
 
 
 def word_sets(texts: pa.Array, shingle: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -112,6 +115,18 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
+def stored_similar(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """:func:`similar`, computed at once: texts go to the workers in batches of few rows, as each may be long."""
+    spark = pairs.sparkSession
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(int(before), ROWS)))
+    try:
+        return stored(similar(pairs, texts, shingle, percent), "similar")
+    finally:
+        spark.conf.set(setting, before)
+
+
 def side(rows: DataFrame, name: str) -> DataFrame:
     return rows.select(*[F.col(c).alias(f"{name}_{c}") for c in rows.columns])
 

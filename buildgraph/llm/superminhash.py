@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from buildgraph.llm.arrow_words import mixed
 from buildgraph.llm.components import connected
 from buildgraph.llm.near_duplicates import similar_links
-from buildgraph.llm.set_pairs import alike_in_size, ordered_pairs, set_names, set_texts, side, similar, word_sets
+from buildgraph.llm.set_pairs import alike_in_size, ordered_pairs, set_names, set_texts, side, stored_similar, word_sets
 from buildgraph.llm.tables import stored
 
 SHINGLE = 4
@@ -136,12 +136,12 @@ def links(texts: DataFrame, shingle: int, percent: int, bands: int, rows: int) -
         hubs = stored(hubs.select("h", F.explode(F.array("x", "y")).alias("x")).select("h", "x.node", "x.n", "x.root"), "mh-hubs")
         both = side(left.drop("top", "m"), "l").join(side(hubs, "r").hint("merge"), F.col("l_h") == F.col("r_h"))
         pairs = stored(ordered_pairs(both.where((F.col("l_root") != F.col("r_root")) & alike_in_size(percent))), "mh-pairs")
-        now = similar(pairs, texts, shingle, percent)
+        now = stored_similar(pairs, texts, shingle, percent)
         found = now if found is None else found.unionByName(now)
     few, many = left.where(F.col("m") <= PAIRED), left.where(F.col("m") > PAIRED)
     once = (F.col("l_root") != F.col("r_root")) & (F.col("l_node") < F.col("r_node")) & alike_in_size(percent)
     both = side(few, "l").join(side(few, "r").hint("merge"), (F.col("l_h") == F.col("r_h")) & once)
-    found = found.unionByName(similar(stored(ordered_pairs(both), "mh-pairs"), texts, shingle, percent))
+    found = found.unionByName(stored_similar(stored(ordered_pairs(both), "mh-pairs"), texts, shingle, percent))
     crowd = stored(many.select("node").distinct(), "mh-crowd")
     return similar_links(texts, shingle, percent, found, among=crowd)
 

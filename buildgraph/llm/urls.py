@@ -3,8 +3,9 @@
 Rules give a verdict for a host, its subdomains and a path prefix; the longest that fits
 wins.  Other URLs are judged by gradient-boosted trees over length, depth, digits,
 entropy, parameters and suffix statistics.  The trees learn from a bounded sample of
-labelled URLs: bad ones are those whose host holds a word of a stated list, good ones all
-others but those that a rule blocks.
+labelled URLs: bad ones are those whose host has a label, or a part of one between hyphens, that is a
+word of a stated list (digits may follow it), good ones all others but those that a rule blocks.
+Suffix statistics count all labelled URLs, not the sample, and every suffix has its own.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from buildgraph.functions.skew import lookup_join
+from buildgraph.functions.storage import materialize
 from buildgraph.llm.boosting import bounded_sample, fit
 
 #: (verdict, host and path prefix).
@@ -26,9 +29,10 @@ RULES = (
 )
 #: Words in a host that label it as unwanted for training.
 UNWANTED = ("spam", "pills", "adult", "ads", "bets", "casino")
-#: Labelled rows that train the trees, and suffixes with a statistic of their own.
+#: Labelled rows that train the trees.
 TRAIN_ROWS = 20_000
-SUFFIXES = 500
+#: Weight, in URLs, of the mean in the statistic of a suffix.
+PRIOR = 10
 THRESHOLD = 0.5
 
 
@@ -49,6 +53,11 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
+def is_unwanted(host: Column) -> Column:
+    """Whether a host has a word of the list between dots, hyphens and its ends."""
+    return host.rlike(f"(^|[.-])({'|'.join(UNWANTED)})[0-9]*($|[.-])")
+
+
 def lexical_features(url: Column, host: Column, path: Column) -> dict[str, Column]:
     """Numbers that describe how a URL looks."""
     digits = F.length(F.regexp_replace(url, "[^0-9]", ""))
@@ -71,22 +80,23 @@ def lexical_features(url: Column, host: Column, path: Column) -> dict[str, Colum
     }
 
 
-def suffix_rates(sample: DataFrame) -> dict[str, float]:
-    """Shrunk share of unwanted URLs by last host label, for the most frequent labels of the sample."""
-    rows = sample.groupBy("_suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("y"))
-    top = rows.orderBy(F.desc("n"), "_suffix").limit(SUFFIXES).collect()
-    n, y = sum(r["n"] for r in top), sum(r["y"] for r in top)
-    mean = y / n if n else 0.0
-    return {r["_suffix"]: (r["y"] + 10 * mean) / (r["n"] + 10) for r in top} | {"": mean}
+def suffix_rates(labelled: DataFrame) -> tuple[DataFrame, float]:
+    """((_suffix, _f_suffix_rate), mean): shrunk share of unwanted URLs by last host label, and over all."""
+    rows = materialize(labelled.groupBy("_suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("y")), "suffixes")
+    total = rows.agg(F.sum("n").alias("n"), F.sum("y").alias("y")).first()
+    mean = total["y"] / total["n"] if total["n"] else 0.0
+    rate = (F.col("y") + F.lit(PRIOR * mean)) / (F.col("n") + PRIOR)
+    return rows.select("_suffix", rate.alias("_f_suffix_rate")), mean
 
 
 def judged(pages: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
     """``pages`` (key, url) with host, path, rule, verdict and probability (that the URL is unwanted).
 
     A null URL, or one without ://, has no host; no rule fits and it is blocked.  Repeated rows
-    get the same verdict.
+    get the same verdict, whatever their key, also null.  URLs of any length are judged whole; an empty table
+    gives an empty one.  Other columns, whatever their names, are not read.
     """
-    rows = pages.select(F.col(key), F.col(url).alias("_url"))
+    rows = pages.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{url}`").alias("_url"))
     host, path = host_and_path(F.col("_url"))
     rows = rows.withColumns({"host": host, "path": path})
     rows = rows.withColumns(
@@ -97,21 +107,19 @@ def judged(pages: DataFrame, key: str = "page_id", url: str = "url") -> DataFram
         }
     )
     names = [c for c in rows.columns if c.startswith("_f_")]
-    unwanted = F.col("host").rlike("|".join(UNWANTED))
     # A block rule is about a part of a site; it says nothing about how bad URLs look.
     blocked = F.coalesce(F.col("_rule.verdict") == "block", F.lit(False))
-    label = F.when(unwanted, 1).when(~blocked, 0)
-    sample = bounded_sample(rows.withColumn("_y", label).where("_y is not null and host != ''"), "_url", TRAIN_ROWS)
-    rates = suffix_rates(sample)
-    other = F.lit(rates.pop(""))
-    table = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair]) if rates else None
-    rate = F.coalesce(F.try_element_at(table, F.col("_suffix")), other) if rates else other
-    rows, sample = rows.withColumn("_f_suffix_rate", rate), sample.withColumn("_f_suffix_rate", rate)
+    label = F.when(is_unwanted(F.col("host")), 1).when(~blocked, 0)
+    labelled = rows.withColumn("_y", label).where("_y is not null and host != ''")
+    rates, mean = suffix_rates(labelled)
+    # One suffix may have most of the URLs.
+    rows = lookup_join(rows, rates, ["_suffix"], "left", spread=["_url"]).fillna(mean, ["_f_suffix_rate"])
+    sample = bounded_sample(labelled, "_url", TRAIN_ROWS).join(rates, "_suffix", "left")
     probability = fit(sample, [*names, "_f_suffix_rate"], "_y")
     scored = rows.withColumn("probability", F.expr(probability))
     own = F.when((F.col("host") == "") | (F.col("probability") >= THRESHOLD), "block").otherwise("allow")
     return scored.select(
-        F.col(key), F.col("_url").alias("url"), "host", "path", F.col("_rule.rule").alias("rule"),
+        F.col("_key").alias(key), F.col("_url").alias("url"), "host", "path", F.col("_rule.rule").alias("rule"),
         F.coalesce(F.col("_rule.verdict"), own).alias("verdict"), "probability",
     )
 
