@@ -100,7 +100,11 @@ def attribute_log(
     """
     if not lines:
         log = log.filter(~F.col("type").eqNullSafe(OUTPUT_LINE) | (F.col("action") == "start"))
-    bound = bind_records(log, targets, carried, block_rows, hot_rows)
+    return described(bind_records(log, targets, carried, block_rows, hot_rows), log.columns, strict)
+
+
+def described(bound: DataFrame, columns: list[str], strict: bool = False) -> DataFrame:
+    """Build events from bound records (the ``columns`` of a log and ``bound``); see :func:`attribute_log`."""
     is_start = F.col("action") == "start"
     is_line = ~is_start & (F.col("type") == OUTPUT_LINE)
     wanted = is_start | is_line | F.col("bound").isNotNull()
@@ -116,7 +120,7 @@ def attribute_log(
     )
     kept = [
         c
-        for c in log.columns
+        for c in columns
         if c not in ("run", "seq", "action", "id", "type", "arg_text", "arg_int")
     ]
     return named.select(

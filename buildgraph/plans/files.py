@@ -16,8 +16,8 @@ from buildgraph.plans.registry import query
 from buildgraph.sources import readers as rd
 from buildgraph.sources.result_documents import read_result_documents, write_result_documents
 from buildgraph.sources.writers import snapshot_json
+from buildgraph.streaming import keyed
 from buildgraph.streaming import log as sl
-from buildgraph.streaming import stateful as sf
 
 
 def written(rows: DataFrame, label: str, group: str, body: str) -> str:
@@ -78,7 +78,7 @@ def stream_log_text(spark, sf_dir):
         here.select("value", "run").write.partitionBy("run").text(f"{path}/part-{part}")
         log = rd.read_build_log(spark, f"{path}/part-*/run=*", streaming=True)
         sl.attribute_stream(log, targets, root).awaitTermination()
-    return sf.read_output(spark, root).select(
+    return keyed.output(spark, root).select(
         "tree_path", "drv_path", "system", "status", "exit_code", "line"
     )
 

@@ -9,8 +9,8 @@ from buildgraph.operators import attribution as a
 from buildgraph.plans import logs
 from buildgraph.plans import tables as t
 from buildgraph.plans.registry import ORACLES, query
+from buildgraph.streaming import keyed
 from buildgraph.streaming import log as sl
-from buildgraph.streaming import stateful as sf
 
 
 PARTS = 3
@@ -28,14 +28,14 @@ def _in_parts(spark, sf_dir, consume):
     for part in range(PARTS):
         inside = F.col("event_id").between(low + part * width, low + (part + 1) * width - 1)
         events.filter(inside).write.parquet(f"{path}/part-{part}")
-        consume(spark.readStream.schema(events.schema).parquet(f"{path}/part-*"))
+        consume(spark.readStream.schema(events.schema).parquet(f"{path}/part-*"), part == PARTS - 1)
 
 
 @query(ORACLES["attribute_log"])
 def stream_attribute_log(spark, sf_dir):
     root, targets = fresh_path(spark, "stream"), t.log_targets(spark, sf_dir)
-    _in_parts(spark, sf_dir, lambda rows: sl.attribute_stream(t.log_of(rows), targets, root).awaitTermination())
-    return sf.read_output(spark, root).drop("run", "ts_us")
+    _in_parts(spark, sf_dir, lambda rows, last: sl.attribute_stream(t.log_of(rows), targets, root).awaitTermination())
+    return keyed.output(spark, root).drop("run", "ts_us")
 
 
 @query(f"""WITH RECURSIVE {t.LOG}, {logs.DURATIONS},
@@ -50,44 +50,43 @@ def stream_live_state(spark, sf_dir):
     first, second = fresh_path(spark, "stream"), fresh_path(spark, "stream")
     targets = t.log_targets(spark, sf_dir)
 
-    def consume(rows):
+    def consume(rows, last):
         sl.attribute_stream(t.log_of(rows), targets, first).awaitTermination()
-        landed = sf.read_output(spark, first)
-        source = spark.readStream.schema(landed.schema).parquet(f"{first}/output/batch=*")
-        sl.live_state_stream(source, second).awaitTermination()
+        source = spark.readStream.schema(keyed.output(spark, first).schema).parquet(f"{first}/output")
+        sl.live_state_stream(source, second, t.tracked_edges(spark, sf_dir)).awaitTermination()
 
     _in_parts(spark, sf_dir, consume)
-    live = sf.latest_state(spark, second, sl.LIVE)
-    return sl.live_report(live, t.tracked(spark, sf_dir), t.tracked_edges(spark, sf_dir))
+    return sl.live_report(spark, second, t.tracked(spark, sf_dir))
 
 
 @query(ORACLES["throttle"])
 def stream_throttle(spark, sf_dir):
+    """Throttled updates; the closing ones come from timers, which the last part waits for."""
     root = fresh_path(spark, "stream")
 
-    def consume(rows):
+    def consume(rows, last):
         events = rows.select(
             "user_id",
             F.unix_micros(F.col("ts").cast("timestamp_ltz")).alias("ts_us"),
             F.col("event_id").alias("seq"),
         )
-        sl.throttle_stream(events, root, "user_id", 86_400, "bigint").awaitTermination()
+        query = sl.throttle_stream(events, root, "user_id", 86_400, closing_s=1, timers=last)
+        keyed.drain(query, 1_000) if last else query.awaitTermination()
 
     _in_parts(spark, sf_dir, consume)
-    state = sf.latest_state(spark, root, sl.throttle_schema("user_id", "bigint"))
-    return sf.read_output(spark, root).unionByName(sl.throttle_final(state, "user_id"))
+    return sl.throttled(keyed.output(spark, root), "user_id")
 
 
 @query(ORACLES["line_buffer"])
 def stream_line_buffer(spark, sf_dir):
     root = fresh_path(spark, "stream")
 
-    def consume(rows):
+    def consume(rows, last):
         lines = t.log_of(rows).filter("type = 101").select("id", "seq", F.col("arg_text").alias("line"))
-        sl.buffer_stream(lines, root, "id", 5, "bigint").awaitTermination()
+        sl.buffer_stream(lines, root, "id", 5).awaitTermination()
 
     _in_parts(spark, sf_dir, consume)
-    return sf.latest_state(spark, root, sl.buffer_schema("id", "bigint"))
+    return sl.buffered(spark, root, "id")
 
 
 @query(f"""WITH {t.LOG}, {logs.DURATIONS}, {logs.ATTEMPTS},

@@ -13,6 +13,7 @@ from buildgraph.functions.text import valid_json
 from buildgraph.operators.extract import extract_exactly_one
 from buildgraph.sources import schemas
 from buildgraph.sources.json_members import SPLIT_BYTES, read_members
+from buildgraph.sources.log_stream import stream_lines
 
 LOG_PREFIX = "@nix "
 #: Marker behind a log record; see :func:`parse_log_lines`.
@@ -264,38 +265,21 @@ def line_position(spark: SparkSession, block: Column | None = None) -> Column:
 
 
 def read_build_log(
-    spark: SparkSession, path: str, streaming: bool = False, mode: str = "failfast"
+    spark: SparkSession, path: str, streaming: bool = False, mode: str = "failfast", complete: bool = False
 ) -> DataFrame:
-    """Build log records below ``path``.
+    """Build log records below ``path``, with ``run`` (the file) and ``seq`` (the place of the line in it).
 
-    Batch reads add ``run`` (the file) and ``seq`` (line position).  A
-    streaming read adds ``run`` and ``block`` (the place of the split in the file); inside a
-    micro-batch :func:`number_batch` turns it into the same ``seq``.
+    A streaming read follows files as they grow; a line counts when its break is written, or, with ``complete``,
+    when the file ends.
     """
     if streaming:
-        lines = spark.readStream.text(path).select(
-            "value",
-            F.col("_metadata.file_path").alias("run"),
-            F.col("_metadata.file_block_start").alias("block"),
-        )
-        return parse_log_lines(lines, mode)
+        return parse_log_lines(stream_lines(spark, path, complete), mode)
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("run"), line_position(spark).alias("seq")
     )
     return parse_log_lines(lines, mode)
 
 
-def number_batch(batch: DataFrame) -> DataFrame:
-    """A micro-batch of a streamed build log with ``seq``; other batches as they are.
-
-    Must come first in the batch, before anything moves its rows.
-    """
-    if "block" not in batch.columns or "seq" in batch.columns:
-        return batch
-    seq = line_position(batch.sparkSession, F.col("block"))
-    return batch.withColumn("seq", seq).drop("block")
-
-
 def read_versions(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object of package name to version, one row per name."""
     docs = _parsed(_documents(spark, path), "map<string,string>", "failfast")

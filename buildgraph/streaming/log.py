@@ -2,54 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructField, StructType
 
-from buildgraph.functions.ordered import BLOCK_ROWS
 from buildgraph.operators import state as s
-from buildgraph.operators.attribution import attribute_log, bind_records
-from buildgraph.operators.graph import propagate_skips
-from buildgraph.operators.throttle import throttle
+from buildgraph.operators.attribution import described, start_drv, target_lookup
+from buildgraph.operators.graph import GrowingDependents
 from buildgraph.sources.readers import read_result_rows
 from buildgraph.sources.writers import write_results
-from buildgraph.streaming.stateful import start
-
-BINDINGS = (
-    "run string, id bigint, seq bigint, "
-    "carried struct<drv: string, target_path: string, target_system: string>"
-)
-
-
-def attribution_step(
-    targets: DataFrame,
-    strict: bool = False,
-    closed_runs: DataFrame | None = None,
-    block_rows: int = BLOCK_ROWS,
-):
-    """Attribution of one micro-batch; the state holds the binding of every open id.
-
-    Bindings of ``closed_runs`` (run) are forgotten.
-    """
+from buildgraph.streaming import keyed
+from buildgraph.streaming.keyed import Bindings, LastLines, LiveTarget, Throttle, with_state
 
-    def step(batch: DataFrame, before: DataFrame):
-        carried = before.select("run", "id", "carried")
-        events = attribute_log(batch, targets, strict, carried, block_rows=block_rows)
-        starts = bind_records(
-            batch.filter("action = 'start' AND id IS NOT NULL"), targets, block_rows=block_rows
-        ).select("run", "id", "seq", F.col("bound").alias("carried"))
-        after = (
-            before.unionByName(starts)
-            .groupBy("run", "id")
-            .agg(F.max("seq").alias("seq"), F.max_by("carried", "seq").alias("carried"))
-        )
-        if closed_runs is not None:
-            after = after.join(closed_runs.select("run"), "run", "left_anti")
-        return events, after
-
-    return step
+BINDING = "drv string, target_path string, target_system string"
 
 
 def attribute_stream(
@@ -57,171 +24,173 @@ def attribute_stream(
     targets: DataFrame,
     root: str,
     strict: bool = False,
-    closed_runs: Callable[[], DataFrame] | None = None,
+    closing: str = "action = 'stop'",
+    linger_s: float = 60,
+    timers: bool = False,
     **trigger,
 ) -> StreamingQuery:
-    """Stream of attributed events below ``root/output``.
+    """Stream of attributed events below ``root/output``; equal to :func:`attribute_log` over all batches.
 
-    ``closed_runs`` is asked before each batch for the table (run) of runs that have ended since.
+    The state is the binding of every open (run, id).  ``closing`` is a condition on records that end an id;
+    ``linger_s`` later its binding is dropped by a timer.  Starts without an id bind nothing and
+    leave no state.  Only start records meet the target table.
     """
-
-    def step(batch: DataFrame, before: DataFrame):
-        ended = closed_runs() if closed_runs else None
-        return attribution_step(targets, strict, ended)(batch, before)
-
-    return start(log, root, BINDINGS, step, "attribution", **trigger)
-
-
-LIVE = (
-    "tree_path string, seq bigint, state string, exit_code bigint, duration_total_ms bigint, "
-    "duration_latest_ms bigint, open_seq bigint, open_us bigint, last_start_seq bigint, last_start_us bigint"
-)
+    ends = F.coalesce(F.expr(closing), F.lit(False))
+    is_start = F.coalesce(F.col("action") == "start", F.lit(False))
+    is_result = (F.col("action") == "result") & F.col("id").isNotNull() & F.col("type").isNotNull()
+    rows = log.where(is_start | is_result | (ends & F.col("id").isNotNull()))
+    # Other records get a key of their own, which no derivation has.
+    key = F.when(is_start, start_drv()).otherwise(F.concat(F.lit("\0"), F.col("seq").cast("string")))
+    rows = rows.withColumn("drv", key).join(target_lookup(targets), "drv", "left")
+    bind = [F.col(c).alias(f"bind_{c}") for c in ("drv", "target_path", "target_system")]
+    rows = rows.select(
+        *log.columns,
+        is_start.alias("is_start"),
+        (ends & ~is_start & ~F.coalesce(is_result, F.lit(False))).alias("closing"),
+        *bind,
+        F.when(F.col("id").isNull(), F.col("seq")).alias("lone"),
+    )
+    schema = StructType([*log.schema.fields, StructField("bound", StructType.fromDDL(BINDING))])
+    processor = Bindings(log.columns, BINDING, int(linger_s * 1000))
+    bound = with_state(rows, ["run", "id", "lone"], processor, schema)
+    return keyed.start(described(bound, log.columns, strict), root, "attribution", timers, **trigger)
 
 
-def live_state_step(block_rows: int = BLOCK_ROWS):
-    """Fold attributed events into one state row per target.
+def live_state_stream(events: DataFrame, root: str, edges: DataFrame, **trigger) -> StreamingQuery:
+    """Live state per target from attributed events, and the targets behind failures; read by :func:`live_report`.
 
-    Starts left open by earlier batches take part as events, so spans that
-    cross batches are measured like in one batch.
+    The state of a target is folded by its key.  Targets that failed for the first time extend the set
+    of those that depend on a failure from where they are; a batch without one follows no edge.  If a failed
+    target recovers, the set is built anew from those that are failed still.  What a batch adds is a folder
+    named after it below ``root``, written over if the batch runs again.
     """
-
-    def step(batch: DataFrame, before: DataFrame):
-        live = batch.filter("status <> 'line'")
-        # The first and the latest start of an open span measure the two durations.
-        ends = F.array(
-            F.struct(F.col("open_seq").alias("seq"), F.col("open_us").alias("ts_us")),
-            F.struct(F.col("last_start_seq").alias("seq"), F.col("last_start_us").alias("ts_us")),
-        )
-        opened = (
-            before.filter("open_seq IS NOT NULL")
-            .select("tree_path", F.explode(F.array_distinct(ends)).alias("s"))
-            .select("tree_path", "s.seq", "s.ts_us", F.lit("started").alias("status"))
-        )
-        timed = live.select("tree_path", "seq", "ts_us", "status").unionByName(opened)
-        spans = s.build_spans(timed, block_rows=block_rows)
-        closed = F.col("end").isNotNull()
-        length = F.when(closed, F.floor((F.col("end") - F.col("first_start")) / 1000))
-        started = closed & F.col("last_start").isNotNull()
-        times = spans.groupBy("tree_path").agg(
-            F.sum(length).alias("total"),
-            F.max_by("end", F.when(closed, F.col("_span"))).alias("end"),
-            F.max_by("last_start", F.when(started, F.col("_span"))).alias("closed_start"),
-            F.max(F.when(~closed, F.col("first_seq"))).alias("open_seq"),
-            F.max(F.when(~closed, F.col("first_start"))).alias("open_us"),
-            F.max_by("last_start", "last_seq").alias("last_start"),
-            F.max("last_seq").alias("last_seq"),
-        )
-        last = s.last_events(live).join(
-            live.groupBy("tree_path").agg(F.max("seq").alias("seq")), "tree_path"
-        )
-        old = before.select("tree_path", *[F.col(c).alias(f"_{c}") for c in before.columns[1:]])
-        new = last.join(times, "tree_path", "left")
-        latest = F.floor((F.col("end") - F.coalesce("closed_start", "_last_start_us")) / 1000)
-        known = F.col("seq").isNotNull()
-        zero = F.lit(0).cast("bigint")
-        after = old.join(new, "tree_path", "full_outer").select(
-            "tree_path",
-            F.coalesce("seq", "_seq").alias("seq"),
-            F.coalesce("state", "_state").alias("state"),
-            F.coalesce("exit_code", "_exit_code").alias("exit_code"),
-            (F.coalesce("total", zero) + F.coalesce("_duration_total_ms", zero))
-            .cast("bigint")
-            .alias("duration_total_ms"),
-            F.when(F.col("end").isNotNull(), latest.cast("bigint"))
-            .otherwise(F.col("_duration_latest_ms"))
-            .alias("duration_latest_ms"),
-            F.when(known, F.col("open_seq")).otherwise(F.col("_open_seq")).alias("open_seq"),
-            F.when(known, F.col("open_us")).otherwise(F.col("_open_us")).alias("open_us"),
-            F.coalesce("last_seq", "_last_start_seq").alias("last_start_seq"),
-            F.coalesce("last_start", "_last_start_us").alias("last_start_us"),
-        )
-        return None, after
-
-    return step
-
-
-def live_report(live: DataFrame, targets: DataFrame, edges: DataFrame) -> DataFrame:
+    spark = events.sparkSession
+    fields = f"tree_path string, {LiveTarget.FIELDS}"
+    live = with_state(events.filter("status <> 'line'").select("tree_path", "seq", "ts_us", "status", "exit_code"), ["tree_path"], LiveTarget(), fields)
+    graph = GrowingDependents(edges)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/output/batch={batch_id}")
+        # Read back with the partitions of the table, not those of the state store.
+        now = spark.read.schema(fields).parquet(f"{root}/output/batch={batch_id}")
+        failed, earlier = now.where("state = 'failed'"), SkippedSet(spark, root, batch_id)
+        known = earlier.seeds()
+        recovered = known.join(now.where("state <> 'failed'"), "tree_path", "left_semi")
+        if not recovered.isEmpty():
+            last = F.max_by(F.struct("state"), "seq").alias("l")
+            rows = spark.read.schema(f"{fields}, batch int").option("basePath", f"{root}/output").parquet(f"{root}/output")
+            failed = rows.where(F.col("batch") <= batch_id).groupBy("tree_path").agg(last).where("l.state = 'failed'")
+            new, before = failed.select("tree_path"), earlier.none()
+        else:
+            new, before = failed.select("tree_path").join(known, "tree_path", "left_anti"), earlier.behind()
+        found = None
+        if not new.isEmpty():
+            found = graph.grown(new.select(F.col("tree_path").alias("id")), before.select(F.col("tree_path").alias("id")))
+        earlier.write(new, found, not recovered.isEmpty())
+
+    query = keyed.start(live, root, "live_state", each=each, **trigger)
+    query.graph = graph
+    return query
+
+
+class SkippedSet:
+    """The failed targets and those behind them, batch by batch; a batch that starts anew hides earlier ones."""
+
+    SCHEMA = "tree_path string, kind string, batch int"
+
+    def __init__(self, spark: SparkSession, root: str, batch: int | None = None):
+        self.spark, self.path, self.batch = spark, f"{root}/skipped", batch
+
+    def rows(self) -> DataFrame:
+        """(tree_path, kind) of the batches before this one (of all without one), since the last start."""
+        try:
+            rows = self.spark.read.schema(self.SCHEMA).option("basePath", self.path).parquet(self.path)
+        except AnalysisException:  # before the first batch
+            return self.spark.createDataFrame([], self.SCHEMA)
+        if self.batch is not None:
+            rows = rows.where(F.col("batch") < self.batch)
+        anew = rows.where("kind = 'anew'").agg(F.max("batch")).first()[0]
+        return rows if anew is None else rows.where(F.col("batch") >= anew)
+
+    def none(self) -> DataFrame:
+        return self.rows().limit(0).select("tree_path")
+
+    def seeds(self) -> DataFrame:
+        return self.rows().where("kind = 'failed'").select("tree_path")
+
+    def behind(self) -> DataFrame:
+        return self.rows().where("kind = 'behind'").select("tree_path")
+
+    def write(self, failed: DataFrame, behind: DataFrame | None, anew: bool) -> None:
+        out = failed.select("tree_path", F.lit("failed").alias("kind"))
+        if behind is not None:
+            out = out.unionByName(behind.select(F.col("id").alias("tree_path"), F.lit("behind").alias("kind")))
+        if anew:
+            out = out.unionByName(self.spark.createDataFrame([(None, "anew")], "tree_path string, kind string"))
+        out.write.mode("overwrite").parquet(f"{self.path}/batch={self.batch}")
+
+
+def live_state(spark: SparkSession, root: str) -> DataFrame:
+    """(tree_path, seq, state, exit_code, both durations): the state of every target the stream has met."""
+    fields = [f.split()[0] for f in LiveTarget.FIELDS.split(", ")]
+    return keyed.state(spark, root, "live").select("key.tree_path", *[f"value.{f}" for f in fields])
+
+
+def live_report(spark: SparkSession, root: str, targets: DataFrame) -> DataFrame:
     """All tracked targets with their live state, pending ones skipped behind failures."""
-    known = live.select("tree_path", "state", "exit_code", "duration_total_ms", "duration_latest_ms")
-    state = targets.join(known, "tree_path", "left").withColumn(
-        "state", F.coalesce("state", F.lit("pending"))
-    )
-    return propagate_skips(state, edges)
-
-
-def live_state_stream(events: DataFrame, root: str, **trigger) -> StreamingQuery:
-    """Live state per target; the newest table below ``root/state`` is current."""
-    return start(events, root, LIVE, live_state_step(), "live_state", **trigger)
-
-
-def throttle_schema(key: str, key_type: str = "string") -> str:
-    """State of the throttle: last emission and last event per key."""
-    return f"{key} {key_type}, ts_us bigint, seq bigint, last_us bigint, last_seq bigint"
-
-
-def throttle_step(key: str, seconds: float):
-    """Throttle one micro-batch, starting from the last emission of each key."""
-
-    def step(batch: DataFrame, before: DataFrame):
-        rows = batch.select(key, "ts_us", "seq")
-        carried = before.select(key, "ts_us", "seq")
-        chosen = throttle(rows.unionByName(carried), [key], seconds, last_always=False)
-        emitted = chosen.join(carried, [key, "ts_us", "seq"], "left_anti")
-        tip = F.max(F.struct("ts_us", "seq"))
-        emission = chosen.groupBy(key).agg(tip.alias("e"))
-        seen = rows.unionByName(
-            before.select(key, F.col("last_us").alias("ts_us"), F.col("last_seq").alias("seq"))
-        )
-        ends = seen.groupBy(key).agg(tip.alias("l"))
-        after = emission.join(ends, key).select(
-            key, "e.ts_us", "e.seq", F.col("l.ts_us").alias("last_us"), F.col("l.seq").alias("last_seq")
-        )
-        return emitted, after
-
-    return step
-
-
-def throttle_final(state: DataFrame, key: str) -> DataFrame:
-    """The closing emissions: last events that were not emitted by themselves."""
-    return state.filter("seq <> last_seq").select(
-        key, F.col("last_us").alias("ts_us"), F.col("last_seq").alias("seq")
-    )
+    known = live_state(spark, root).drop("seq")
+    state = targets.join(known, "tree_path", "left")
+    hit = SkippedSet(spark, root).behind().distinct().withColumn("_hit", F.lit(True))
+    waiting = F.when(F.col("_hit"), "skipped").otherwise("pending")
+    return state.join(hit, "tree_path", "left").withColumn("state", F.coalesce("state", waiting)).drop("_hit")
 
 
 def throttle_stream(
-    events: DataFrame, root: str, key: str, seconds: float, key_type: str = "string", **trigger
+    events: DataFrame, root: str, key: str, seconds: float, closing_s: float | None = None, timers: bool = False, **trigger
 ) -> StreamingQuery:
-    """Stream of throttled updates below ``root/output``."""
-    schema = throttle_schema(key, key_type)
-    return start(events, root, schema, throttle_step(key, seconds), "throttle", **trigger)
-
-
-def buffer_schema(key: str, key_type: str = "string") -> str:
-    """State of the line buffer."""
-    return f"{key} {key_type}, seq bigint, line string"
+    """Stream of throttled updates (key, ts_us, seq, closing) below ``root/output``.
 
+    The first event of a key and each that is due since the last emission come out at once.  A timer emits the last
+    event of a key, if it was not due, ``closing_s`` (the interval, by default) after the key's last batch.
+    """
+    gap = int(seconds * 1_000_000)
+    if gap <= 0:
+        raise ValueError("seconds must be positive")
+    wait = seconds if closing_s is None else closing_s
+    schema = f"{key} {events.schema[key].dataType.simpleString()}, ts_us bigint, seq bigint, closing boolean"
+    chosen = with_state(events.select(key, "ts_us", "seq"), [key], Throttle(key, gap, int(wait * 1000)), schema)
+    return keyed.start(chosen, root, "throttle", timers, **trigger)
 
-def buffer_step(key: str, buffer: int = s.BUFFER_LINES):
-    """Keep the last lines per key, dropping the oldest."""
 
-    def step(batch: DataFrame, before: DataFrame):
-        rows = batch.select(key, "seq", "line").unionByName(before)
-        return None, s.line_buffer(rows, buffer, key=key)
+def throttled(rows: DataFrame, key: str) -> DataFrame:
+    """The emissions of a throttled stream; closing updates that a later event has overtaken are left out.
 
-    return step
+    A closing update was the last event when its timer fired.  If the key went on afterwards, it has a later row.
+    """
+    last = rows.groupBy(key).agg(F.max(F.struct("ts_us", "seq")).alias("_last"))
+    kept = rows.where("NOT closing").select(key, "ts_us", "seq")
+    ends = rows.where("closing").groupBy(key).agg(F.max(F.struct("ts_us", "seq")).alias("_end"))
+    both = ends.alias("e").join(last.alias("l"), F.col(f"e.{key}").eqNullSafe(F.col(f"l.{key}")))
+    closing = both.where("_end = _last").select(F.col(f"e.{key}").alias(key), "_end.ts_us", "_end.seq")
+    return kept.unionByName(closing)
 
 
 def buffer_stream(
-    lines: DataFrame,
-    root: str,
-    key: str = "tree_path",
-    buffer: int = s.BUFFER_LINES,
-    key_type: str = "string",
-    **trigger,
+    lines: DataFrame, root: str, key: str = "tree_path", buffer: int = s.BUFFER_LINES, keep_s: float | None = None, **trigger
 ) -> StreamingQuery:
-    """Last lines per key; the newest table below ``root/state`` is current."""
-    schema = buffer_schema(key, key_type)
-    return start(lines, root, schema, buffer_step(key, buffer), "line_buffer", **trigger)
+    """Last lines per key, kept in the stream's state; :func:`buffered` reads them.
+
+    A key never holds more than ``buffer`` lines; with ``keep_s`` they go so long after the last one came.
+    """
+    keep = None if keep_s is None else int(keep_s * 1000)
+    nothing = f"{key} {lines.schema[key].dataType.simpleString()}"
+    rows = with_state(lines.select(key, "seq", "line"), [key], LastLines(buffer, keep), nothing)
+    return keyed.start(rows, root, "line_buffer", **trigger)
+
+
+def buffered(spark: SparkSession, root: str, key: str = "tree_path") -> DataFrame:
+    """(key, seq, line): the lines in the state of a buffer stream."""
+    return keyed.state(spark, root, "lines").select(F.col(f"key.{key}").alias(key), "list_element.seq", "list_element.line")
 
 
 def finalize(
