@@ -11,6 +11,7 @@ Training counts trigrams of all learnable rows with one distributed aggregate of
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +28,8 @@ EXHAUSTIVE = 7
 SMOOTHING = 0.5
 #: Nats of mean log ratio per trigram that make a margin of one.
 MARGIN = 0.3
+#: Bytes of a long text that are scored at once.
+PIECE = 1 << 18
 #: A best score below this marks ambiguity.
 CLEAR = 0.6
 
@@ -71,12 +74,21 @@ def trigram_counts(rows: DataFrame) -> DataFrame:
 
 
 def codebook(languages: int) -> np.ndarray:
-    """Codewords of +1 and -1, one row per language."""
+    """Codewords of +1 and -1, one row per language.
+
+    Random codewords are drawn again until any two differ in a quarter of the bits and every bit tells some
+    languages apart.
+    """
     if languages <= EXHAUSTIVE:
         bits = range(1, 1 << (languages - 1)) if languages > 1 else range(1)
         return np.array([[1 if (b << 1) >> lang & 1 else -1 for b in bits] for lang in range(languages)], dtype=np.int8)
     width = 15 * int(np.ceil(np.log2(languages)))
-    return np.random.default_rng(11).choice(np.array([-1, 1], dtype=np.int8), (languages, width))
+    rng = np.random.default_rng(11)
+    while True:
+        codes = rng.choice(np.array([-1, 1], dtype=np.int8), (languages, width))
+        alike = codes.astype(np.int32) @ codes.T - 2 * width * np.eye(languages, dtype=np.int32)
+        if alike.max() <= width / 2 and (abs(codes.sum(axis=0)) < languages).all():
+            return codes
 
 
 @dataclass
@@ -123,7 +135,18 @@ def has_letter(data: np.ndarray) -> bool:
     """Whether a text has a letter: an ASCII one, or any other by Unicode's definition."""
     if ((data >= 0x61) & (data <= 0x7A) | (data >= 0x41) & (data <= 0x5A)).any():
         return True
-    return bool((data >= 0x80).any()) and any(c.isalpha() for c in data.tobytes().decode("utf-8", "replace"))
+    if not (data >= 0x80).any():
+        return False
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    return any(c.isalpha() for at in range(0, len(data), PIECE) for c in decoder.decode(data[at : at + PIECE].tobytes()))
+
+
+def mean_margins(model: LanguageModel, data: np.ndarray) -> np.ndarray:
+    """The mean weight of the trigrams of one text, taken piece by piece, so that a long text needs no more memory."""
+    total, n = np.zeros(model.codes.shape[1]), max(len(data) - 2, 0)
+    for at in range(0, n, PIECE):
+        total += model.weights[trigram_buckets(data[at : min(at + PIECE, n) + 2])].sum(axis=0, dtype=np.float64)
+    return total / max(n, 1) / MARGIN
 
 
 def predictions(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
@@ -131,6 +154,8 @@ def predictions(docs: DataFrame, model: LanguageModel, text: str = "text") -> Da
 
     Null texts, texts without a letter, and all texts if nothing was learned, are ``und`` with
     score 0.  Texts of fewer than three bytes have no trigram: the first language, scored by chance.
+    A long text is read whole, in pieces.  Repeated rows get equal predictions.  Columns of ``docs`` named like the
+    three added ones are replaced; others, whatever their names, pass through.
     """
     docs = docs.drop("lang_pred", "score", "ambiguous")
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous")).schema
@@ -140,15 +165,19 @@ def predictions(docs: DataFrame, model: LanguageModel, text: str = "text") -> Da
         for batch in batches:
             names, scores = [], []
             for lo, hi, data, offsets in chunks(batch.column(place)):
-                buckets = trigram_buckets(data) if len(data) > 2 else np.zeros(0, np.int64)
+                short = len(data) <= 4 * PIECE
+                buckets = trigram_buckets(data) if short and len(data) > 2 else np.zeros(0, np.int64)
                 for row in range(hi - lo):
                     a, b = offsets[row], offsets[row + 1]
                     if not model.languages or not has_letter(data[a:b]):
                         names.append("und")
                         scores.append(0.0)
                         continue
-                    own = model.weights[buckets[a : max(b - 2, a)]]
-                    margins = own.mean(axis=0, dtype=np.float64) / MARGIN if len(own) else np.zeros(model.codes.shape[1])
+                    if short:
+                        own = model.weights[buckets[a : max(b - 2, a)]]
+                        margins = own.mean(axis=0, dtype=np.float64) / MARGIN if len(own) else np.zeros(model.codes.shape[1])
+                    else:
+                        margins = mean_margins(model, data[a:b])
                     best, score = decode(model, margins)
                     names.append(model.languages[best])
                     scores.append(score)

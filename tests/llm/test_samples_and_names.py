@@ -1,10 +1,13 @@
 """Samples at any size, statistics without a cap, bounded filters, and columns with clashing names."""
 
+import tracemalloc
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_operators import DOCS, awkward
 
-from buildgraph.llm import boosting, key_filter, lines, quality, urls
+from buildgraph.llm import boosting, key_filter, language, lines, quality, urls
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +82,45 @@ def test_columns_of_any_name_pass_through(spark, docs):
     assert judged.columns == [*keep, "_q", "_kept"]
     plain = quality.judge(docs, "text", "source", ["doc_id"])
     assert sorted(map(repr, judged.select("doc_id", "_q", "_kept").collect())) == sorted(map(repr, plain.collect()))
+
+
+@pytest.mark.parametrize("languages", [1, 2, 7, 8, 20, 100])
+def test_codewords_are_apart(languages):
+    codes = language.codebook(languages)
+    assert codes.shape[0] == languages
+    if languages > 1:
+        apart = min((codes[i] != codes[j]).sum() for i in range(languages) for j in range(i))
+        assert apart >= codes.shape[1] / 4
+        assert languages == 2 or (abs(codes.sum(axis=0, dtype=int)) < languages).all()
+
+
+def model(languages):
+    rng = np.random.default_rng(2)
+    codes = language.codebook(languages)
+    weights = rng.normal(0, 1, (1 << language.BUCKET_BITS, codes.shape[1])).astype(np.float32)
+    return language.LanguageModel([f"l{i}" for i in range(languages)], codes, weights, rng.uniform(0.5, 1.5, codes.shape[1]))
+
+
+def test_decoding_takes_the_codeword_of_least_loss():
+    rng = np.random.default_rng(3)
+    m = model(9)
+    for _ in range(50):
+        margins = rng.normal(0, 1, m.codes.shape[1])
+        losses = [sum(w * np.log1p(np.exp(-c * x)) for w, c, x in zip(m.trust, code, margins, strict=True)) for code in m.codes]
+        best, score = language.decode(m, margins)
+        assert best == int(np.argmin(losses))
+        assert score == pytest.approx(1 / sum(np.exp(min(losses) - x) for x in losses))
+
+
+def test_a_long_text_needs_little_memory():
+    m = model(20)
+    data = np.random.default_rng(4).integers(32, 250, 20 << 20).astype(np.uint8)
+    part = data[: 3 * language.PIECE + 77]
+    whole = m.weights[language.trigram_buckets(part)].mean(axis=0, dtype=np.float64) / language.MARGIN
+    assert np.allclose(language.mean_margins(m, part), whole)
+    assert not language.mean_margins(m, data[:2]).any()
+    tracemalloc.start()
+    language.mean_margins(m, data)
+    assert language.has_letter(data)
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
