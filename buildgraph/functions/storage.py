@@ -94,7 +94,7 @@ class Rounds:
         self._levels[0].append(rows)
         level = 0
         while len(self._levels[level]) >= self.FAN:
-            merged = materialize(self._union(self._levels[level]), "merged")
+            merged = materialize(self.union_of(self._levels[level]), "merged")
             self._levels[level] = []
             level += 1
             if level == len(self._levels):
@@ -102,7 +102,7 @@ class Rounds:
             self._levels[level].append(merged)
 
     @staticmethod
-    def _union(parts: list[DataFrame]) -> DataFrame:
+    def union_of(parts: list[DataFrame]) -> DataFrame:
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -110,4 +110,4 @@ class Rounds:
 
     def all(self) -> DataFrame:
         """Everything found so far."""
-        return self._union([p for level in self._levels for p in level])
+        return self.union_of([p for level in self._levels for p in level])
