@@ -12,7 +12,9 @@ with a probability below 4 in a million, a pair of 0.9 below 1 in 10^12.  The di
 are first compared with two hubs of it, by their full sets; what is linked by then
 needs no other comparison.  In bands that few sets share, all pairs of different groups follow.  A band that
 many share is a crowd of sets that are half alike (one passage in thousands of texts); pairing it
-would cost the square of its size.  The sets of such bands are compared exactly by another way, the rare shingles
+would cost the square of its size.  Before texts are joined for a comparison, four bits of each slot of
+both signatures must agree as often as those of similar sets do (six standard deviations below).
+The sets of large bands are compared exactly by another way, the rare shingles
 that two similar sets must have in common (:mod:`near_duplicates`), so no band is cut and no pair of it lost.
 Union-find over stored edges names the groups.
 
@@ -25,9 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from buildgraph.functions.skew import lookup_join
 from buildgraph.llm.arrow_words import mixed
 from buildgraph.llm.components import connected
 from buildgraph.llm.near_duplicates import similar_links
@@ -94,27 +98,75 @@ def band_keys(values: np.ndarray, bands: int) -> np.ndarray:
     return out
 
 
+def sketches(values: np.ndarray) -> pa.Array:
+    """Four bits of every slot, sixteen slots to a long (the last one padded)."""
+    slots = values.shape[1]
+    padded = np.zeros((len(values), -(-slots // 16) * 16), dtype=np.uint64)
+    # The low bits of a value are those of the fraction, which are random.
+    padded[:, :slots] = values & np.uint64(15)
+    shifts = (np.arange(16) * 4).astype(np.uint64)
+    longs = np.bitwise_or.reduce(padded.reshape(len(values), -1, 16) << shifts, axis=2)
+    return pa.FixedSizeListArray.from_arrays(pa.array(longs.ravel().view(np.int64)), longs.shape[1]).cast(pa.list_(pa.int64()))
+
+
+def least_agreement(slots: int, percent: int) -> int:
+    """Slots that two sets of the wanted similarity have in common but for a chance below one in 10^8.
+
+    Six standard deviations of independent slots below the mean; those of SuperMinHash scatter less.
+    """
+    share = percent / 100
+    return max(int(slots * share - 6 * (slots * share * (1 - share)) ** 0.5), 0)
+
+
+def promising(pairs: DataFrame, known: DataFrame, slots: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches agree often enough; ``known``: (node, sketch).
+
+    Slots that differ look equal with a chance of one in sixteen, so agreement is never underestimated.
+    """
+    pairs = lookup_join(pairs, known.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), ["b"], "inner")
+    both = pairs.join(known.select(F.col("node").alias("a"), F.col("sketch").alias("sa")).hint("merge"), "a")
+    # One bit of each group of four that differ.
+    lowest = 0x1111111111111111
+    unequal = F.zip_with("sa", "sb", lambda x, y: x.bitwiseXOR(y))
+    bits = F.transform(
+        unequal,
+        lambda x: F.bit_count(
+            x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3)).bitwiseAND(F.lit(lowest))
+        ),
+    )
+    differ = F.aggregate(bits, F.lit(0), lambda a, b: a + b)
+    return both.where(F.lit(slots) - differ >= least_agreement(slots, percent)).select("a", "b")
+
+
 def keys_of(texts: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(h, node, n): the band keys of ``texts`` (node, text) with the sizes of the sets."""
+    """(h, node, n, sketch): the band keys of ``texts`` (node, text) with the sizes of the sets.
+
+    The sketch of a node comes with its first key only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, sets in word_sets(batch.column(1), shingle):
-                keys = band_keys(signatures(sets, bands * rows), bands)
+                values = signatures(sets, bands * rows)
+                keys = band_keys(values, bands)
+                first = pa.array(np.where(np.arange(len(sets) * bands) % bands == 0, np.arange(len(sets) * bands) // bands, -1))
+                short = sketches(values).take(pc.if_else(pc.less(first, 0), None, first))
                 at = pa.array(np.repeat(np.arange(lo, lo + len(sets)), bands))
                 sizes = np.repeat(np.array([len(s) for s in sets], dtype=np.int64), bands)
-                arrays = [pa.array(keys.ravel().view(np.int64)), batch.column(0).take(at), pa.array(sizes)]
-                yield pa.RecordBatch.from_arrays(arrays, ["h", "node", "n"])
+                arrays = [pa.array(keys.ravel().view(np.int64)), batch.column(0).take(at), pa.array(sizes), short]
+                yield pa.RecordBatch.from_arrays(arrays, ["h", "node", "n", "sketch"])
 
-    return texts.select("node", "text").mapInArrow(run, "h long, node binary, n long")
+    return texts.select("node", "text").mapInArrow(run, "h long, node binary, n long, sketch array<long>")
 
 
 def links(texts: DataFrame, shingle: int, percent: int, bands: int, rows: int) -> DataFrame:
     """(a, b): similar pairs of ``texts`` (node, text) whose groups are those of all similar pairs that share a band."""
     keys = stored(keys_of(texts, shingle, bands, rows), "mh-keys")
+    known = keys.where("sketch IS NOT NULL").select("node", "sketch")
+    slots = bands * rows
     # Stored, one row per key, so that a key of very many rows can be split in the join.
     often = stored(keys.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"), "mh-often")
-    shared = stored(keys.join(often.hint("merge"), "h"), "mh-shared")
+    shared = stored(keys.select("h", "node", "n").join(often.hint("merge"), "h"), "mh-shared")
     found = None
     members = shared.withColumn("root", F.col("node"))
     for turn in range(HUB_TURNS + 1):
@@ -136,12 +188,13 @@ def links(texts: DataFrame, shingle: int, percent: int, bands: int, rows: int) -
         hubs = stored(hubs.select("h", F.explode(F.array("x", "y")).alias("x")).select("h", "x.node", "x.n", "x.root"), "mh-hubs")
         both = side(left.drop("top", "m"), "l").join(side(hubs, "r").hint("merge"), F.col("l_h") == F.col("r_h"))
         pairs = stored(ordered_pairs(both.where((F.col("l_root") != F.col("r_root")) & alike_in_size(percent))), "mh-pairs")
-        now = stored_similar(pairs, texts, shingle, percent)
+        now = stored_similar(stored(promising(pairs, known, slots, percent), "mh-promising"), texts, shingle, percent)
         found = now if found is None else found.unionByName(now)
     few, many = left.where(F.col("m") <= PAIRED), left.where(F.col("m") > PAIRED)
     once = (F.col("l_root") != F.col("r_root")) & (F.col("l_node") < F.col("r_node")) & alike_in_size(percent)
     both = side(few, "l").join(side(few, "r").hint("merge"), (F.col("l_h") == F.col("r_h")) & once)
-    found = found.unionByName(stored_similar(stored(ordered_pairs(both), "mh-pairs"), texts, shingle, percent))
+    pairs = stored(promising(stored(ordered_pairs(both), "mh-pairs"), known, slots, percent), "mh-promising")
+    found = found.unionByName(stored_similar(pairs, texts, shingle, percent))
     crowd = stored(many.select("node").distinct(), "mh-crowd")
     return similar_links(texts, shingle, percent, found, among=crowd)
 

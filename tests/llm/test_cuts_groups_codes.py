@@ -171,6 +171,19 @@ def test_signatures_estimate_better_than_independent_hashes():
     assert np.std(shares) < (likeness * (1 - likeness) / 100) ** 0.5
 
 
+def test_sketches_agree_where_signatures_do(spark):
+    rng = np.random.default_rng(9)
+    values = rng.integers(0, 1 << 60, (40, 35), dtype=np.uint64)
+    values[1::2] = np.where(rng.random((20, 35)) < 0.8, values[::2], values[1::2])
+    known = spark.createDataFrame([(bytes([i]), s) for i, s in enumerate(superminhash.sketches(values).to_pylist())], "node binary, sketch array<long>")
+    pairs = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(39)], "a binary, b binary")
+    for percent in (80, 60, 99):
+        need = superminhash.least_agreement(35, percent)
+        want = {i for i in range(39) if ((values[i] & np.uint64(15)) == (values[i + 1] & np.uint64(15))).sum() >= need}
+        assert {r.a[0] for r in superminhash.promising(pairs, known, 35, percent).collect()} == want
+    assert superminhash.least_agreement(160, 80) == 97
+
+
 # --- vector codes ------------------------------------------------------------
 
 
