@@ -1,6 +1,8 @@
 """No size, round or batch limit changes a result."""
 
 import json
+import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,8 +17,8 @@ from buildgraph.operators.lookup import lookup_chain
 from buildgraph.plans import tables as t
 from buildgraph.sources import readers as rd
 from buildgraph.sources import writers as wr
+from buildgraph.streaming import keyed
 from buildgraph.streaming import log as sl
-from buildgraph.streaming import stateful as sf
 
 BIG = 18 * 1024 * 1024
 
@@ -106,45 +108,42 @@ def test_empty_and_missing_systems_stay_apart(spark, rows, tmp_path):
 def test_only_committed_batches_count(spark, rows):
     root = fresh_path(spark, "stream")
     source = fresh_path(spark, "lines")
-    spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "id long, seq long, line string").write.parquet(source)
-    schema = sl.buffer_schema("id", "bigint")
-
-    def step(batch, before):
-        return batch, before.where("false")
-
-    stream = spark.readStream.schema("id long, seq long, line string").parquet(source)
-    sf.start(stream, root, schema, step, "empty").awaitTermination()
-    late = spark.createDataFrame([(9, 9, "late")], "id long, seq long, line string")
-    late.write.parquet(sf.state_path(root, 1))
-    late.write.parquet(f"{root}/output/batch=1")
-    assert sf.committed(spark, root) == 0
-    assert sf.latest_state(spark, root, schema).count() == 0
-    assert rows(sf.read_output(spark, root), "line") == [("a",), ("b",)]
+    spark.createDataFrame([("a", 1, 1), ("a", 2, 2)], "k string, ts_us long, seq long").write.parquet(source)
+    stream = spark.readStream.schema("k string, ts_us long, seq long").parquet(source)
+    sl.throttle_stream(stream, root, "k", 1).awaitTermination()
+    want = rows(keyed.output(spark, root))
+    assert len(want) == 1
+    # Files that a batch left behind without finishing are not part of the output.
+    late = spark.createDataFrame([("late", 9, 9, False)], keyed.output(spark, root).schema)
+    path = fresh_path(spark, "late")
+    late.coalesce(1).write.parquet(path)
+    stray = next(n for n in os.listdir(path.removeprefix("file:")) if n.endswith(".parquet"))
+    shutil.copy(f"{path.removeprefix('file:')}/{stray}", f"{root.removeprefix('file:')}/output/{stray}")
+    assert rows(keyed.output(spark, root)) == want
 
 
 def test_streamed_log_text_has_positions_and_forgets_closed_runs(spark, tmp_path):
     (tmp_path / "in").mkdir()
     text = '@nix {"action":"start","id":1,"fields":["d"]}\nnoise\n@nix {"action":"result","id":1,"type":101,"fields":["hello"]}\n'
     (tmp_path / "in" / "a.log").write_text(text)
-    root, closed = fresh_path(spark, "stream"), []
+    root = fresh_path(spark, "stream")
     targets = spark.createDataFrame([("pkg/d", "d", "x")], "tree_path string, drv_path string, system string")
 
-    def ended():
-        return spark.createDataFrame([(c,) for c in closed], "run string")
-
     def consume():
         log = rd.read_build_log(spark, str(tmp_path / "in"), streaming=True)
-        sl.attribute_stream(log, targets, root, closed_runs=ended).awaitTermination()
+        keyed.drain(sl.attribute_stream(log, targets, root, linger_s=0, timers=True), 500)
 
     consume()
-    got = sf.read_output(spark, root).orderBy("seq").collect()
+    got = keyed.output(spark, root).orderBy("seq").collect()
     assert [(r.tree_path, r.status, r.line) for r in got] == [("pkg/d", "started", None), ("pkg/d", "line", "hello")]
-    state = sf.latest_state(spark, root, sl.BINDINGS)
+    state = keyed.state(spark, root, "bound")
     assert state.count() == 1
-    closed.append(state.first().run)
+    # An id that has ended is forgotten; one of another run stays.
+    with open(tmp_path / "in" / "a.log", "a") as f:
+        f.write('@nix {"action":"stop","id":1}\n')
     (tmp_path / "in" / "b.log").write_text(text)
     consume()
-    assert [r.run.rsplit("/")[-1] for r in sf.latest_state(spark, root, sl.BINDINGS).collect()] == ["b.log"]
+    assert [r.key.run.rsplit("/")[-1] for r in keyed.state(spark, root, "bound").collect()] == ["b.log"]
 
 
 def test_whole_tables_give_every_class_of_change(spark):
