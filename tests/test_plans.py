@@ -53,3 +53,9 @@ def test_registry():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries)
     assert len(queries) > 80
+
+
+def test_generated_lookups_are_not_broadcast(spark):
+    text = plan(entry.queries()["fix_counts"](spark, SF))
+    joins = re.findall(r"\) (\w+Join)\n(?:Left|Right) keys.*_salt", text)
+    assert joins == ["SortMergeJoin"]
