@@ -114,7 +114,8 @@ def visible_targets(files: DataFrame) -> DataFrame:
         .select("dir")
         .distinct()
     )
-    kept = dirs.join(dropped, "dir", "left_anti").select("dir", "has_default", "subtree")
+    # The lineage is exploded, so the size of what is dropped cannot be guessed.
+    kept = dirs.join(dropped.hint("merge"), "dir", "left_anti").select("dir", "has_default", "subtree")
     nix = listed.filter(F.endswith("name", F.lit(".nix")))
     joined = lookup_join(nix, kept, ["dir"], "inner", spread=["name"])
     is_default = F.col("name") == "default.nix"

@@ -55,6 +55,11 @@ def test_registry():
     assert len(queries) > 80
 
 
+def test_dropped_folders_are_not_broadcast(spark):
+    text = plan(entry.queries()["visible_targets"](spark, SF))
+    assert "BroadcastHashJoin LeftAnti" not in text and "SortMergeJoin LeftAnti" in text
+
+
 def test_generated_lookups_are_not_broadcast(spark):
     text = plan(entry.queries()["fix_counts"](spark, SF))
     joins = re.findall(r"\) (\w+Join)\n(?:Left|Right) keys.*_salt", text)
