@@ -1,6 +1,6 @@
 """Gradient-boosted trees as plain column expressions.
 
-Trees are fitted by Spark's own learner on a bounded sample and turned into nested
+Trees are fitted by Spark's own learner and turned into nested
 CASE expressions, so scoring is part of the same projection as the features.
 """
 
@@ -37,7 +37,7 @@ def tree_sql(text: str, names: list[str]) -> str:
 def fit(rows: DataFrame, features: list[str], label: str, prefix: str = "", trees: int = 20, depth: int = 3) -> str:
     """SQL for the probability of label 1, over features written as ``prefix`` plus name.
 
-    ``rows`` must be a bounded sample.  Without rows, or with one label only, the probability is
+    Spark keeps ``rows`` over its executors and reads them once per level of a tree.  Without rows, or with one label only, the probability is
     the share of ones (0 without rows).
     """
     row = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("ones")).first()

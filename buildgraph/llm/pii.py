@@ -7,8 +7,8 @@ High-recall generators propose more spans, which may overlap: any run of number-
 characters, and anything that looks like an address with a written-out or bracketed at sign.
 Trees look at the format of a candidate (digits, separators, brackets, plus sign,
 Luhn, groups) and at its context (characters and words beside it).  They learn
-from a bounded sample of documents, in which candidates that are base spans are positive and
-those that failed the checks are negative.  Per kind, the threshold is the least one with the wanted
+from the candidates of all documents: those that are base spans are positive, those
+that failed the checks negative.  Per kind, the threshold is the least one with the wanted
 precision on held-out documents.  Selected candidates are added where they overlap no span so far.
 
 Patterns use possessive repeats and look at run starts only, so no text, however
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buildgraph.functions.storage import materialize
-from buildgraph.llm.boosting import bounded_sample, calibrated_threshold, fit
+from buildgraph.llm.boosting import calibrated_threshold, fit
 
 KINDS = ("email", "ip", "card", "phone")
 NAME = "A-Za-z0-9._%+-"
@@ -37,8 +37,6 @@ GENERATORS = {
     "number": r"\+?+\(?+[0-9](?:[ ().-]{0,2}+[0-9]){6,40}+",
     "address": rf"(?:(?<![{NAME}])|\G)[{NAME}]++ ?+[(\[{{]at[)\]}}] ?+[A-Za-z0-9-]++(?: ?+(?:\.|[(\[{{]dot[)\]}}]) ?+[A-Za-z0-9-]++)++",
 }
-#: Documents that train the trees.
-TRAIN_DOCS = 4000
 PRECISION = 0.995
 NONE = "array<struct<start:bigint,end:bigint,s:string>>"
 
@@ -180,16 +178,15 @@ FEATURES = [
 ]
 
 
-def learned(docs: DataFrame, doc_id: str, text: str, train_docs: int = TRAIN_DOCS) -> dict[str, tuple[str, float]]:
-    """Probability expression over ``c.f`` and threshold of each kind, from a bounded sample of documents.
+def learned(docs: DataFrame, doc_id: str, text: str) -> dict[str, tuple[str, float]]:
+    """Probability expression over ``c.f`` and threshold of each kind, from the candidates of all documents.
 
-    A kind whose precision cannot be reached adds nothing (threshold above 1).
+    Trees learn from two thirds of the documents, by a hash of their ids; thresholds come from the others.  A kind whose precision cannot be reached adds nothing (threshold above 1).
     """
-    sample = bounded_sample(docs, doc_id, train_docs, "pii").select(doc_id, text)
-    rows = proposed(base_spans(sample, text))
+    rows = proposed(base_spans(docs.select(doc_id, text), text))
     each = rows.select(F.pmod(F.xxhash64(F.lit("fold"), doc_id), F.lit(3)).alias("fold"), *[f"_{k}" for k in KINDS], F.explode("_candidates").alias("c"))
     flat = each.select("fold", *[F.exists(f"_{k}", lambda b: (b["start"] == F.col("c.start")) & (b["end"] == F.col("c.end"))).cast("int").alias(f"y_{k}") for k in KINDS], "c.f.*")
-    flat = materialize(flat, "pii-sample")
+    flat = materialize(flat, "pii-candidates")
     out = {}
     for kind in KINDS:
         score = fit(flat.where("fold > 0"), FEATURES, f"y_{kind}", trees=10)

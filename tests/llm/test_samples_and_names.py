@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import DOCS, awkward
 
-from buildgraph.llm import boosting, key_filter, language, lines, quality, urls
+from buildgraph.llm import boosting, key_filter, language, lines, pii, quality, urls
 
 
 @pytest.fixture(scope="module")
@@ -124,3 +124,12 @@ def test_a_long_text_needs_little_memory():
     assert language.has_letter(data)
     assert tracemalloc.get_traced_memory()[1] < 300 << 20
     tracemalloc.stop()
+
+
+def test_pii_learns_from_all_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "fit", lambda rows, *a, **k: seen.append(rows.count()) or "0D")
+    monkeypatch.setattr(pii, "calibrated_threshold", lambda rows, *a: seen.append(rows.count()) or 2.0)
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("call +49 171 "), F.col("id") + 1_000_000).alias("text"))
+    pii.learned(docs, "doc_id", "text")
+    assert [a + b for a, b in zip(seen[::2], seen[1::2], strict=True)] == [9000] * len(pii.KINDS)
