@@ -30,7 +30,10 @@ def _check_mode(mode: str) -> None:
         raise ValueError(f"mode must be one of {MODES}")
 
 
-def _documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def _documents(spark: SparkSession, path: str | list[str], bundled: bool = False) -> DataFrame:
+    """(file, text) of the files below ``path``, or of bundles as ``write_bundle`` makes them."""
+    if bundled:
+        return spark.read.schema("file string, text string").parquet(path)
     return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")
     )
@@ -292,13 +295,14 @@ def read_pins(
     defs_path: str,
     anchor: str,
     attrs: Sequence[str] = ("pname", "srcHash", "npmDepsHash"),
+    bundled: bool = False,
 ) -> DataFrame:
-    """Package pins: parsed definition files joined with their pinned versions.
+    """Package pins: parsed definition files (``bundled`` or not) joined with their pinned versions.
 
     Definitions without the anchor and names without a pin are left out; an
     ambiguous definition raises.
     """
-    defs = _documents(spark, defs_path)
+    defs = _documents(spark, defs_path, bundled)
     parsed = extract_exactly_one(defs, "text", anchor, attrs, optional={"npmName": "pname"})
     parsed = parsed.filter(F.col("outcome") != "no_anchor").withColumn(
         "pname",
@@ -362,10 +366,10 @@ def flatten_artifacts(
     )
 
 
-def read_api_pages(spark: SparkSession, path: str) -> DataFrame:
-    """API page documents as ``file`` and a parsed ``page``; a page with errors has null data."""
+def read_api_pages(spark: SparkSession, path: str, bundled: bool = False) -> DataFrame:
+    """API page documents, ``bundled`` or one per file, as ``file`` and a parsed ``page``; a page with errors has null data."""
     return (
-        _documents(spark, path)
+        _documents(spark, path, bundled)
         .withColumn("page", F.from_json("text", schemas.API_PAGE))
         .select("file", "page")
     )
@@ -460,9 +464,12 @@ def parse_kv_lines(
 
 
 def read_kv_configs(
-    spark: SparkSession, path: str, allowed: Sequence[str] = ("root", "target")
+    spark: SparkSession, path: str, allowed: Sequence[str] = ("root", "target"), bundled: bool = False
 ) -> DataFrame:
-    """Key=value files below ``path``; see :func:`parse_kv_lines`."""
+    """Key=value files below ``path``, ``bundled`` or not; see :func:`parse_kv_lines`."""
+    if bundled:
+        docs = _documents(spark, path, bundled)
+        return parse_kv_lines(docs.select("file", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("pos", "line")), allowed)
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         line_position(spark).alias("pos"),

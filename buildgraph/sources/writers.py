@@ -34,6 +34,16 @@ def snapshot_json(snapshot: DataFrame) -> DataFrame:
     return snapshot.select("snapshot_id", "tree_path", body.alias("json"))
 
 
+def write_bundle(docs: DataFrame, path: str) -> None:
+    """Write very many small documents (file, text) into few files; readers take them with ``bundled``.
+
+    A folder per document costs the driver and the file system far more than the document.
+    Rows of one file are its lines, as in a text file.
+    """
+    text = F.array_join(F.collect_list(F.coalesce("text", F.lit(""))), "\n")
+    docs.groupBy("file").agg(F.concat(text, F.lit("\n")).alias("text")).write.parquet(path)
+
+
 def write_results(
     results: DataFrame,
     path: str,

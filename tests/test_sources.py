@@ -1,8 +1,11 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from buildgraph.functions.storage import work_dir
 from buildgraph.operators import diff as d
 from buildgraph.operators.chunking import first_match
 from buildgraph.sources import readers as rd
@@ -112,3 +115,24 @@ def test_kv_files(spark, tmp_path, rows, text, want):
 
 def test_size_settings():
     assert [rd._bytes(s) for s in ("4194304", "128m", "1GB", "2kb", "134217728b")] == [4194304, 1 << 27, 1 << 30, 2048, 1 << 27]
+
+
+def test_kv_configs_of_a_bundle(spark, rows, tmp_path):
+    texts = {"a": "# x\nroot = /r\n\nt1", "b": "bare\rtarget=u\r\nodd=1", "c": "", "d": None}
+    files = spark.createDataFrame(list(texts.items()), "file string, text string")
+    wr.write_bundle(files, str(tmp_path / "bundle"))
+    for name, text in texts.items():
+        (tmp_path / "plain").mkdir(exist_ok=True)
+        (tmp_path / "plain" / name).write_bytes((text or "").encode())
+    got, want = (rd.read_kv_configs(spark, str(tmp_path / k), bundled=k == "bundle") for k in ("bundle", "plain"))
+    columns = ("key", "value", "error")
+    assert rows(got, *columns) == rows(want, *columns)
+    assert got.select("file").distinct().count() == 2
+
+
+def test_settings_are_not_a_folder_each(spark, tmp_path, rows):
+    spark.range(300).select(F.col("id").alias("s_suppkey"), F.lit(1).alias("s_nationkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    before = set(os.listdir(work_dir(spark))) if os.path.isdir(work_dir(spark)) else set()
+    assert entry.queries()["read_kv_configs"](spark, str(tmp_path)).count() == 675
+    (made,) = set(os.listdir(work_dir(spark))) - before
+    assert len(os.listdir(os.path.join(work_dir(spark), made))) < 50
