@@ -136,3 +136,15 @@ def test_settings_are_not_a_folder_each(spark, tmp_path, rows):
     assert entry.queries()["read_kv_configs"](spark, str(tmp_path)).count() == 675
     (made,) = set(os.listdir(work_dir(spark))) - before
     assert len(os.listdir(os.path.join(work_dir(spark), made))) < 50
+
+
+def test_pins_and_pages_are_not_a_folder_each(spark, tmp_path):
+    spark.range(300).select(F.col("id").alias("s_suppkey"), F.lit(1).alias("s_nationkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(18000).select(F.col("id").alias("o_orderkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    item = spark.range(18000).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(2).alias("l_partkey"), F.lit("R").alias("l_returnflag"))
+    item.write.parquet(str(tmp_path / "lineitem.parquet"))
+    for name, n in (("read_pins", 240), ("read_api_pages", 18000)):
+        before = set(os.listdir(work_dir(spark))) if os.path.isdir(work_dir(spark)) else set()
+        assert entry.queries()[name](spark, str(tmp_path)).count() == n
+        made = set(os.listdir(work_dir(spark))) - before
+        assert made and all(len(os.listdir(os.path.join(work_dir(spark), x))) < 50 for x in made)
