@@ -68,6 +68,16 @@ def test_null_ids_and_seeds(spark, rows):
     assert some == [r for r in every if r[0] == "a"] == [("a", "k")]
 
 
+def test_nearest_known_nodes_read_once_are_not_stored(spark, rows):
+    pairs = [("k", "a"), ("k", "b"), ("a", "z"), ("b", "z"), ("k", "z"), ("b", "y"), ("u", "a")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    nodes = spark.createDataFrame([("k", True), ("z", True), ("y", True)], "id string, known boolean")
+    kept, passed = nearest_known(edges, nodes), nearest_known(edges, nodes, stored=False)
+    want = [("a", "z"), ("b", "y"), ("b", "z"), ("k", "y"), ("k", "z"), ("u", "z")]
+    assert rows(kept, "src", "dep") == rows(passed, "src", "dep") == want
+    assert any("/nearest-" in f for f in kept.inputFiles()) and len(kept.inputFiles()) != len(passed.inputFiles())
+
+
 def test_a_long_chain_has_no_round_limit(spark):
     edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(25)], "src string, dst string")
     seeds = spark.createDataFrame([("n0",)], "id string")
