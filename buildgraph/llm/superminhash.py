@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from buildgraph.functions.skew import lookup_join
 from buildgraph.llm.arrow_words import mixed
-from buildgraph.llm.components import connected
+from buildgraph.llm.components import connected, stars
 from buildgraph.llm.near_duplicates import similar_links
 from buildgraph.llm.set_pairs import alike_in_size, ordered_pairs, set_names, set_texts, side, stored_similar, word_sets
 from buildgraph.llm.tables import stored
@@ -160,7 +160,7 @@ def keys_of(texts: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
 
 
 def links(texts: DataFrame, shingle: int, percent: int, bands: int, rows: int) -> DataFrame:
-    """(a, b): similar pairs of ``texts`` (node, text) whose groups are those of all similar pairs that share a band."""
+    """(a, b): links whose groups are those of all similar pairs of ``texts`` (node, text) that share a band."""
     keys = stored(keys_of(texts, shingle, bands, rows), "mh-keys")
     known = keys.where("sketch IS NOT NULL").select("node", "sketch")
     slots = bands * rows
@@ -171,9 +171,10 @@ def links(texts: DataFrame, shingle: int, percent: int, bands: int, rows: int) -
     members = shared.withColumn("root", F.col("node"))
     for turn in range(HUB_TURNS + 1):
         if found is not None:
-            found = stored(found, "mh-links")
-            roots = stored(connected(found), "mh-roots").select(F.col("node").alias("id"), "root")
-            members = shared.join(roots.hint("merge"), F.col("node") == F.col("id"), "left")
+            roots = stored(connected(found), "mh-roots")
+            # What is linked already goes on as one link per node.
+            found = stars(roots)
+            members = shared.join(roots.withColumnRenamed("node", "id").hint("merge"), F.col("node") == F.col("id"), "left")
             members = stored(members.select("h", "node", "n", F.coalesce("root", "node").alias("root")), "mh-members")
         # The largest group of a band, and what is outside it.
         parts = members.groupBy("h", "root").agg(F.count(F.lit(1)).alias("m"))

@@ -10,7 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from buildgraph.functions.storage import materialize
 from buildgraph.llm import (
+    components,
     decontamination,
     language,
     lines,
@@ -142,6 +144,15 @@ def test_components(spark):
     assert all(got.get(n, n) == want[n] for n in want)
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda rows, label: written.append(label) or materialize(rows, label))
+    pairs = [(0, i) for i in range(1, 40)] + [(i, 50) for i in range(51, 60)]
+    got = {r.node: r.root for r in connected(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {n: 0 if n < 50 else 50 for p in pairs for n in p}
+    assert not written
+
+
 def test_near_duplicates_meet_the_similarity(spark):
     rng = random.Random(8)
     texts = []
