@@ -1,4 +1,7 @@
-"""Near duplicates by word shingles: rare shingles find candidates, Jaccard similarity decides.
+"""Near duplicates: SimHash and rare shingles find candidates, Jaccard similarity of word shingles decides.
+
+Texts with close SimHash fingerprints (Golay keys, :mod:`simhash`) are compared first, by their full sets.
+Pairs that differ in more bits, as with one changed passage, are found by rare shingles.
 
 Shingles are five words, lower case, of the whole text.  All shingles have one order, rare ones
 first.  Two sets that share t percent of their union share one of the first
@@ -25,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from buildgraph.llm import simhash
 from buildgraph.llm.arrow_words import WordHasher, chunks, lower_table, ngram_hashes, space_separated, word_spans
-from buildgraph.llm.components import connected
+from buildgraph.llm.components import connected, stars
 from buildgraph.llm.set_pairs import ordered_pairs, set_names, set_texts, side, stored_similar, word_sets
 from buildgraph.llm.tables import stored
 
@@ -173,9 +177,9 @@ def possible(percent: int) -> Column:
 def similar_links(
     texts: DataFrame, shingle: int, percent: int, found: DataFrame | None = None, among: DataFrame | None = None
 ) -> DataFrame:
-    """(a, b): similar pairs of ``texts`` (node, text) whose components are those of all similar pairs.
+    """(a, b): links whose components are those of all similar pairs of ``texts`` (node, text).
 
-    ``found``: (a, b) links that are known already; they are part of the result.  ``among``: (node), the
+    ``found``: (a, b) links that are known already; the result joins what they join.  ``among``: (node), the
     nodes to compare; all without it.
     """
     chosen = texts if among is None else texts.join(among.hint("merge"), "node", "left_semi")
@@ -187,8 +191,9 @@ def similar_links(
     while True:
         members = shared.withColumn("root", F.col("node"))
         if found is not None:
-            found = stored(found, "near-links")
             roots = stored(connected(found), "near-roots")
+            # What is linked already goes on as one link per node.
+            found = stars(roots)
             members = shared.join(roots.select(F.col("node").alias("id"), "root").hint("merge"), F.col("node") == F.col("id"), "left")
             members = members.select("h", "node", "size", "place", F.coalesce("root", "node").alias("root"))
             members = stored(members, "near-members")
@@ -221,6 +226,24 @@ def similar_links(
     return found if found is not None else shared.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
 
 
+def simhash_links(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b): similar pairs of ``texts`` (node, text) with close SimHash fingerprints.
+
+    Fingerprints are grouped as by :mod:`simhash`, by Golay keys; each node of a group is compared with its
+    first node by their full sets.  Pairs whose fingerprints are not close are left to :func:`similar_links`.
+    """
+    prints = simhash.fingerprints(texts, doc_id="node").withColumnRenamed("doc_id", "node")
+    prints = stored(prints, "near-prints")
+    roots = connected(simhash.links(prints.select("fp").distinct())).withColumnRenamed("node", "fp")
+    grouped = prints.join(roots.hint("merge"), "fp", "left").select("node", F.coalesce("root", "fp").alias("group"))
+    grouped = stored(grouped, "near-close")
+    firsts = grouped.groupBy("group").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Stored, one row per group, so that a group of very many nodes can be split in the join.
+    firsts = stored(firsts.select("group", "b"), "near-firsts")
+    pairs = grouped.withColumnRenamed("node", "a").join(firsts.hint("merge"), "group").where("a != b").select("a", "b")
+    return stored_similar(stored(pairs, "near-pairs"), texts, shingle, percent)
+
+
 def near_duplicate_leaders(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR / 100) -> DataFrame:
     """(k, group, leader) for each distinct k of ``docs`` (k, doc_id, text).
 
@@ -231,7 +254,8 @@ def near_duplicate_leaders(docs: DataFrame, shingle: int = SHINGLE, similarity:
     names = set_names(docs, shingle, ["k", "doc_id"]).withColumn("node", F.coalesce("node", F.lit(b"")))
     names = stored(names, "near-names")
     nodes = stored(names.groupBy("node").agg(F.min(F.struct("doc_id", "k")).alias("first")), "near-nodes")
-    roots = connected(similar_links(set_texts(docs, shingle), shingle, percent))
+    texts = set_texts(docs, shingle)
+    roots = connected(similar_links(texts, shingle, percent, simhash_links(texts, shingle, percent)))
     leaders = nodes.join(roots.hint("merge"), "node", "left").select("node", "first", F.coalesce("root", "node").alias("group"))
     leaders = stored(leaders, "near-groups")
     best = stored(leaders.groupBy("group").agg(F.min("first").alias("best")), "near-best")

@@ -153,6 +153,22 @@ def test_components_of_stars_take_no_round(spark, monkeypatch):
     assert not written
 
 
+def test_near_duplicates_start_with_simhash(spark, monkeypatch):
+    rng = random.Random(13)
+    texts = [[f"word{rng.randrange(4000)}" for _ in range(300)] for _ in range(40)]
+    texts += [[*w[:299], "other"] for w in texts[:20]]
+    given = []
+    later = near_duplicates.similar_links
+    monkeypatch.setattr(near_duplicates, "similar_links", lambda t, n, p, found: given.append(found) or later(t, n, p, found))
+    group, pairs = similar_groups(spark, texts)
+    assert len(pairs) == 20 and all(group[a] == group[b] for a, b in pairs)
+    assert len(set(group.values())) == 40
+    # Most copies with one other word differ in two bits or fewer; no other texts are linked.
+    assert 0 < given[0].count() <= 20
+    nodes = {group[a] for a, _ in pairs}
+    assert all(r.a in nodes or r.b in nodes for r in given[0].collect())
+
+
 def test_near_duplicates_meet_the_similarity(spark):
     rng = random.Random(8)
     texts = []
