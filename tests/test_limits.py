@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from buildgraph.functions.skew import hot_keys
-from buildgraph.functions.storage import fresh_path
+from buildgraph.functions.storage import bucketed, fresh_path
 from buildgraph.functions.text import valid_json
 from buildgraph.operators.chunking import keep_set
 from buildgraph.operators.extract import extract_between
@@ -192,3 +192,19 @@ def test_a_round_does_not_exchange_bucketed_edges(spark, rows, monkeypatch):
         assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") <= 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("hot_rows", [5, 10**9])
+def test_copies_of_edges_meet_in_the_buckets(spark, rows, monkeypatch, hot_rows):
+    from buildgraph.functions import skew
+
+    pairs = [(f"n{i % 100}", f"n{i % 100 // 2}") for i in range(300)]
+    edges = spark.createDataFrame(pairs + [("n1", "n5")] * 40, "src string, dst string")
+    seen = []
+    monkeypatch.setattr(skew, "BUCKETED_ROWS", 1)
+    monkeypatch.setattr(skew, "bucketed", lambda df, *a, **k: seen.append(k) or bucketed(df, *a, **k))
+    stored = skew.StoredTable(edges, ["src"], ["dst"], hot_rows, distinct=True)
+    assert rows(stored.rows.select("src", "dst")) == rows(edges.distinct())
+    # With a hot key copies are left out before; then buckets are chosen by the distinct rows.
+    assert seen == ([{"distinct": True}] if hot_rows == 10**9 else [{}])
+
