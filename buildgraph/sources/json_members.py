@@ -36,6 +36,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Bytes of a range, and of what is looked at at once.
 SPLIT_BYTES = 64 << 20
 CHUNK_BYTES = 1 << 20
+#: What opening a file counts as when small ranges are dealt to tasks.
+OPEN_BYTES = 1 << 16
 RANGES = "file string, start long, length long, size long, escapes array<int>, flips array<int>, deeper array<long>, seen boolean"
 MEMBERS = "file string, at long, key string, value string, bad boolean"
 
@@ -142,6 +144,27 @@ class Range(InputPartition):
     broken: bool = False
 
 
+@dataclass
+class Task(InputPartition):
+    """Ranges that one task reads."""
+
+    parts: list[Range]
+
+
+def dealt(ranges: list[Range], limit: int) -> list[Task]:
+    """Ranges in their order, as many small ones a task as ``limit`` bytes hold: a task each would cost more than they do."""
+    out: list[Task] = []
+    room = 0
+    for r in ranges:
+        cost = r.length + OPEN_BYTES
+        if not out or cost > room:
+            out.append(Task([]))
+            room = limit
+        out[-1].parts.append(r)
+        room -= cost
+    return out or [Task([])]
+
+
 def no_constant(name: str) -> None:
     raise ValueError(name)
 
@@ -229,10 +252,10 @@ class RangeReader(DataSourceReader):
         for row in stored_rows(self.files):
             size = row["length"]
             out += [Range(row["path"], at, min(self.split, size - at), size) for at in range(0, max(size, 1), self.split)]
-        return out or [Range("", 0, 0, 0)]
+        return dealt(out, self.split // 8)
 
-    def read(self, part: Range) -> Iterator[tuple]:
-        if part.file:
+    def read(self, task: Task) -> Iterator[tuple]:
+        for part in task.parts:
             yield (part.file, part.start, part.length, part.size, *summary(chunks_of(part.file, part.start, part.start + part.length)))
 
 
@@ -240,10 +263,10 @@ class MemberReader(DataSourceReader):
     """Members by byte range, from the stored summaries of all ranges."""
 
     def __init__(self, options: dict):
-        self.ranges = options["ranges"]
+        self.ranges, self.split = options["ranges"], int(options.get("split", SPLIT_BYTES))
 
     def partitions(self) -> Sequence[InputPartition]:
-        out: list[InputPartition] = []
+        out: list[Range] = []
         rows = sorted(stored_rows(self.ranges), key=lambda r: (r["file"], r["start"]))
         state = State()
         for i, row in enumerate(rows):
@@ -254,11 +277,13 @@ class MemberReader(DataSourceReader):
             if i + 1 == len(rows) or not rows[i + 1]["start"]:
                 here.broken = bool(state.escape or state.inside or state.depth or not state.seen)
             out.append(here)
-        return out or [Range("", 0, 0, 0)]
+        return dealt(out, self.split // 8)
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        if not part.file:
-            return
+    def read(self, task: Task) -> Iterator[pa.RecordBatch]:
+        for part in task.parts:
+            yield from self.batches(part)
+
+    def batches(self, part: Range) -> Iterator[pa.RecordBatch]:
         names = ["at", "key", "value", "bad"]
         kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_()]
         rows: list[tuple] = [(part.size, None, None, True)] if part.broken else []
@@ -317,4 +342,4 @@ def read_members(spark: SparkSession, path: str | list[str], split_bytes: int =
     ranges = fresh_path(spark, "json-ranges")
     source = spark.read.format("json_ranges").option("files", files).option("split", str(split_bytes)).load()
     source.write.parquet(ranges)
-    return spark.read.format("json_members").option("ranges", ranges).load()
+    return spark.read.format("json_members").option("ranges", ranges).option("split", str(split_bytes)).load()

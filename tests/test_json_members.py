@@ -93,3 +93,15 @@ def test_one_document_is_read_by_many_tasks(spark, tmp_path):
     assert rd.read_snapshots(spark, str(tmp_path), "quarantine", split_bytes=500).count() == len(rows)
     bad = rd.read_snapshots(spark, str(tmp_path), "quarantine", True, split_bytes=500).collect()
     assert [r.file.rsplit("/", 1)[1] for r in bad] == ["bad.json"]
+
+
+def test_small_documents_share_tasks(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"s{i}.json").write_text(json.dumps({f"a{i}": {"system": "x"}, "b": {"system": f"y{i}"}}))
+    (tmp_path / "none.json").write_text("{}")
+    (tmp_path / "bad.json").write_text('{"a": {}')
+    assert jm.read_members(spark, str(tmp_path)).rdd.getNumPartitions() < 10
+    got = sorted(tuple(r) for r in rd.read_snapshots(spark, str(tmp_path), "quarantine").select("snapshot_id", "tree_path", "system").collect())
+    assert got == sorted(row for i in range(300) for row in ((f"s{i}", f"a{i}", "x"), (f"s{i}", "b", f"y{i}")))
+    bad = rd.read_snapshots(spark, str(tmp_path), "quarantine", True).collect()
+    assert [r.file.rsplit("/", 1)[1] for r in bad] == ["bad.json"]
